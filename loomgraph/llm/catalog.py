@@ -1,9 +1,10 @@
 """Queries of this subpackage and the SQL that says the same, where there is any."""
 
 from loomgraph.llm.decontamination import OP4_SQL, op4_winnow_decontaminate
+from loomgraph.llm.jaccard import OP10_SQL, op10_divideskip_jaccard
 from loomgraph.llm.mixing import op3_pfair_mix
 from loomgraph.llm.sharding import op5_shard_ring
 from loomgraph.llm.warc import OP8_SQL, op8_warc_revisit
 
-QUERIES = {f.__name__: f for f in (op3_pfair_mix, op4_winnow_decontaminate, op5_shard_ring, op8_warc_revisit)}
-ORACLE_SQL = {"op4_winnow_decontaminate": OP4_SQL, "op8_warc_revisit": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op3_pfair_mix, op4_winnow_decontaminate, op5_shard_ring, op8_warc_revisit, op10_divideskip_jaccard)}
+ORACLE_SQL = {"op4_winnow_decontaminate": OP4_SQL, "op8_warc_revisit": OP8_SQL, "op10_divideskip_jaccard": OP10_SQL}
