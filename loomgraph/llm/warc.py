@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import new_path, table
+from loomgraph.llm.common import new_path, staged, table
 
-#: Payloads of fewer bytes are always stored; bytes of an archive file, about.
-LEAST_BYTES, FILE_BYTES = 100, 16 << 20
+#: Payloads of fewer bytes are always stored; bytes of an archive file, about; most digests of repeated payloads that are broadcast.
+LEAST_BYTES, FILE_BYTES, MOST_BROADCAST = 100, 16 << 20, 1_000_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "file string, record_id string, page_id long, url string, record_type string, refers_to_id string, payload_digest string, payload_bytes long, payload binary"
@@ -31,7 +31,10 @@ def resolve(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     heads = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     first = heads.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = heads.join(first.select(F.col("digest").alias("d"), "first_id"), (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
+    first = staged(first.select(F.col("digest").alias("d"), "first_id"), "digests")
+    if first.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # else payloads are shuffled with their headers
+        first = F.broadcast(first)
+    joined = heads.join(first, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
     other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "payload", "digest", "bytes", F.when(other, F.col("first_id")).alias("original"))
 
@@ -59,8 +62,8 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
 
 def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     """Archives below path, of about FILE_BYTES each."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    records(resolve(pages, least)).repartition(max(1, -(-total // FILE_BYTES))).write.option("lineSep", END).text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    records(resolve(pages, least)).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(path)
 
 
 def parse(content: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -110,7 +113,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def resolved_back(records_read: DataFrame) -> DataFrame:
     """Each record with the digest and length of its full payload: a response's own, computed from its bytes; a revisit's, from the response it refers to."""
-    own = records_read.where("record_type = 'response'").select("record_id", F.col("page_id").alias("o_page"), F.sha2("payload", 256).alias("o_digest"), F.octet_length("payload").cast("long").alias("o_bytes"))
+    digests = records_read.select("record_id", "page_id", "record_type", "refers_to_id", F.sha2("payload", 256).alias("o_digest"), F.octet_length("payload").cast("long").alias("o_bytes"))
+    records_read = staged(digests, "records")  # archives are parsed once
+    own = records_read.where("record_type = 'response'").select("record_id", F.col("page_id").alias("o_page"), "o_digest", "o_bytes")
     responses = own.select(F.col("o_page").alias("page_id"), F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     referred = records_read.where("record_type = 'revisit'").select("page_id", "refers_to_id")
     one = own.groupBy("record_id").agg(F.min("o_page").alias("o_page"), F.min("o_digest").alias("o_digest"), F.min("o_bytes").alias("o_bytes"))
