@@ -230,7 +230,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
     def searched(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
         """Each part meets its query groups in blocks of about BLOCK groups; the tree of a part is built for each of them."""
         pairs = pairs.select("g", "part", block)
-        held = rows.join(pairs.select("part", "block").distinct(), "part")
+        held = rows.join(pairs.select("part", "block").distinct(), "part").select(F.col("part").alias("d_part"), F.col("block").alias("d_block"), F.col("id").alias("d_id"), F.col("x").alias("d_x"))
         blocked = pairs.join(q_rows, "g").select("g", "part", "block", "q", "qx")
         if found is not None:
             worst = found.groupBy("q").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).select("q", F.when(F.col("n") >= k, F.col("low")).alias("low"))
@@ -241,7 +241,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         def one(left: pa.Table, right: pa.Table) -> pa.Table:
             q, s, v = [], [], []
             if left.num_rows and right.num_rows:
-                tree, ids = Cover(unpack(right["x"])), right["id"].to_numpy()
+                tree, ids = Cover(unpack(right["d_x"])), right["d_id"].to_numpy()
                 of = left["g"].to_numpy()
                 for g in np.unique(of):
                     mine = left.filter(pa.array(of == g))
@@ -259,7 +259,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
                                 v.append(-other)
             return pa.table({"q": pa.array(q, pa.int64()), "v": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
 
-        got = blocked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(one, "q long, v long, score long")
+        got = blocked.groupBy("part", "block").cogroup(held.groupBy("d_part", "d_block")).applyInArrow(one, "q long, v long, score long")
         return got if found is None else got.unionByName(found)
 
     def best_of(df: DataFrame, name: str) -> DataFrame:
