@@ -10,19 +10,27 @@ bounded size that every training row goes through. Texts are classified whole.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER, chunks, fold, table
+from loomgraph.llm.common import fold, table
 
 #: Sample documents and bytes of each language, characters taken of a sample document, bytes of a piece, compression level, narrowest margin.
-BUCKETS, DICT_BYTES, SAMPLE_CHARS, PIECE, LEVEL, MARGIN = 192, 96 << 10, 700, 1024, 3, 0.01
+BUCKETS, DICT_BYTES, SAMPLE_CHARS, PIECE, LEVEL, MARGIN = 192, 96 << 10, 700, 1024, 6, 0.01
 UND = "und"
+_LETTERS = np.arange(256, dtype=np.uint8)
+_LETTERS[:65] = _LETTERS[91:97] = _LETTERS[123:128] = 32
+
+
+def letters(text: str) -> bytes:
+    """Lower-cased words of letters, with one space for whatever lies between."""
+    b = _LETTERS[np.frombuffer(text.lower().encode(), np.uint8)]
+    keep = np.ones(len(b), bool)
+    keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
+    return b[keep].tobytes()
 
 
 def sample(docs: DataFrame, text: str, lang: str) -> dict[str, bytes]:
@@ -33,9 +41,9 @@ def sample(docs: DataFrame, text: str, lang: str) -> dict[str, bytes]:
     got = rows.groupBy("lang", "b").agg(F.min(F.struct("h", "t")).alias("x")).select("lang", "b", "x.t").collect()  # languages * BUCKETS rows
     out: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["b"])):
-        out.setdefault(r["lang"], []).append(LOWER[np.frombuffer(r["t"].encode(), np.uint8)].tobytes())
+        out.setdefault(r["lang"], []).append(letters(r["t"]))
     least = min((sum(map(len, x)) for x in out.values()), default=0)
-    return {k: b"\n".join(x)[-max(least, 4096) :][-DICT_BYTES:] for k, x in out.items()}  # as much of one language as of another
+    return {k: b" ".join(x)[-max(least, 4096) :][-DICT_BYTES:] for k, x in out.items()}  # as much of one language as of another
 
 
 class Compressors:
@@ -85,12 +93,8 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
     def judged(batches):
         tools = Compressors(shared.value)
         for batch in batches:
-            letters = batch.column("__letter").to_pylist()
-            rows = []
-            for a, b, data, offsets in chunks(batch.column("__text")):
-                low = LOWER[data].tobytes()
-                for i in range(b - a):
-                    rows.append(tools.judge(low[offsets[i] : offsets[i + 1]]) if letters[a + i] and tools.langs else (UND, 0.0, False))
+            known = batch.column("__letter").to_pylist()
+            rows = [tools.judge(letters(text.as_py())) if ok and tools.langs else (UND, 0.0, False) for text, ok in zip(batch.column("__text"), known, strict=True)]
             cols = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=[*kept, "lang_pred", "score", "certain"])
 
