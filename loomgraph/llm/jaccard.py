@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by T-occurrence search with DivideSkip.
 
 Two sets of sizes s <= t with Jaccard similarity of at least num/den share at least T = ceil(num * t / den) shingles. With all shingles in
-one global order, each record's T - 1 last ones are its long lists and the rest its short ones; a record that reaches T must meet the query
-in a short list. So per query the short inverted lists are heap-merged for candidates, and the long ones are probed by binary search in the
-candidate's sorted set until T is reached or out of reach. The order is: shingles that were not seen often, by hash; then those seen often
+one global order, each record's L = T - MEET last ones are its long lists and the rest its short ones; a record that reaches T must meet the
+query in T - L = MEET short lists (all T, where T is smaller). So per query the short inverted lists are heap-merged, records that come up often
+enough are candidates, and long lists are probed by binary search in the candidate's sorted set until T is reached or out of reach. The order is: shingles that were not seen often, by hash; then those seen often
 (counted batch by batch over all documents, the most frequent MOST_FREQUENT kept), by count. Any order gives the same links; this one keeps
 lists short.
 
@@ -32,6 +32,8 @@ GRAM, NUM, DEN = 5, 80, 100
 #: Frequent shingles kept for the order; bins of minimum hashes and bins of a band; most rows of a broadcast; postings of a part of a list;
 #: pairs of a group to verify.
 MOST_FREQUENT, BINS, BAND, MOST_BROADCAST, LIST_PART, GROUP_PAIRS = 200_000, 16, 2, 1_000_000, 2048, 512
+#: Short lists in which a candidate must meet the query.
+MEET = 4
 #: Times that a shingle is seen in a batch of BATCH_BYTES before it counts as frequent there.
 SEEN_OFTEN, BATCH_BYTES = 8, 8 << 20
 
@@ -111,13 +113,13 @@ def sign(docs: DataFrame, gram: int, seed: int) -> DataFrame:
 def frequent(signed: DataFrame) -> np.ndarray:
     """Shingles seen often, the most frequent last; MOST_FREQUENT at most, sorted by hash, with their ranks."""
 
-    def unpacked(batches):
+    def opened(batches):
         for batch in batches:
             for x in batch.column("often").to_pylist():
                 k = len(x) // 16
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64, k)), pa.array(np.frombuffer(x, np.int64, k, 8 * k))], names=["h", "c"])
 
-    counted = signed.where("often IS NOT NULL").select("often").mapInArrow(unpacked, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = signed.where("often IS NOT NULL").select("often").mapInArrow(opened, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect()  # bounded; only the order of lists depends on it
     h = np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -147,7 +149,8 @@ def short_lists(docs: DataFrame, gram: int, num: int, den: int, seed: int, often
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column("text")):
                 sets = [g for g in sets_of(Words(data, offsets, SPACED), gram) if len(g)]
-                tokens = [ordered(g, order)[: len(g) - -(-num * len(g) // den) + 1] for g in sets]
+                least = [-(-num * len(g) // den) for g in sets]
+                tokens = [ordered(g, order)[: len(g) - t + min(MEET, t)] for g, t in zip(sets, least, strict=True)]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
                 flat = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
                 cols = [pa.array([signature(g, seed)[0] for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
@@ -156,16 +159,30 @@ def short_lists(docs: DataFrame, gram: int, num: int, den: int, seed: int, often
     return docs.select("text").mapInArrow(listed, "node long, n long, tokens array<long>")
 
 
-def full_sets(docs: DataFrame, gram: int, seed: int) -> DataFrame:
-    """node and its whole set, of the given documents, each node once."""
+def full_sets(wanted: DataFrame, gram: int, seed: int) -> DataFrame:
+    """g, node and the whole set, of rows of text, g and node; a row of another text under the same key is left out."""
 
     def built(batches):
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column("text")):
-                sets = [g for g in sets_of(Words(data, offsets, SPACED), gram) if len(g)]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(g, seed)[0] for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["node", "set"])
+            node = batch.column("node").to_pylist()
+            for a, b, data, offsets in chunks(batch.column("text")):
+                sets = sets_of(Words(data, offsets, SPACED), gram)
+                good = [i for i in range(b - a) if len(sets[i]) and signature(sets[i], seed)[0] == node[a + i]]
+                part = batch.slice(a, b - a).take(pa.array(good, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("g"), part.column("node"), pa.array([packed(sets[i]) for i in good], pa.binary())], names=["g", "node", "set"])
+
+    return wanted.select("text", "g", "node").mapInArrow(built, "g long, node long, set binary")
 
-    return docs.select("text").mapInArrow(built, "node long, set binary")
+
+def packed(g: np.ndarray) -> bytes:
+    """The 40 high bits of each hash, in order."""
+    return g.byteswap().view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel().byteswap()
 
 
 def reaches(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -186,26 +203,29 @@ def reaches(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, num: int, den: int, seed: int) -> DataFrame:
-    """The pairs (a, b of nodes) that are similar enough. Pairs of one a are cut into parts, each of which gets its set once."""
-    fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan"))
-    n_pairs = pairs.count()
-    parts = F.floor((F.col("fan") + GROUP_PAIRS - 1) / GROUP_PAIRS)
-    buckets = max(1, -(-2 * n_pairs // GROUP_PAIRS))
-    parted = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), parts)), F.lit(buckets)).alias("g"))
-    parted = Staged(parted, "pairs")
-    wanted = parted.df.select("a").unionByName(parted.df.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node"))
-    ids = Staged(nodes.join(wanted, "node").select("row_key"), "wanted")
-    texts = docs.join(small(ids.df), "row_key", "left_semi")
-    needs = parted.df.select(F.col("b").alias("node"), "g").unionByName(parted.df.select(F.col("a").alias("node"), "g")).distinct()
-    sets = full_sets(texts, gram, seed).groupBy("node").agg(F.first("set").alias("set"))
-    rows = needs.join(sets, "node").select("g", "node", "set", F.lit(None).cast("long").alias("b"))
-    rows = rows.unionByName(parted.df.select("g", F.col("a").alias("node"), F.lit(None).cast("binary").alias("set"), "b"))
+    """The pairs (a < b of nodes) that are similar enough.
+
+    Pairs are judged in groups of one smallest neighbour, so that a family's sets travel once; a group of more than GROUP_PAIRS is cut by b.
+    Sets are built next to the texts and travel once to each group, in 40 bits a shingle.
+    """
+    low = pairs.groupBy("b").agg(F.min("a").alias("low"))
+    own = pairs.select("a").distinct().join(low.withColumnRenamed("b", "a"), "a", "left").select("a", F.coalesce("low", "a").alias("label"))
+    labelled = Staged(pairs.join(own, "a").select("a", "b", "label"), "labelled").df
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    parts = F.floor((F.col("size") + GROUP_PAIRS - 1) / GROUP_PAIRS)
+    buckets = max(1, -(-2 * labelled.count() // GROUP_PAIRS))
+    group = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("b"), parts)), F.lit(buckets))
+    parted = Staged(labelled.join(sizes, "label").select("a", "b", group.alias("g")), "pairs").df
+    needs = parted.select(F.col("b").alias("node"), "g").unionByName(parted.select(F.col("a").alias("node"), "g")).distinct()
+    needs = Staged(needs.join(nodes.select("node", "row_key"), "node"), "needs").df
+    rows = full_sets(docs.join(small(needs), "row_key"), gram, seed).select("g", "node", "set", F.lit(None).cast("long").alias("b"))
+    rows = rows.unionByName(parted.select("g", F.col("a").alias("node"), F.lit(None).cast("binary").alias("set"), "b"))
 
     def judged(group: pa.Table) -> pa.Table:
         have, todo = {}, []
         for node, s, b in zip(group["node"].to_pylist(), group["set"], group["b"].to_pylist(), strict=True):
             if b is None:
-                have[node] = np.frombuffer(s.as_buffer(), np.uint64)
+                have[node] = unpacked(s.as_buffer())
             else:
                 todo.append((node, b))
         good = [(a, b) for a, b in todo if reaches(have[a], have[b], num, den)]
@@ -241,7 +261,7 @@ def search(postings: DataFrame, num: int, den: int) -> DataFrame:
                 of[int(node[k])], size[int(node[k])] = int(comp[k]), int(n[k])
                 if ends[k - a] < b:
                     lists.setdefault(int(node[k]), []).append((int(ends[k - a]), b, int(own[k]), split))
-        left, right = [], []
+        left, right, times = [], [], []
         for q, rest in lists.items():
             least, most = -(-num * size[q] // den), size[q] * den // num
             streams = []
@@ -252,14 +272,19 @@ def search(postings: DataFrame, num: int, den: int) -> DataFrame:
                 streams.append(np.sort(node[a:b][keep]).tolist())
             last = None
             for x in heapq.merge(*streams):
-                if x != last:
+                if x == last:
+                    times[-1] += 1
+                else:
                     left.append(q)
                     right.append(x)
+                    times.append(1)
                     last = x
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        small = [min(size[a], size[b]) for a, b in zip(left, right, strict=True)]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "met": pa.array(times, pa.int64()), "small": pa.array(small, pa.int64())})
 
-    found = rows.groupBy("g").applyInArrow(merged, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rows.groupBy("g").applyInArrow(merged, "a long, b long, met long, small long")
+    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("met").alias("met"), F.min("small").alias("small"))
+    return pairs.where(F.col("met") >= F.least(F.lit(MEET), F.ceil(F.col("small") * num / den))).select("a", "b")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
