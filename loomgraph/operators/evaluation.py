@@ -150,23 +150,23 @@ def fit_grid(df: DataFrame, no_relation: str = "no_relation", least: int = 50) -
 
 
 def fit_observed(df: DataFrame, min_margin: float = 0.0, metric: str = "f1", target: float = 0.95, no_relation: str = "no_relation") -> DataFrame:
-    """Per gold or predicted label the observed confidence (or 0 or 1) that is best as a threshold, by one cumulative pass over distinct confidences.
+    """Per predicted label the observed confidence (or 0 or 1) that is best as a threshold, by one cumulative pass over distinct confidences.
 
     f1: the largest F1, or recall: the largest recall of a precision of `target` at least; the smallest threshold wins ties; 1.0 and null figures if
-    none qualifies. Rows whose margin is below min_margin count as not predicted.
+    none qualifies. Rows whose margin is below min_margin are not accepted, whatever their confidence; a null margin passes.
     """
-    rows = df.where((F.lower("pred") != no_relation) & (F.coalesce("margin", F.lit(1.0)) >= min_margin)).select("pred", "conf", (F.col("gold") == F.col("pred")).alias("ok"))
-    counts = rows.groupBy("pred", "conf").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("tp"))
-    golds = df.where(F.lower("gold") != no_relation).groupBy(F.col("gold").alias("pred")).agg(F.count(F.lit(1)).alias("gold_n"))
-    labels = counts.select("pred").distinct().unionByName(golds.select("pred")).distinct()
-    ends = labels.select("pred", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("conf"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("tp"))
+    wide = F.coalesce("margin", F.lit(float("inf"))) >= min_margin
+    rows = df.where(F.col("pred") != no_relation).select("pred", "conf", wide.alias("wide"), (F.col("gold") == F.col("pred")).alias("ok"))
+    counts = rows.groupBy("pred", "conf").agg(F.count_if("wide").alias("n"), F.count_if(F.col("wide") & F.col("ok")).alias("tp"))
+    golds = df.groupBy(F.col("gold").alias("pred")).agg(F.count(F.lit(1)).alias("gold_n"))
+    ends = counts.select("pred").distinct().select("pred", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("conf"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("tp"))
     points = counts.unionByName(ends).groupBy("pred", "conf").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
     w = Window.partitionBy("pred").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
     c = points.withColumn("kept", F.sum("n").over(w)).withColumn("tpc", F.sum("tp").over(w)).join(golds, "pred", "left").na.fill(0, ["gold_n"])
     c = c.withColumns({"precision": ratio(F.col("tpc"), F.col("kept")), "recall": ratio(F.col("tpc"), F.col("gold_n"))})
     c = c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    value = F.col("f1") if metric == "f1" else F.when(F.col("precision") >= target, F.col("recall"))
-    c = c.withColumn("v", F.when(value > 0, value))
+    value = F.col("f1") if metric == "f1" else F.when(F.col("precision") >= target - 1e-12, F.col("recall"))
+    c = c.withColumn("v", value)
     best = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("v")).alias("v"), F.col("conf").alias("threshold"), F.col("tpc").alias("tp"), (F.col("kept") - F.col("tpc")).alias("fp"), (F.col("gold_n") - F.col("tpc")).alias("fn"), "precision", "recall", "f1")))
     out = c.groupBy("pred").agg(best.alias("x"))
     return out.select(F.col("pred").alias("relation"), F.coalesce(F.round("x.threshold", 6), F.lit(1.0)).alias("threshold"), "x.tp", "x.fp", "x.fn", *[F.round(f"x.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])

@@ -321,10 +321,10 @@ def named_judged(spark: SparkSession, d: str) -> DataFrame:
 _J = f"{_probs()}, j AS (SELECT {_NAMED.format('gold')} AS gold, {_NAMED.format('pred_id')} AS pred, round(conf, 9) AS conf FROM c)"
 
 
-@query(f"""WITH {_J}, pt AS (SELECT DISTINCT r, v FROM (SELECT pred AS r, conf AS v FROM j UNION ALL SELECT r, unnest([0.0, 1.0]) FROM (SELECT pred AS r FROM j UNION SELECT gold FROM j)) WHERE r <> 'no_relation'),
+@query(f"""WITH {_J}, pt AS (SELECT DISTINCT r, v FROM (SELECT pred AS r, conf AS v FROM j UNION ALL SELECT pred, unnest([0.0, 1.0]) FROM (SELECT DISTINCT pred FROM j)) WHERE r <> 'no_relation'),
 k AS (SELECT r, v, (SELECT count(*) FROM j WHERE pred = r AND conf >= v) AS kept, (SELECT count(*) FROM j WHERE pred = r AND gold = r AND conf >= v) AS tp, (SELECT count(*) FROM j WHERE gold = r) AS g FROM pt),
 m AS (SELECT *, CASE WHEN kept > 0 THEN tp / kept ELSE 0 END AS p, CASE WHEN g > 0 THEN tp / g ELSE 0 END AS rc FROM k), f AS (SELECT *, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END AS f1 FROM m),
-b AS (SELECT * FROM f WHERE f1 > 0 QUALIFY row_number() OVER (PARTITION BY r ORDER BY f1 DESC, v) = 1)
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY f1 DESC, v) = 1)
 SELECT n.r AS relation, CAST(coalesce(round(v, 6), 1.0) AS DOUBLE) AS threshold, tp, kept - tp AS fp, g - tp AS fn, round(p, 6) AS precision, round(rc, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT DISTINCT r FROM pt) n LEFT JOIN b ON n.r = b.r""")
 def threshold_observed(spark, d):
     return evaluation.fit_observed(named_judged(spark, d).withColumn("margin", F.lit(None).cast("double")))

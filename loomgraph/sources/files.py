@@ -26,11 +26,14 @@ def read_jsonl_checked(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 def read_detected(spark: SparkSession, path: str) -> DataFrame:
     """record (variant) of a file that holds JSON lines, a list, an object with a list under a usual name, or an object of objects; else ValueError."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.try_parse_json("value").alias("record"))
+    n = lines.agg(F.count(F.lit(1)).alias("n"), F.count("record").alias("good")).first()
+    if n["n"] > 1 and n["good"] == n["n"]:
+        return lines
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     kind = whole.select(F.schema_of_variant("v").alias("s"), F.expr("try_variant_get(v, '$', 'map<string, variant>')").alias("m")).first()
     if kind is None or kind["s"] is None:
-        lines = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.parse_json("value").alias("record"))
-        return lines
+        raise ValueError(f"{path}: neither records nor lines of JSON")
     if kind["s"].startswith("ARRAY"):
         return whole.select(F.explode(F.expr("variant_get(v, '$', 'array<variant>')")).alias("record"))
     keys = kind["m"] or {}
