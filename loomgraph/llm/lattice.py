@@ -261,7 +261,7 @@ def score(docs: DataFrame, learn, text: str = "text", keep: tuple[str, ...] = ("
                 times = np.diff(np.append(first, len(rh)))
                 pairs = pa.StructArray.from_arrays([pa.array(rh[first].view(np.int64)), pa.array(times)], names=["h", "n"])
                 at = np.searchsorted(rd[first], np.arange(n + 1)).astype(np.int32)
-                cols = [pa.array(np.diff(w.first) + 1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(at), pairs)]
+                cols = [pa.array(np.diff(w.first) + 1), pa.array(sums[0]), pa.array(sums[1].astype(np.float64)), pa.array(sums[2].astype(np.float64)), pa.ListArray.from_arrays(pa.array(at), pairs)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in kept] + cols, names=kept + schema.names)
 
     kept = [f.name for f in base.schema.fields if f.name not in ("__text", "__learn")]
