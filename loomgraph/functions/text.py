@@ -40,6 +40,16 @@ def mark_spans(text: Column, s1: Column, e1: Column, s2: Column, e2: Column) ->
     return F.when((s1 == s2) & (e1 == e2), F.lit("")).when(s1 < s2, later2).otherwise(later1)
 
 
+def mark_checked_spans(text: Column, s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """Tags without spaces, the later start first; each span must lie within the text as it is then, else the empty text."""
+
+    def tag(t: Column, s: Column, e: Column, k: int) -> Column:
+        ok = (s >= 0) & (s < e) & (e <= F.length(t))
+        return F.when(F.coalesce(ok, F.lit(False)), put(put(t, e, f"[/E{k}]"), s, f"[E{k}]"))
+
+    return F.coalesce(F.when(s1 >= s2, tag(tag(text, s1, e1, 1), s2, e2, 2)).otherwise(tag(tag(text, s2, e2, 2), s1, e1, 1)), F.lit(""))
+
+
 def mark_longest_first(text: Column, e1: Column, e2: Column) -> Column:
     """Tags without spaces: the longer name first, the other one where it is found in the tagged text; a missing one stays untagged."""
 

@@ -145,3 +145,23 @@ def hypothesis(df: DataFrame) -> DataFrame:
     # both names go in at once: a name that holds the other's placeholder stays as it is
     out = F.array_join(F.transform(F.split(text, r"(?<=\{h\})|(?=\{h\})|(?<=\{t\})|(?=\{t\})"), lambda p: F.when(p == "{h}", F.col("head")).when(p == "{t}", F.col("tail")).otherwise(p)), "")
     return j.withColumn("hypothesis", out).select(*df.columns, "hypothesis")
+
+
+def directed(df: DataFrame) -> DataFrame:
+    """df (head, tail, direction) with source and target: exchanged where the rule says reverse."""
+    back = F.coalesce(F.col("direction") == "reverse", F.lit(False))
+    return df.withColumns({"source": F.when(back, F.col("tail")).otherwise(F.col("head")), "target": F.when(back, F.col("head")).otherwise(F.col("tail"))})
+
+
+def entailment_ids(labels: dict[int, str]) -> tuple[int, int, int]:
+    """(entailment, neutral, contradiction) ids of a verifier by the names of its labels; (2, 1, 0) where they say nothing."""
+    low = {v.lower(): k for k, v in labels.items()}
+    found = [next((k for name, k in low.items() if part in name), None) for part in ("entail", "neutral", "contra")]
+    return tuple(found) if None not in found else (2, 1, 0)  # type: ignore[return-value]
+
+
+def side_by_side(model: DataFrame, llm: DataFrame, keys: list[str]) -> DataFrame:
+    """Both answers on the same pair: keys, model_relation, model_conf, llm_relation, agree."""
+    a = model.select(*keys, F.col("relation").alias("model_relation"), F.col("conf").alias("model_conf"))
+    b = llm.select(*keys, F.col("relation").alias("llm_relation"))
+    return a.join(b, keys).withColumn("agree", F.col("model_relation").eqNullSafe(F.col("llm_relation")))

@@ -539,3 +539,56 @@ def event_nodes(spark, d):
 @query(f"""{_SENT} SELECT doc_id, head AS head_text, tail AS tail_text, 'P1_SVO' AS pattern FROM q WHERE head <> tail UNION ALL SELECT doc_id, tail, head, 'P0_fallback_window_rev' FROM q WHERE head <> tail""")
 def proposed_pairs(spark, d):
     return dependency.proposed(*token_table(spark, d)).select("doc_id", "head_text", "tail_text", "pattern")
+
+
+# ---- further rules ----
+
+
+def _put_sql(s: str, at: str, tag: str) -> str:
+    return f"(substr({s}, 1, {at}) || '{tag}' || substr({s}, {at} + 1))"
+
+
+def _spans_sql() -> str:
+    x, s1, e1, s2, e2 = "p_name", "p_size % 5", "p_size % 5 + 2", "p_size % 3", "p_size % 3 + 3"
+    a = _put_sql(_put_sql(_put_sql(_put_sql(x, f"({e2})", "[/E2]"), f"({s2})", "[E2]"), f"({e1})", "[/E1]"), f"({s1})", "[E1]")
+    b = _put_sql(_put_sql(_put_sql(_put_sql(x, f"({e1})", "[/E1]"), f"({s1})", "[E1]"), f"({e2})", "[/E2]"), f"({s2})", "[E2]")
+    return f"CASE WHEN {s1} = {s2} AND {e1} = {e2} THEN '' WHEN {s1} < {s2} THEN {a} ELSE {b} END"
+
+
+@query(f"SELECT p_partkey, {_spans_sql()} AS marked FROM part")
+def mark_two_spans(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", T.mark_spans(F.col("p_name"), size % 5, size % 5 + 2, size % 3, size % 3 + 3).alias("marked"))
+
+
+@query("SELECT p_type AS label, CASE upper(trim(p_type)) WHEN 'PER' THEN 'PERSON' WHEN 'ORGANIZATION' THEN 'ORG' WHEN 'LOCATION' THEN 'LOC' ELSE upper(trim(p_type)) END AS normal, count(*) AS n FROM part GROUP BY ALL")
+def ner_label_normalise(spark, d):
+    return table(spark, d, "part").select(F.col("p_type").alias("label"), T.ner_label(F.col("p_type")).alias("normal")).groupBy("label", "normal").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT label, lower(label) IN ('na', 'no_relation', 'n/a', 'none') OR contains(lower(label), 'no_relation') OR ends_with(lower(label), '/na') AS none, count(*) AS n
+FROM (SELECT CASE WHEN vec_id % 7 = 0 THEN '/x/NA' WHEN vec_id % 5 = 0 THEN 'No_Relation' ELSE 'label_' || label END AS label FROM embeddings) GROUP BY ALL""")
+def no_relation_labels(spark, d):
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN '/x/NA' WHEN vec_id % 5 = 0 THEN 'No_Relation' ELSE 'label_' || label END")
+    e = table(spark, d, "embeddings").select(label.alias("label"))
+    return e.groupBy("label", T.is_no_relation(F.col("label")).alias("none")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_probs()} SELECT c.pred_id = e.label AS agree, count(*) AS n FROM c JOIN embeddings e USING (vec_id) GROUP BY ALL")
+def model_llm_agreement(spark, d):
+    a = judged(spark, d).select("vec_id", F.col("pred").alias("relation"), "conf")
+    b = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("relation"))
+    return scoring.side_by_side(a, b, ["vec_id"]).groupBy("agree").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {MENTIONS} SELECT doc_id, sent_id, text AS subject, n_text AS object FROM (SELECT *, lead(text) OVER w AS n_text, lead(type) OVER w AS n_type FROM m WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY ord)) WHERE type = 'ORG' AND n_type = 'LOC'""")
+def neighbour_mentions(spark, d):
+    return pairs.text_between(mentions(spark, d), "ORG", "LOC", "(?s).*").select("doc_id", "sent_id", "subject", "object")
+
+
+@query(f"""SELECT l_shipmode_like AS answer, label, kept, count(*) AS n FROM (SELECT x AS l_shipmode_like, CASE WHEN x IN ('ship mode', 'mail', 'rail') THEN x WHEN x = 'shipmode' THEN 'ship mode' ELSE 'ship mode' END AS label, x IN ('ship mode', 'mail', 'rail', 'shipmode') AS kept
+FROM (SELECT list_extract(['mail', 'shipmode', 'rail', 'air'], CAST(l_linenumber % 4 + 1 AS INTEGER)) AS x FROM lineitem)) GROUP BY ALL""")
+def coerced_labels(spark, d):
+    x = F.element_at(F.array(*map(F.lit, ("mail", "shipmode", "rail", "air"))), F.col("l_linenumber") % 4 + 1)
+    r = table(spark, d, "lineitem").select(x.alias("answer")).withColumn("c", responses.coerced_label(F.col("answer"), ["ship mode", "mail", "rail"]))
+    return r.groupBy("answer", F.col("c.label").alias("label"), F.col("c.conf_kept").alias("kept")).agg(F.count(F.lit(1)).alias("n"))

@@ -73,3 +73,13 @@ def test_thresholds_merge_keeps_zero(spark):
     a = spark.createDataFrame([("x", 0.9), ("y", 0.8)], "relation string, threshold double")
     b = spark.createDataFrame([("x", "0.0"), ("y", "high"), ("z", "0.5")], "relation string, threshold string")
     assert {r["relation"]: r["threshold"] for r in scoring.merged_thresholds(a, b).collect()} == {"x": 0.0, "y": 0.8, "z": 0.5}
+
+
+def test_small_helpers(spark):
+    d = scoring.directed(spark.createDataFrame([("a", "b", "reverse"), ("a", "b", None)], "head string, tail string, direction string")).collect()
+    assert [(r["source"], r["target"]) for r in d] == [("b", "a"), ("a", "b")]
+    assert scoring.entailment_ids({0: "ENTAILMENT", 1: "neutral", 2: "contradiction"}) == (0, 1, 2)
+    assert scoring.entailment_ids({0: "LABEL_0", 1: "LABEL_1", 2: "LABEL_2"}) == (2, 1, 0)
+    m = spark.createDataFrame([(1, "r", 0.5), (2, "s", 0.5)], "id int, relation string, conf double")
+    n = spark.createDataFrame([(1, "r"), (3, "s")], "id int, relation string")
+    assert [(r["id"], r["agree"]) for r in scoring.side_by_side(m, n, ["id"]).collect()] == [(1, True)]

@@ -61,3 +61,9 @@ def test_types(spark):
 def test_small_rules(spark):
     got = column(spark, [("per", None, "/x/NA")], "a string, b string, c string", l=T.ner_label(F.col("a")), i=T.node_id(F.col("b"), F.col("a")), n=T.is_no_relation(F.col("c")), q=T.normalize_quotes(F.lit("’“x”")), p=T.preposition(F.lit("at")), p2=T.preposition(F.lit("over")))[0]
     assert got == {"l": "PERSON", "i": "UNK:per", "n": True, "q": "'\"x\"", "p": "in", "p2": "over"}
+
+
+def test_checked_spans(spark):
+    rows = [("abcdef", 0, 2, 3, 5), ("abcdef", 3, 5, 0, 2), ("abcdef", 0, 2, 3, 9), ("abcdef", 2, 2, 3, 4), ("abcdef", 0, 4, 2, 6)]
+    got = [r["m"] for r in column(spark, rows, "s string, a int, b int, c int, d int", m=T.mark_checked_spans(F.col("s"), F.col("a"), F.col("b"), F.col("c"), F.col("d")))]
+    assert got[:4] == ["[E1]ab[/E1]c[E2]de[/E2]f", "[E2]ab[/E2]c[E1]de[/E1]f", "", ""] and got[4] != ""
