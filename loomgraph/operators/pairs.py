@@ -61,17 +61,20 @@ def distinct_mentions(mentions: DataFrame, by: str = "text") -> DataFrame:
 def capped_pairs(mentions: DataFrame, cap: int = 30) -> DataFrame:
     """The first `cap` ordered pairs of different mentions of a sentence, by (head, tail) order.
 
-    With n mentions only heads below ceil(cap / (n - 1)) and tails up to cap can come up, so the join meets no more than about cap pairs a sentence
-    and n is never squared. Each head's pairs have a known first rank, which cuts the last head exactly.
+    With n mentions only heads below ceil(cap / (n - 1)) and tails up to cap can come up, so a sentence gathers at most cap + 1 mentions and makes about cap
+    pairs; n is never squared. Pairs are made inside the row: one exchange, which mentions of one partition enter as one row a sentence.
     """
-    n = mentions.groupBy(*SENTENCE).agg(F.count(F.lit(1)).alias("n"))
-    m = mentions.join(n, SENTENCE).where("n > 1")
-    heads = m.where(F.col("ord") < F.ceil(F.lit(cap) / (F.col("n") - 1)))
-    tails = m.where(F.col("ord") <= cap).drop("n", "sentence")
-    h = heads.select(*SENTENCE, "sentence", "n", *[F.col(c).alias(f"head_{c}") for c in ("ord", "text", "type", "start", "end")])
-    t = tails.select(*SENTENCE, *[F.col(c).alias(f"tail_{c}") for c in ("ord", "text", "type", "start", "end")])
-    place = F.col("head_ord") * (F.col("n") - 1) + F.col("tail_ord") - F.when(F.col("tail_ord") > F.col("head_ord"), 1).otherwise(0)
-    return h.join(t, SENTENCE).where(F.col("head_ord") != F.col("tail_ord")).withColumn("ord", place).where(F.col("ord") < cap).drop("n")
+    cols = ("ord", "text", "type", "start", "end")
+    m = mentions.groupBy(*SENTENCE).agg(F.count(F.lit(1)).alias("n"), F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(F.when(F.col("ord") <= cap, F.struct(*cols)))).alias("ms")).where("n > 1")
+    n = F.col("n")
+
+    def place(h, t):
+        return h["ord"] * (n - 1) + t["ord"] - F.when(t["ord"] > h["ord"], 1).otherwise(0)
+
+    heads = F.filter("ms", lambda h: h["ord"] < F.ceil(F.lit(cap) / (n - 1)))
+    made = F.flatten(F.transform(heads, lambda h: F.transform(F.filter("ms", lambda t: t["ord"] != h["ord"]), lambda t: F.struct(h.alias("h"), t.alias("t"), place(h, t).alias("k")))))
+    rows = m.select(*SENTENCE, "sentence", F.explode(F.filter(made, lambda p: p["k"] < cap)).alias("p"))
+    return rows.select(*SENTENCE, "sentence", *[F.col(f"p.{s}.{c}").alias(f"{side}_{c}") for s, side in (("h", "head"), ("t", "tail")) for c in cols], F.col("p.k").alias("ord"))
 
 
 def typed_pairs(pairs: DataFrame) -> DataFrame:
