@@ -2,72 +2,39 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker expands into word arrays at a time.
-CHUNK_BYTES = 1 << 21
+from loomgraph.plans.staging import Staged, new_path, staged
 
-_staged: list[tuple[SparkSession, str]] = []
+__all__ = ["Staged", "Words", "buffers", "chunks", "fold", "lean", "new_path", "staged", "table", "with_outputs"]
 
+#: Bytes of text that a Python worker expands into word arrays at a time.
+CHUNK_BYTES = 1 << 21
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where it is unset, a temporary one for local runs."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
-
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over Arrow batches; when a task ends, its worker gives back the memory it no longer uses."""
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _staged:
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
-            remove(spark, path)
-        except Exception:  # the session may be gone already
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not every C library has it
             return
 
-
-class Staged:
-    """A DataFrame written once to the shared folder: it cuts lineage and survives the loss of executors."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-        _staged.remove((self.spark, self.path))
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    return Staged(df, name).df
+    return run
 
 
 def fold(key: Column, mod: int) -> Column:

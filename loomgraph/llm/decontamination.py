@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import ALNUM, Words, chunks, table
+from loomgraph.llm.common import ALNUM, Words, chunks, lean, table
 
 WINDOW, GRAM, BLOCK_BYTES = 10, 5, 16 << 20
 ADDED = T.StructType([
@@ -135,18 +135,19 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
     spark = docs.sparkSession
     added = {f.name for f in ADDED}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
-    out = docs.select(*[f"`{c}`" for c in kept], F.col(f"`{text}`").alias("__text"))
+    named = text if text in kept else "__text"
+    out = docs.select(*[f"`{c}`" for c in kept], *([] if named == text else [F.col(f"`{text}`").alias(named)]))
     every = blocks(bench, item, bench_text)
     for k, block in enumerate(every):
         shared = spark.sparkContext.broadcast(Index(block, window, gram))
         last = k == len(every) - 1
-        fields = [f for f in out.schema.fields if f.name in kept or (f.name == "__text" and not last)] + ADDED.fields
+        fields = [f for f in out.schema.fields if f.name in kept or (f.name == named and not last)] + ADDED.fields
 
         def marked(batches, shared=shared, first=k == 0, last=last):
             index = shared.value
             for batch in batches:
                 had = None if first else {n: batch.column(n).to_pylist() for n in ("hit_spans", "items", "n_items")}
-                for a, b, data, offsets in chunks(batch.column("__text")):
+                for a, b, data, offsets in chunks(batch.column(named)):
                     words = Words(data, offsets, ALNUM)
                     hit, found = index.scan(words)
                     rows = [(int(c), [], 0, [], False) for c in np.diff(words.first)]
@@ -158,12 +159,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
                     if had:
                         rows = [union(r, had["hit_spans"][a + i], had["n_items"][a + i], had["items"][a + i]) for i, r in enumerate(rows)]
                     cols = list(zip(*rows, strict=True))
-                    arrays = [batch.column(n).slice(a, b - a) for n in batch.schema.names if n in kept or (n == "__text" and not last)]
+                    arrays = [batch.column(n).slice(a, b - a) for n in batch.schema.names if n in kept or (n == named and not last)]
                     spans = pa.array([[{"start": s, "end": e} for s, e in x] for x in cols[1]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                     arrays += [pa.array(cols[0], pa.int64()), spans, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.bool_())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n in kept or (n == "__text" and not last)] + [f.name for f in ADDED])
+                    yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n in kept or (n == named and not last)] + [f.name for f in ADDED])
 
-        out = out.mapInArrow(marked, T.StructType(fields))
+        out = out.mapInArrow(lean(marked), T.StructType(fields))
     return out
 
 

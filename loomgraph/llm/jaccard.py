@@ -3,13 +3,13 @@
 Two sets of sizes s <= t with Jaccard similarity of at least num/den share at least T = ceil(num * t / den) shingles. With all shingles in
 one global order, each record's L = T - MEET last ones are its long lists and the rest its short ones; a record that reaches T must meet the
 query in T - L = MEET short lists (all T, where T is smaller). So per query the short inverted lists are heap-merged, records that come up often
-enough are candidates, and long lists are probed by binary search in the candidate's sorted set until T is reached or out of reach. The order is: shingles that were not seen often, by hash; then those seen often
-(counted batch by batch over all documents, the most frequent MOST_FREQUENT kept), by count. Any order gives the same links; this one keeps
-lists short.
+enough are candidates, and long lists are probed by binary search in the candidate's sorted set until T is reached or out of reach. The order is: shingles that were not seen often, by hash; then those seen often,
+by count. Seen often are, first, shingles that come up repeatedly in a batch of documents and, second, those that then fill a short list; of both the
+MOST_FREQUENT with the largest counts over all documents are kept. Any order gives the same links; this one keeps lists short.
 
 Steps, none of which meets all pairs of a group:
 1. Equal sets become one node (64-bit signature, checked against a second one).
-2. Nodes that share a band of minimum hashes are compared with the smallest node of the band, which joins most copies at a linear cost.
+2. Nodes that share a band of minimum hashes are compared with four leaders of the band, which joins most copies at a linear cost.
 3. Short lists that lie within one component of (2) are dropped by an aggregate; over the others, nodes of different components are searched.
 4. Verified links of (2) and (3) give the components.
 Only candidates' texts are read again for their sets. Hot nodes and hot lists are cut into parts, and rows of a part are bounded.
@@ -24,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACED, Staged, Words, chunks, mix, table
+from loomgraph.llm.common import SPACED, Staged, Words, chunks, lean, mix, table
 from loomgraph.llm.components import components
 
 #: Words of a shingle and least similarity (num, den), unless a caller says otherwise.
 GRAM, NUM, DEN = 5, 80, 100
 #: Frequent shingles kept for the order; bins of minimum hashes and bins of a band; most rows of a broadcast; postings of a part of a list;
-#: pairs of a group to verify.
-MOST_FREQUENT, BINS, BAND, MOST_BROADCAST, LIST_PART, GROUP_PAIRS = 200_000, 16, 2, 1_000_000, 2048, 512
+#: pairs of a group to verify; postings of a group to search.
+MOST_FREQUENT, BINS, BAND, MOST_BROADCAST, LIST_PART, GROUP_PAIRS, GROUP_POSTINGS = 500_000, 16, 2, 1_000_000, 2048, 512, 8192
 #: Short lists in which a candidate must meet the query.
 MEET = 4
-#: Times that a shingle is seen in a batch of BATCH_BYTES before it counts as frequent there.
-SEEN_OFTEN, BATCH_BYTES = 8, 8 << 20
+#: Times that a shingle is seen in a batch of BATCH_BYTES before it counts as frequent there; postings of a list before its shingle counts as frequent.
+SEEN_OFTEN, BATCH_BYTES, LONG_LIST = 4, 8 << 20, 4
 
 
 def sets_of(words: Words, gram: int) -> list[np.ndarray]:
@@ -107,7 +107,7 @@ def sign(docs: DataFrame, gram: int, seed: int) -> DataFrame:
                     held, size = [], 0
         yield from often()
 
-    return docs.mapInArrow(signed, SIGNED)
+    return docs.mapInArrow(lean(signed), SIGNED)
 
 
 def frequent(signed: DataFrame) -> np.ndarray:
@@ -117,23 +117,36 @@ def frequent(signed: DataFrame) -> np.ndarray:
         for batch in batches:
             for x in batch.column("often").to_pylist():
                 k = len(x) // 16
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64, k)), pa.array(np.frombuffer(x, np.int64, k, 8 * k))], names=["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.frombuffer(x, np.uint64, k) >> np.uint64(1)).view(np.int64)), pa.array(np.frombuffer(x, np.int64, k, 8 * k))], names=["h", "c"])
 
     counted = signed.where("often IS NOT NULL").select("often").mapInArrow(opened, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect()  # bounded; only the order of lists depends on it
-    h = np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    return ranked(counted)
+
+
+def ranked(counted: DataFrame, before: np.ndarray | None = None) -> np.ndarray:
+    """The MOST_FREQUENT shingles of the largest counts (h: 63 bits of the hash, c), sorted by h, with ranks by count; earlier ones stay behind new ones."""
+    top = counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toArrow()  # bounded; only the order of lists depends on it
+    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    if before is not None and before.shape[1]:
+        new = ~np.isin(h, before[0])
+        h, c = np.concatenate([h[new], before[0]]), np.concatenate([c[new], int(c.max(initial=0)) + 1 + before[1].astype(np.int64)])
+        keep = np.argsort(-c, kind="stable")[:MOST_FREQUENT]
+        h, c = h[keep], c[keep]
+    by_count = np.lexsort((h, c))
+    rank = np.empty(len(h), np.uint64)
+    rank[by_count] = np.arange(len(h), dtype=np.uint64)
     order = np.argsort(h)
-    return np.array([h[order], order.astype(np.uint64)])
+    return np.array([h[order], rank[order]])
 
 
-def ordered(g: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The set in the global order."""
-    if not len(g) or not often.shape[1]:
-        return g
-    k = np.minimum(np.searchsorted(often[0], g), often.shape[1] - 1)
-    is_often = often[0][k] == g
-    late = g[is_often]
-    return np.concatenate([g[~is_often], late[np.argsort(often[1][k[is_often]])]])
+def keys(g: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The set as ascending keys of the global order: 63 bits of the hash for shingles that are not frequent, beyond those of the rank for others."""
+    out = g >> np.uint64(1)
+    if len(g) and often.shape[1]:
+        k = np.minimum(np.searchsorted(often[0], out), often.shape[1] - 1)
+        is_often = often[0][k] == out
+        out[is_often] = often[1][k[is_often]] | np.uint64(1 << 63)
+    return np.sort(out)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -142,7 +155,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def short_lists(docs: DataFrame, gram: int, num: int, den: int, seed: int, often) -> DataFrame:
-    """node, n and the tokens of the short lists of each document with words."""
+    """node, n, tokens (ascending keys of the short lists) of each document with words."""
 
     def listed(batches):
         order = often.value
@@ -150,13 +163,13 @@ def short_lists(docs: DataFrame, gram: int, num: int, den: int, seed: int, often
             for _, _, data, offsets in chunks(batch.column("text")):
                 sets = [g for g in sets_of(Words(data, offsets, SPACED), gram) if len(g)]
                 least = [-(-num * len(g) // den) for g in sets]
-                tokens = [ordered(g, order)[: len(g) - t + min(MEET, t)] for g, t in zip(sets, least, strict=True)]
+                tokens = [keys(g, order)[: len(g) - t + min(MEET, t)] for g, t in zip(sets, least, strict=True)]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
                 flat = np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)
                 cols = [pa.array([signature(g, seed)[0] for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "tokens"])
 
-    return docs.select("text").mapInArrow(listed, "node long, n long, tokens array<long>")
+    return docs.select("text").mapInArrow(lean(listed), "node long, n long, tokens array<long>")
 
 
 def full_sets(wanted: DataFrame, gram: int, seed: int) -> DataFrame:
@@ -171,7 +184,7 @@ def full_sets(wanted: DataFrame, gram: int, seed: int) -> DataFrame:
                 part = batch.slice(a, b - a).take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("g"), part.column("node"), pa.array([packed(sets[i]) for i in good], pa.binary())], names=["g", "node", "set"])
 
-    return wanted.select("text", "g", "node").mapInArrow(built, "g long, node long, set binary")
+    return wanted.select("text", "g", "node").mapInArrow(lean(built), "g long, node long, set binary")
 
 
 def packed(g: np.ndarray) -> bytes:
@@ -234,57 +247,106 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, num
     return rows.groupBy("g").applyInArrow(judged, "a long, b long")
 
 
-def search(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of nodes of different components that meet in a short list. postings: token, node, n, comp, of all lists to search."""
-    sized = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    total = postings.count()
-    groups = max(1, -(-total // 50_000))
+def survivors(left: np.ndarray, right: np.ndarray, ids: np.ndarray, ptr: np.ndarray, size: np.ndarray, own: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of rows can reach the overlap, judged by their short lists, and are this group's to name.
+
+    ids[ptr[i]:ptr[i+1]]: row i's short lists as ascending numbers of the order; own: whether a number's list is searched here. Both lists are complete up to
+    the smaller of their last numbers. Up to there a pair shares c and the rows have a and b, so the overlap is at most c + min(|x| - a, |y| - b). A pair
+    is named where its first shared list is, so it comes up once however many lists it shares.
+    """
+    good = np.zeros(len(left), bool)
+    long = np.diff(ptr)
+    most = ids.max(initial=0) + 1
+    for at in range(0, len(left), 1 << 14):
+        x, y = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
+        pair = np.concatenate([np.repeat(np.arange(len(x)), long[x]), np.repeat(np.arange(len(y)), long[y])])
+        row = np.concatenate([np.repeat(x, long[x]), np.repeat(y, long[y])])
+        first = np.concatenate([np.repeat(np.cumsum(long[x]) - long[x], long[x]), np.repeat(np.cumsum(long[y]) - long[y], long[y])])
+        count_x = int(long[x].sum())
+        run = np.concatenate([np.arange(count_x), np.arange(len(row) - count_x)]) - first
+        value = ids[ptr[row] + run]
+        limit = np.minimum(ids[ptr[x + 1] - 1], ids[ptr[y + 1] - 1])
+        inside = value <= limit[pair]
+        a = np.bincount(pair[:count_x], inside[:count_x], len(x))
+        b = np.bincount(pair[count_x:], inside[count_x:], len(x))
+        both = np.sort(pair * most + value)
+        shared = both[1:][both[1:] == both[:-1]]
+        of = shared // most
+        c = np.bincount(of, minlength=len(x))
+        least = np.full(len(x), most)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
+        least[of[starts]] = shared[starts] % most
+        need = -(-num * (size[x] + size[y]) // (num + den))
+        meet = np.minimum(MEET, -(-num * np.minimum(size[x], size[y]) // den))
+        named = np.append(own, False)[np.minimum(least, len(own))]
+        good[at : at + (1 << 14)] = named & (c >= meet) & (c + np.minimum(size[x] - a, size[y] - b) >= need)
+    return good
+
+
+def search(postings: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of nodes of different components that meet in short lists. postings: token, node, n, comp of all lists to search; lists: node, tokens.
+
+    Lists go to groups by their smallest node, so those of one family mostly meet in one; a family of more than GROUP_POSTINGS is cut by list, and a list
+    of more than LIST_PART is searched part against part. A node's short lists travel once to each group that it is in.
+    """
+    sized = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"))
+    leads = sized.groupBy("lead").agg(F.sum("size").alias("total"))
+    groups = max(1, -(-postings.count() // GROUP_POSTINGS))
     cut = F.floor((F.col("size") + LIST_PART - 1) / LIST_PART).cast("int")
-    rows = postings.join(sized, "token").withColumn("cut", cut).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
-    # a list of more than LIST_PART postings is searched part against part
+    parts = F.floor((F.col("total") + GROUP_POSTINGS - 1) / GROUP_POSTINGS)
+    whole = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("token"), parts)), F.lit(groups))
+    plan = Staged(sized.join(leads, "lead").select("token", cut.alias("cut"), whole.alias("whole")), "plan").df
+    rows = postings.join(small(plan), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select("token", "node", "n", "comp", "own", lo.alias("lo"), hi.alias("hi"), F.when(F.col("cut") == 1, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(-1 - F.abs(F.xxhash64("token", lo, hi) % (1 << 40))).alias("g"))
+    g = F.when(F.col("cut") == 1, F.col("whole")).otherwise(-1 - F.abs(F.xxhash64("token", lo, hi) % (1 << 40)))
+    rows = Staged(rows.select(g.alias("g"), "node", "token", "n", "comp", "own", lo.alias("lo"), hi.alias("hi")), "searched").df
+    needs = Staged(rows.select("node", "g").distinct(), "needs").df
+    pre = lists.join(small(needs.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c not in ("g", "node")]
+    rows = rows.withColumn("tokens", F.lit(None).cast("array<long>")).unionByName(needs.join(pre, "node").select("g", "node", *none, "tokens"))
 
     def merged(group: pa.Table) -> pa.Table:
-        d = group.select(["token", "lo", "hi", "comp", "node", "n", "own"]).to_pandas()
+        given = group.filter(group["tokens"].is_valid())
+        have = dict(zip(given["node"].to_pylist(), (np.array(x.values).view(np.uint64) for x in given["tokens"]), strict=True))
+        d = group.filter(group["tokens"].is_null()).select(["token", "lo", "hi", "comp", "node", "n", "own"]).to_pandas()
         d = d.sort_values(["token", "lo", "hi", "comp", "node"], kind="stable")
         tok = d[["token", "lo", "hi"]].to_numpy()
         comp, node, n, own = (d[c].to_numpy() for c in ("comp", "node", "n", "own"))
+        nodes, where, row = np.unique(node, return_index=True, return_inverse=True)
+        size = n[where]
+        lists_of = [have[int(k)] for k in nodes]
+        ptr = np.concatenate([[0], np.cumsum([len(x) for x in lists_of])])
+        universe, ids = np.unique(np.concatenate([*lists_of, np.zeros(0, np.uint64)]), return_inverse=True)
+        searched = np.isin(universe, np.unique(tok[:, 0]).view(np.uint64))
         cuts = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]).any(axis=1), [True]])) if len(d) else np.zeros(1, int)
-        lists: dict[int, list[tuple[int, int, int, bool]]] = {}  # of each query the rest of each of its lists, past its own component
-        size, of = {}, {}
+        rest: dict[int, list[tuple[int, int, int, bool]]] = {}  # of each query the part of each of its lists past its own component
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             ends = a + np.searchsorted(comp[a:b], comp[a:b], "right")
             split = tok[a][1] != tok[a][2]
-            for k in range(a, b):
-                of[int(node[k])], size[int(node[k])] = int(comp[k]), int(n[k])
-                if ends[k - a] < b:
-                    lists.setdefault(int(node[k]), []).append((int(ends[k - a]), b, int(own[k]), split))
-        left, right, times = [], [], []
-        for q, rest in lists.items():
+            for k in np.flatnonzero(ends < b).tolist():
+                rest.setdefault(int(row[a + k]), []).append((int(ends[k]), b, int(own[a + k]), split))
+        left, right = [], []
+        for q, parts in rest.items():
             least, most = -(-num * size[q] // den), size[q] * den // num
             streams = []
-            for a, b, part, split in rest:
+            for a, b, part, split in parts:
                 keep = (n[a:b] >= least) & (n[a:b] <= most)
                 if split:
                     keep &= own[a:b] != part
-                streams.append(np.sort(node[a:b][keep]).tolist())
+                streams.append(np.sort(row[a:b][keep]).tolist())
             last = None
             for x in heapq.merge(*streams):
-                if x == last:
-                    times[-1] += 1
-                else:
+                if x != last:
                     left.append(q)
                     right.append(x)
-                    times.append(1)
                     last = x
-        small = [min(size[a], size[b]) for a, b in zip(left, right, strict=True)]
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64()), "met": pa.array(times, pa.int64()), "small": pa.array(small, pa.int64())})
+        left, right = np.array(left, np.int64), np.array(right, np.int64)
+        good = survivors(left, right, ids, ptr, size, searched, num, den)
+        x, y = nodes[left[good]], nodes[right[good]]
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
-    found = rows.groupBy("g").applyInArrow(merged, "a long, b long, met long, small long")
-    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("met").alias("met"), F.min("small").alias("small"))
-    return pairs.where(F.col("met") >= F.least(F.lit(MEET), F.ceil(F.col("small") * num / den))).select("a", "b")
+    return rows.groupBy("g").applyInArrow(merged, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -307,19 +369,26 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int
             break
     else:
         raise RuntimeError("signatures of different sets kept colliding")
-    often = docs.sparkSession.sparkContext.broadcast(frequent(signed))
+    share = docs.sparkSession.sparkContext.broadcast
+    seen = frequent(signed)
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "a")
-    near = Staged(banded.join(heads, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "near").df
+    by_hash = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in (1, 2)]
+    heads = banded.groupBy("band").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), *by_hash)).alias("heads"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "heads")
+    met = banded.join(heads, "band").select("node", F.explode("heads").alias("head")).where("node <> head")
+    near = Staged(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "near").df
     links = Staged(verified(near, nodes, docs, gram, num, den, seed), "links").df
     comps = Staged(components(links), "components").df
 
+    drafts = Staged(short_lists(docs, gram, num, den, seed, share(seen)), "lists")
+    long = drafts.df.select(F.explode("tokens").alias("h")).where("h >= 0").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LONG_LIST)
+    often = share(ranked(long, seen))
+    drafts.drop()
     lists = Staged(short_lists(docs, gram, num, den, seed, often), "lists").df
     posted = lists.join(small(comps.select("node", "label")), "node", "left").select("node", "n", F.coalesce("label", "node").alias("comp"), F.explode("tokens").alias("token"))
     open_lists = Staged(posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "open").df
     postings = Staged(posted.join(small(open_lists), "token").select("token", "node", "n", "comp").distinct(), "postings").df
-    pairs = Staged(search(postings, num, den), "candidates").df
+    pairs = Staged(search(postings, lists, num, den), "candidates").df
     more = Staged(verified(pairs, nodes, docs, gram, num, den, seed), "links").df
 
     label = Staged(components(links.unionByName(more)), "components").df

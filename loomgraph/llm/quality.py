@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import buffers, fold, table
+from loomgraph.llm.common import buffers, fold, lean, table
 
 #: Bytes of a chunk and from one chunk to the next; width, stride and number of filters; size of embeddings and of the hidden layer.
 CHUNK, HOP, WIDTH, STRIDE, FILTERS, DIM, HIDDEN = 256, 192, 8, 2, 32, 8, 16
@@ -170,16 +170,17 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "score"]
     net = train(*examples(docs, labels, learn, text, key, label))
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    named = text if text in kept else "__text"
+    base = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if named == text else [F.col(f"`{text}`").alias(named)]))
 
     def scored(batches):
         own = Network()
         own.p = shared.value
         for batch in batches:
-            out = own.score(*buffers(batch.column("__text")))
+            out = own.score(*buffers(batch.column(named)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, pa.float64())], names=[*kept, "score"])
 
-    return base.mapInArrow(scored, base.select(*kept, F.lit(0.0).alias("score")).schema)
+    return base.mapInArrow(lean(scored), base.select(*kept, F.lit(0.0).alias("score")).schema)
 
 
 def op1_byte_cnn_quality(spark, sf_dir: str) -> DataFrame:
