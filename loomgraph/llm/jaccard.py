@@ -21,7 +21,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import SPACED, Staged, Words, chunks, lean, mix, table
@@ -349,17 +349,25 @@ def search(postings: DataFrame, lists: DataFrame, num: int, den: int) -> DataFra
     return rows.groupBy("g").applyInArrow(merged, "a long, b long").distinct()
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """The key as text; where it is null, a zero character and a hash of the text."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\x00"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def has_key(name: Column) -> Column:
+    return ~F.startswith(name, F.lit("\x00"))
+
+
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
     """row_key, n_shingles, component_id for each row of docs: its set's size and the smallest key reachable by links, itself included.
 
-    row_key is the key as text. Words are lower-cased (A-Z) runs without ASCII white space. A text of fewer words than a shingle has one
+    row_key is the key as text (for null keys see row_key()). Words are lower-cased (A-Z) runs without ASCII white space. A text of fewer words than a shingle has one
     shingle, the whole; null texts and texts without words have none and link with nothing, so their component is their own key. Repeated
     rows are copies; null keys are never the smallest unless no other is reachable. Lengths, ties and hot groups change nothing.
     """
     kind = docs.schema[key].dataType
-    docs = docs.select(F.col(f"`{key}`").cast("string").alias("row_key"), F.col(f"`{text}`").alias("text"))
-    docs = docs.withColumn("row_key", F.coalesce("row_key", F.lit("")))
-    ident = F.when(F.col("row_key") != "", F.col("row_key").cast(kind))
+    docs = docs.select(row_key(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row_key"), F.col(f"`{text}`").alias("text"))
+    ident = F.when(has_key(F.col("row_key")), F.col("row_key").cast(kind))
     for seed in range(8):
         signed = Staged(sign(docs, gram, seed), "signed").df
         own = signed.where("n > 0")
@@ -373,8 +381,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int
     seen = frequent(signed)
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    by_hash = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in (1, 2)]
-    heads = banded.groupBy("band").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), *by_hash)).alias("heads"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "heads")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    banded = Staged(banded.join(sizes, "band"), "bands").df
+    # leaders come up in large bands, as the text does that a family was made from: so most of it is close to them
+    rank = banded.groupBy("node").agg(F.sum("k").alias("rank"))
+    best = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == q, F.struct("rank", "node")))["node"] for q in range(4)]
+    heads = banded.join(rank, "node").groupBy("band").agg(F.array_distinct(F.array_compact(F.array(*best))).alias("heads"))
     met = banded.join(heads, "band").select("node", F.explode("heads").alias("head")).where("node <> head")
     near = Staged(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "near").df
     links = Staged(verified(near, nodes, docs, gram, num, den, seed), "links").df
@@ -403,7 +415,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int
 def op10_divideskip_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = classes(docs, gram=4, num=85, den=100)
-    return found.select(F.when(F.col("row_key") != "", F.col("row_key").cast("long")).alias("doc_id"), "n_shingles", "component_id")
+    return found.select(F.when(has_key(F.col("row_key")), F.col("row_key").cast("long")).alias("doc_id"), "n_shingles", "component_id")
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
