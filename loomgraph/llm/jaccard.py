@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACED, Staged, Words, chunks, lean, mix, table
+from loomgraph.llm.common import SPACED, Staged, Words, chunks, lean, mix, most_frequent, table
 from loomgraph.llm.components import components
 
 #: Words of a shingle and least similarity (num, den), unless a caller says otherwise.
@@ -125,7 +125,9 @@ def frequent(signed: DataFrame) -> np.ndarray:
 
 def ranked(counted: DataFrame, before: np.ndarray | None = None) -> np.ndarray:
     """The MOST_FREQUENT shingles of the largest counts (h: 63 bits of the hash, c), sorted by h, with ranks by count; earlier ones stay behind new ones."""
-    top = counted.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toArrow()  # bounded; only the order of lists depends on it
+    counts = Staged(counted, "counts")
+    top = most_frequent(counts.df, "c", MOST_FREQUENT).toArrow()  # bounded; only the order of lists depends on it
+    counts.drop()
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     if before is not None and before.shape[1]:
         new = ~np.isin(h, before[0])

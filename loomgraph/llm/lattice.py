@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomgraph.llm.common import SPACED, Staged, Words, buffers, chunks, fold, table
+from loomgraph.llm.common import SPACED, Staged, Words, buffers, chunks, fold, most_frequent, table
 
 #: Words of the broadcast head, rounds of fitting, weight of the prior in each piece's count, bytes of text counted before counts are sent on.
 HEAD, ROUNDS, PRIOR, FLUSH_BYTES = 1 << 19, 2, 0.1, 16 << 20
@@ -236,7 +236,7 @@ def score(docs: DataFrame, learn, text: str = "text", keep: tuple[str, ...] = ("
 
     words = Staged(counted.df.mapInArrow(scored, "h long, train long, uses long, lp double"), "scored")
     counted.drop()
-    top = words.df.orderBy(F.desc("uses"), "h").limit(head).select("h", "train", "lp").toArrow()  # bounded by head
+    top = most_frequent(words.df, "uses", head).select("h", "train", "lp").toArrow()  # bounded by head
     h = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     known = spark.sparkContext.broadcast((h[order], top["train"].to_numpy()[order], top["lp"].to_numpy()[order]))
