@@ -80,3 +80,13 @@ def test_empty(spark, tmp_path):
 def test_run(spark, tmp_path):
     folder(spark, str(tmp_path), corpus(2))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
+
+
+def test_mixing_keeps_all_rows_in_order(spark):
+    docs = [(i, "t", "en", "hot", 1) for i in range(3000)] + [(9000 + i, "t", "en", "b", 1) for i in range(1000)] + [(9999, "t", "en", "rare", 1), (None, "t", "en", None, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix(spark, df, "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, df.collect()))
+    seen = sum(r["source"] == "b" for r in got[:1000])
+    weights = {"hot": 3000**0.9, "b": 1000**0.9, "rare": 1, None: 1}
+    assert abs(seen - 1000 * weights["b"] / sum(weights.values())) <= 16
