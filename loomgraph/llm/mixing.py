@@ -1,9 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows form blocks. With target weight k/D, block i of a source has the release floor(i*D/k) and the deadline
-ceil((i+1)*D/k), and in every slot the released block with the earliest deadline goes next. Weights sum to 1, so every block gets a slot in
-its window and after any number of slots a source has had less than one block more or less than its weight says. The schedule repeats
-after D slots, so it is computed once from the weights alone (D rows); a row finds its slot by its block's number modulo k.
+Each source's rows form blocks. In a fluid schedule all sources that still have blocks share the slots in proportion to their exact weights;
+an exhausted source leaves it and the others share what it had. Block i of a source has as its release the slot in which its fluid share
+begins, and as its deadline the slot by whose start that share is complete, and in every slot the released block with the earliest deadline
+goes next. The fluid schedule fills each slot, so every block gets a slot in its window, and after any number of slots a source has had less
+than one block more or less than its fluid share. Until the first source is exhausted that share is its weight times the slots.
+
+The driver computes the schedule from the counts of rows alone (three numbers a block, handed over in pieces of bounded size); a row finds its
+slot by its source and its block's number.
 
 Ranks inside a source come from counts of hash buckets, never from one window over a whole source, so a source may hold any share of the
 rows.
@@ -12,14 +16,21 @@ rows.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import reduce
+from itertools import islice
+from math import lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, with_outputs
+from loomgraph.llm.common import staged, table, with_outputs
 
-#: Rows of a block, exponent of the default targets, buckets of a source, slots of a period for each source (1000 at least), most sources.
-BLOCK_ROWS, TEMPER, BUCKETS, SLOTS_EACH, MOST_SOURCES = 8, 0.9, 1024, 50, 100_000
+#: Rows of a block, exponent of the default targets, buckets of a source, most sources.
+BLOCK_ROWS, TEMPER, BUCKETS, MOST_SOURCES = 8, 0.9, 1024, 100_000
+#: Blocks in a row of the schedule's table, rows of that table that the driver holds and broadcasts.
+RUN, PIECE = 256, 4096
 
 
 def quantised(weights: dict[str, float], slots: int) -> dict[str, int]:
@@ -37,20 +48,66 @@ def quantised(weights: dict[str, float], slots: int) -> dict[str, int]:
     return out
 
 
+class Schedule:
+    """The slots of all blocks: earliest deadline first among released blocks, by exact weights; exhausted sources leave it.
+
+    weights (above 0) and blocks (1 at least) of each source. horizon: the whole slots before the first source is exhausted.
+    """
+
+    def __init__(self, weights: dict[str, float], blocks: dict[str, int]):
+        exact = {s: Fraction(w) for s, w in weights.items()}
+        unit = lcm(*(f.denominator for f in exact.values()))
+        self.weight = {s: int(f * unit) for s, f in exact.items()}
+        self.blocks = {s: blocks[s] for s in self.weight}
+        self.slots = sum(self.blocks.values())
+        order = sorted(self.weight, key=lambda s: (Fraction(self.blocks[s], self.weight[s]), s))
+        self.ends = [(self.blocks[s], self.weight[s]) for s in order]
+        self.gone, self.active = [0], [sum(self.weight.values())]  # blocks of the first j sources to be exhausted, weight of the others
+        for b, w in self.ends:
+            self.gone.append(self.gone[-1] + b)
+            self.active.append(self.active[-1] - w)
+        self.horizon = self.ends[0][0] * self.active[0] // self.ends[0][1] if order else 0
+
+    def share(self, s: str, i: int) -> tuple[int, int]:
+        """Floor and ceiling of the time at which the fluid schedule has given source s its first i blocks."""
+        w, lo, hi = self.weight[s], 0, len(self.ends)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            b, v = self.ends[mid]
+            lo, hi = (mid + 1, hi) if b * w <= i * v else (lo, mid)
+        x = i * self.active[lo]
+        return self.gone[lo] + x // w, self.gone[lo] - (-x // w)
+
+    def __iter__(self) -> Iterator[tuple[str, int, int, int, int]]:
+        """(source, block, slot, release, deadline) in the order of slots; memory for one block a source."""
+        ready = [(self.share(s, 1)[1], s, 0, 0) for s in self.weight]
+        heapq.heapify(ready)
+        later: list[tuple[int, int, str, int]] = []
+        for t in range(self.slots):
+            while later and later[0][0] <= t:
+                release, deadline, s, i = heapq.heappop(later)
+                heapq.heappush(ready, (deadline, s, i, release))
+            deadline, s, i, release = heapq.heappop(ready)
+            assert release <= t < deadline
+            yield s, i, t, release, deadline
+            if i + 1 < self.blocks[s]:
+                heapq.heappush(later, (self.share(s, i + 1)[0], self.share(s, i + 2)[1], s, i + 1))
+
+    def runs(self) -> Iterator[tuple[str, int, list[int], list[int], list[int]]]:
+        """(source, run, slots, releases, deadlines) of each RUN blocks. Where sources outlast the horizon, its slot stays empty, and marks it."""
+        open_runs: dict[str, tuple[list, list, list]] = {}
+        for s, i, t, release, deadline in self:
+            run = open_runs.setdefault(s, ([], [], []))
+            for x, v in zip(run, (t + (t >= self.horizon), release + (release >= self.horizon), deadline + (deadline > self.horizon)), strict=True):
+                x.append(v)
+            if len(run[0]) == RUN or i + 1 == self.blocks[s]:
+                yield (s, i // RUN, *open_runs.pop(s))
+
+
 def edf(shares: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    slots = sum(shares.values())
-    released: dict[int, list] = {}
-    for s, k in shares.items():
-        for i in range(k):
-            released.setdefault(i * slots // k, []).append((-(-(i + 1) * slots // k), s))
+    """The slots of each source's blocks in one period of as many slots as there are shares."""
     out: dict[str, list[int]] = {s: [] for s in shares}
-    ready: list[tuple[int, str]] = []
-    for t in range(slots):
-        for x in released.get(t, ()):
-            heapq.heappush(ready, x)
-        deadline, s = heapq.heappop(ready)
-        assert t < deadline
+    for s, _, t, _, _ in Schedule(shares, shares):
         out[s].append(t)
     return out
 
@@ -64,10 +121,11 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """docs with block, release, deadline, slot, position and selected.
 
     weights: target of each source (None: of rows without a source); by default the rows of each source to the power TEMPER. Sources
-    without rows are left out and the rest scaled up. position: place in the interleaved order. selected: its slot comes before the first
-    slot that finds its source exhausted, so up to there all targets hold within a block; later rows stay in the result with selected =
-    false. Sources of no weight have null slots and positions. Null keys and repeated keys are rows like others. Columns of the new names
-    are replaced; all others stay.
+    without rows are left out and the rest scaled up. position: place in the interleaved order, which holds all rows; exhausted sources leave
+    it and the others share their slots by their weights. selected: its slot comes before the first source is exhausted, so up to there all
+    targets hold within a block; later rows have selected = false, and the slot between them and the others stays empty. Sources of no
+    weight have null slots and positions. Null keys and repeated keys are rows like others. Columns of the new names are replaced; all others
+    stay.
     """
     spark = docs.sparkSession
     base = docs.withColumn("__s", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("-"))).withColumn("__b", F.pmod(F.xxhash64(f"`{key}`"), F.lit(BUCKETS)))
@@ -80,29 +138,31 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     rows = {r["__s"]: r["count"] for r in totals}
     target = tempered(rows) if weights is None else {("-" if s is None else f"={s}"): w for s, w in weights.items()}
     target = {s: w for s, w in target.items() if rows.get(s) and w > 0}
-    shares = quantised(target, max(1000, SLOTS_EACH * len(target))) if target else {}
-    slots, pattern = sum(shares.values()), edf(shares)
-    blocks = {s: -(-rows[s] // block_rows) for s in shares}
-    horizon = min((blocks[s] // k * slots + pattern[s][blocks[s] % k] for s, k in shares.items()), default=0)
-    table_rows = [(s, j, k, t) for s, k in shares.items() for j, t in enumerate(pattern[s])]
-    slot_of = F.broadcast(spark.createDataFrame(table_rows, "__s string, __j int, __k int, __t int"))  # one row a slot of a period
-    share_of = F.broadcast(spark.createDataFrame([(s, k) for s, k in shares.items()], "__s string, __share int"))  # one row a source
+    plan = Schedule(target, {s: -(-rows[s] // block_rows) for s in target})
+    runs, pieces = plan.runs(), []
+    while (piece := list(islice(runs, PIECE))) or not pieces:
+        df = spark.createDataFrame(piece, "__s string, __run bigint, __slots array<bigint>, __releases array<bigint>, __deadlines array<bigint>", verifySchema=False)
+        more = len(piece) == PIECE or pieces
+        pieces.append(staged(df, "schedule") if more else F.broadcast(df))  # PIECE rows at most; beyond, a join
+        if len(piece) < PIECE:
+            break
+    slots = reduce(DataFrame.unionByName, pieces)
     rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy(F.xxhash64(f"`{key}`"), f"`{key}`")) - 1
-    out = base.withColumn("__k0", rank).join(offsets, ["__s", "__b"]).join(share_of, "__s", "left")
+    out = base.withColumn("__k0", rank).join(offsets, ["__s", "__b"])
     place = F.col("__before") + F.col("__k0")
     out = out.withColumn("__i", F.floor(place / block_rows).cast("long")).withColumn("__r", place % block_rows)
-    out = out.withColumn("__j", (F.col("__i") % F.col("__share")).cast("int")).join(slot_of, ["__s", "__j"], "left")
-    k, i = F.col("__share").cast("long"), F.col("__i")
-    slot = F.floor(i / k).cast("long") * slots + F.col("__t")
+    out = out.withColumn("__run", F.expr(f"__i div {RUN}")).join(slots, ["__s", "__run"], "left")
+    at = (F.col("__i") % RUN).cast("int")
+    slot = F.get("__slots", at)
     return with_outputs(
         out,
-        block=i,
-        release=F.expr(f"__i * {slots}L div __share"),
-        deadline=F.expr(f"((__i + 1) * {slots}L + __share - 1) div __share"),
+        block=F.col("__i"),
+        release=F.get("__releases", at),
+        deadline=F.get("__deadlines", at),
         slot=slot,
         position=slot * block_rows + F.col("__r"),
-        selected=F.coalesce(slot < horizon, F.lit(False)),
-    ).drop("__s", "__b", "__k0", "__before", "__share", "__i", "__r", "__j", "__k", "__t")
+        selected=F.coalesce(slot < plan.horizon, F.lit(False)),
+    ).drop("__s", "__b", "__k0", "__before", "__run", "__i", "__r", "__slots", "__releases", "__deadlines")
 
 
 def op3_pfair_mix(spark, sf_dir: str) -> DataFrame:

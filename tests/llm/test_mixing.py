@@ -59,3 +59,46 @@ def test_query_is_native(spark, tmp_path):
     df = mixing.op3_pfair_mix(spark, str(tmp_path))
     assert df.count() == 200
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_unrounded_targets(spark):
+    rows = {"hot": 6000, **{f"s{i}": 600 for i in range(19)}, "rare": 3}
+    weights = {s: n**0.9 for s, n in rows.items()}
+    df = spark.createDataFrame([(i, s) for s, n in rows.items() for i in range(n)], "doc_id long, source string")
+    got = mixing.mix_sources(df, block_rows=1).collect()
+    firsts = check(got)
+    assert len(firsts) == len(got)
+    horizon, total = sum(r["selected"] for r in got), sum(weights.values())
+    assert horizon > 8000
+    seen = Counter()
+    for t in range(horizon):
+        seen[firsts[t]] += 1
+        assert all(abs(seen[s] - w / total * (t + 1)) < 1 for s, w in weights.items())
+
+
+def test_exhausted_sources_leave():
+    weights, blocks = {"a": 0.6, "b": 0.3, "c": 0.00007, "d": 1e-9}, {"a": 500, "b": 2000, "c": 1, "d": 40}
+    seen, left = Counter(), dict(blocks)
+    order = list(mixing.Schedule(weights, blocks))
+    assert [x[2] for x in order] == list(range(2541))
+    fluid = dict.fromkeys(weights, 0.0)
+    for s, i, *_ in order:
+        assert i == seen[s]
+        seen[s] += 1
+        need = 1.0
+        while need > 1e-9 and (on := [x for x in weights if left[x] - fluid[x] > 1e-9]):
+            rate = sum(weights[x] for x in on)
+            step = min(need, min((left[x] - fluid[x]) * rate / weights[x] for x in on))
+            for x in on:
+                fluid[x] += step * weights[x] / rate
+            need -= step
+        assert all(abs(seen[x] - fluid[x]) < 1 + 1e-6 for x in weights)
+    assert dict(seen) == blocks
+
+
+def test_schedule_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 7 % 3}") for i in range(900)], "doc_id long, source string")
+    whole = sorted(map(str, mixing.mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "RUN", 5)
+    monkeypatch.setattr(mixing, "PIECE", 4)
+    assert sorted(map(str, mixing.mix_sources(df).collect())) == whole
