@@ -160,8 +160,9 @@ def unpack(column) -> np.ndarray:
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding", key: str = "vec_id", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose key is divisible by `every`, its k largest integer inner products.
 
-    Ties go to the smaller key; with fewer than k candidates all are returned. A query is no candidate of its own, and rows that repeat its
-    key are none either. Vectors without values, with null or non-finite components or without a key take no part. Vectors of different
+    Ties go to the smaller key; with fewer than k candidates all are returned. Rows that repeat a key, or a key and vector, are candidates like
+    others and each take a rank of their own; rows that repeat a query's key share its ranks. A query is no candidate of its own, and rows
+    that repeat its key are none either. Vectors without values, with null or non-finite components or without a key take no part. Vectors of different
     lengths raise ValueError. Columns besides vector and key are ignored.
     """
     spark = vectors.sparkSession
@@ -263,7 +264,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         return got if found is None else got.unionByName(found)
 
     def best_of(df: DataFrame, name: str) -> DataFrame:
-        top = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "v"))), 1, k)
+        """The k best of each query's rows; no query group meets a part twice, so each pair of rows is there once at most."""
+        top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "v"))), 1, k)
         return Staged(df.groupBy("q").agg(top.alias("t")).select("q", F.posexplode("t").alias("r", "t")).select("q", F.col("t.v").alias("v"), (-F.col("t.s")).alias("score"), (F.col("r") + 1).cast("int").alias("rank")), name).df
 
     first = best_of(searched(meets.where(F.col("place") < FIRST).select("g", "part"), None), "first")

@@ -78,3 +78,18 @@ def test_cover_radii():
         pts = below(k)
         assert tree.center[k] in pts
         assert np.sqrt(((x[pts] - x[tree.center[k]]) ** 2).sum(axis=1)).max() <= tree.radius[k] + 1e-6
+
+
+def test_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(K, "LEAST_PART", 20)
+    monkeypatch.setattr(K, "PART", 20)
+    monkeypatch.setattr(K, "PIVOTS", 6)
+    rows = vectors(150, 6, 5)
+    best = brute(rows, 10, 5)
+    rows += [rows[best[0][2]]] * 4 + [rows[0]] + [(rows[best[5][2]][0], rows[7][1])] * 2 + [(10, rows[33][1])]
+    ints = [(i, [math.floor(x * 256) for x in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in ints if i % 10 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(x, y)), i) for p, x in ints if p == q for i, y in ints if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    assert run(spark, rows) == sorted(want)
