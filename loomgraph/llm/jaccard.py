@@ -361,7 +361,8 @@ def has_key(name: Column) -> Column:
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
-    """row_key, n_shingles, component_id for each row of docs: its set's size and the smallest key reachable by links, itself included.
+    """row_key, n_shingles, component_id, label for each row of docs: its set's size, the smallest key reachable by links, itself included, and
+    the name of its component, null where the set is empty.
 
     row_key is the key as text (for null keys see row_key()). Words are lower-cased (A-Z) runs without ASCII white space. A text of fewer words than a shingle has one
     shingle, the whole; null texts and texts without words have none and link with nothing, so their component is their own key. Repeated
@@ -408,10 +409,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int
     label = Staged(components(links.unionByName(more)), "components").df
     named = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     of_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    ends = Staged(named.join(of_label, "label").select("node", "component_id"), "ends").df
+    ends = Staged(named.join(of_label, "label").select("node", "component_id", "label"), "ends").df
     rows = signed.where("n IS NOT NULL").select("row_key", "n", "node")
-    out = rows.where("n > 0").join(ends, "node").select("row_key", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("n = 0").select("row_key", F.col("n").alias("n_shingles"), ident.alias("component_id")))
+    out = rows.where("n > 0").join(ends, "node").select("row_key", F.col("n").alias("n_shingles"), "component_id", "label")
+    return out.unionByName(rows.where("n = 0").select("row_key", F.col("n").alias("n_shingles"), ident.alias("component_id"), F.lit(None).cast("long").alias("label")))
 
 
 def op10_divideskip_jaccard(spark, sf_dir: str) -> DataFrame:

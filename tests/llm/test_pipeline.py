@@ -90,3 +90,20 @@ def test_mixing_keeps_all_rows_in_order(spark):
     seen = sum(r["source"] == "b" for r in got[:1000])
     weights = {"hot": 3000**0.9, "b": 1000**0.9, "rare": 1, None: 1}
     assert abs(seen - 1000 * weights["b"] / sum(weights.values())) <= 16
+
+
+def test_near_duplicates_by_row(spark):
+    rng = random.Random(4)
+    t = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    docs = [
+        (1, t[0]), (7, t[0] + " again"), (7, t[1]),  # a copy and a text of its own under one id
+        (8, t[2]), (8, t[2] + " again"),  # near copies of one id
+        (None, t[3]), (None, t[3] + " again"), (None, t[4]),  # near copies without an id
+        (None, t[5]), (9, t[5] + " again"), (12, t[5] + " again"), (9, t[5] + " again"), (20, None), (None, ""),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.keep_one_of_each(spark, df, "").collect()
+    assert {tuple(r) for r in got} <= set(docs)
+    which = sorted((str(r["doc_id"]), r["text"] and t.index(r["text"].removesuffix(" again"))) for r in got if r["text"])
+    assert which == [("1", 0), ("7", 1), ("8", 2), ("9", 5), ("None", 3), ("None", 4)]
+    assert len(got) == 8
