@@ -23,35 +23,53 @@ def covered(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     return tokens.join(inside, [*SENTENCE, "i"], "left")
 
 
-def jump(tokens: DataFrame, follow: Column, depth: int = 5) -> DataFrame:
-    """(doc_id, sent_id, i, top): where each token ends by following heads as long as `follow` holds, by pointer doubling (2**depth steps at most)."""
+def _within(tokens: DataFrame, steps: int) -> None:
+    """Raises ValueError if a path of so many steps is longer than the longest sentence: then heads form a cycle."""
+    if steps >= 32 and steps > (tokens.groupBy(*SENTENCE).count().agg(F.max("count")).first()[0] or 0):
+        raise ValueError("heads of a sentence form a cycle")
+
+
+def jump(tokens: DataFrame, follow: Column) -> DataFrame:
+    """(doc_id, sent_id, i, top): where each token ends by following heads as long as `follow` holds, by pointer doubling until no pointer moves."""
     p = tokens.select(*SENTENCE, "i", F.when(follow & (F.col("head_i") != F.col("i")), F.col("head_i")).otherwise(F.col("i")).alias("top"))
-    for _ in range(depth):
+    steps = 1
+    while True:
         p = staged(p, "pointers")
         q = p.where("top <> i").select(*SENTENCE, F.col("i").alias("top"), F.col("top").alias("next"))
+        far = p.where("top <> i").join(q, [*SENTENCE, "top"])
+        moves, loops = far.agg(F.count(F.lit(1)), F.count(F.when(F.col("next") == F.col("i"), 1))).first()
+        if not moves:
+            return p
+        if loops:
+            raise ValueError("heads of a sentence form a cycle")
+        _within(tokens, steps)
         p = p.join(q, [*SENTENCE, "top"], "left").select(*SENTENCE, "i", F.coalesce("next", "top").alias("top"))
-    return p
+        steps *= 2
 
 
-def ancestors(tokens: DataFrame, of: DataFrame, depth: int = 5) -> DataFrame:
-    """(doc_id, sent_id, i, a) of the tokens of `of` and every token above them, themselves included, by doubling paths (2**depth levels at most)."""
+def ancestors(tokens: DataFrame, of: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, i, a) of the tokens of `of` and every token above them, themselves included, by doubling paths until none is left."""
     step = tokens.where(F.col("head_i") != F.col("i")).select(*SENTENCE, "i", F.col("head_i").alias("a"))
     every = of.select(*SENTENCE, "i", F.col("i").alias("a"))
-    for _ in range(depth):
+    steps = 1
+    while True:
         step, every = staged(step, "steps"), staged(every, "paths")
+        if step.isEmpty():
+            return every.distinct()
+        _within(tokens, steps)
         far = step.select(*SENTENCE, F.col("i").alias("a"), F.col("a").alias("b"))
         every = every.unionByName(every.join(far, [*SENTENCE, "a"]).select(*SENTENCE, "i", F.col("b").alias("a")))
         step = step.join(far, [*SENTENCE, "a"]).select(*SENTENCE, "i", F.col("b").alias("a"))
-    return every.distinct()
+        steps *= 2
 
 
-def resolved(tokens: DataFrame, mentions: DataFrame, depth: int = 5) -> DataFrame:
+def resolved(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     """tokens with ent (their own mention), sub (that or the first of their subtree) and subj (sub, or for a relative pronoun the first mention of the three
     heads above that is none)."""
     t = covered(tokens, mentions)
     t = staged(t, "tokens")
     named = t.where("ent IS NOT NULL").select(*SENTENCE, "i", "ent")
-    below = ancestors(tokens, named, depth).join(named, [*SENTENCE, "i"])
+    below = ancestors(tokens, named).join(named, [*SENTENCE, "i"])
     first = below.groupBy(*SENTENCE, F.col("a").alias("i")).agg(F.min(F.struct("i", "ent")).alias("x")).select(*SENTENCE, "i", F.col("x.ent").alias("below"))
     t = t.join(first, [*SENTENCE, "i"], "left").withColumn("sub", F.coalesce("ent", "below")).drop("below")
     t = staged(t, "tokens")

@@ -1,5 +1,8 @@
 from itertools import permutations
 
+import pytest
+from pyspark.sql import functions as F
+
 from loomgraph.operators import dependency, pairs
 
 M = "doc_id long, sent_id int, ord int, text string, type string, start int, end int, root_i int, sentence string"
@@ -109,3 +112,21 @@ def test_patterns(spark):
     cop = [("Acme", "PROPN", "nsubj", 2), ("is", "AUX", "cop", 2), ("part", "NOUN", "ROOT", 2), ("of", "ADP", "prep", 2), ("Bolt", "PROPN", "pobj", 3)]
     got = proposals(spark, cop)
     assert ("Acme", "Bolt", "P3_copular_prep") in got and ("Acme", "Bolt", "P6_noun_of_cop_subj") in got
+
+
+def test_long_chains(spark):
+    n = 75
+    chain = [(0, 0, i, "conj" if i else "dobj", max(i - 1, 0)) for i in range(n)]
+    df = spark.createDataFrame(chain, "doc_id long, sent_id int, i int, dep string, head_i int")
+    assert {(r["i"], r["j"]) for r in dependency.conjuncts(df).collect()} == {(i, j) for i in range(n) for j in range(n) if i != j}
+    up = dependency.ancestors(df, df.where(f"i = {n - 1}").select("doc_id", "sent_id", "i"))
+    assert sorted(r["a"] for r in up.collect()) == list(range(n))
+
+
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_cycles_of_heads(spark, size):
+    df = spark.createDataFrame([(0, 0, i, "conj", (i + 1) % size) for i in range(size)], "doc_id long, sent_id int, i int, dep string, head_i int")
+    with pytest.raises(ValueError):
+        dependency.jump(df, F.col("dep") == "conj")
+    with pytest.raises(ValueError):
+        dependency.ancestors(df, df.select("doc_id", "sent_id", "i"))
