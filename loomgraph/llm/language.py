@@ -5,7 +5,9 @@ dictionary, and the language with the smallest total wins. When the runner-up co
 stays in lang_pred for callers that need one, and certain is false.
 
 Dictionaries take DICT_BYTES at most of each language's text: one short piece of each of BUCKETS hash buckets of documents, by an aggregate of
-bounded size that every training row goes through. Texts are classified whole.
+bounded size that every training row goes through. Each keeps its whole sample: languages of equal samples are compared with one another, and
+the best of the larger ones meets a poorer language with a dictionary cut to that one's length (LEAST_BYTES at least), so a poor sample
+weakens no other comparison. Texts are classified whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from loomgraph.llm.common import fold, table
 
 #: Sample documents and bytes of each language, characters taken of a sample document, bytes of a piece, compression level, narrowest margin.
 BUCKETS, DICT_BYTES, SAMPLE_CHARS, PIECE, LEVEL, MARGIN = 192, 96 << 10, 700, 1024, 6, 0.01
+#: Bytes to which a dictionary is cut at most for the comparison with a poorer one.
+LEAST_BYTES = 4096
 UND = "und"
 _LETTERS = np.arange(256, dtype=np.uint8)
 _LETTERS[:65] = _LETTERS[91:97] = _LETTERS[123:128] = 32
@@ -42,25 +46,39 @@ def sample(docs: DataFrame, text: str, lang: str) -> dict[str, bytes]:
     out: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["b"])):
         out.setdefault(r["lang"], []).append(letters(r["t"]))
-    least = min((sum(map(len, x)) for x in out.values()), default=0)
-    return {k: b" ".join(x)[-max(least, 4096) :][-DICT_BYTES:] for k, x in out.items()}  # as much of one language as of another
+    return {k: b" ".join(x)[-DICT_BYTES:] for k, x in out.items()}
 
 
 class Compressors:
     def __init__(self, texts: dict[str, bytes]):
         self.langs = sorted(texts)
-        self.tools = []
-        for k in self.langs:
-            d = zstandard.ZstdCompressionDict(texts[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.texts = [texts[k] for k in self.langs]
+        self.tools: dict[tuple[int, int], zstandard.ZstdCompressor] = {}
+        self.tiers: dict[int, list[int]] = {}  # languages by the bytes at which they are compared, the richest first
+        for k in sorted(range(len(self.langs)), key=lambda k: -len(self.texts[k])):
+            self.tiers.setdefault(max(len(self.texts[k]), LEAST_BYTES), []).append(k)
+
+    def tool(self, k: int, most: int) -> zstandard.ZstdCompressor:
+        text = self.texts[k][-most:]
+        if (k, len(text)) not in self.tools:
+            d = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            self.tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.tools[k, len(text)] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return self.tools[k, len(text)]
+
+    def size(self, k: int, most: int, text: bytes) -> int:
+        """Bytes of the text with at most so many bytes of the dictionary."""
+        tool = self.tool(k, most)
+        return sum(len(tool.compress(text[at : at + PIECE])) for at in range(0, len(text), PIECE))
 
     def sizes(self, text: bytes) -> np.ndarray:
-        out = np.zeros(len(self.tools))
-        for at in range(0, len(text), PIECE):
-            piece = text[at : at + PIECE]
-            for k, tool in enumerate(self.tools):
-                out[k] += len(tool.compress(piece))
+        """Sizes by language, of poorer languages in proportion to that of the best of the richer ones at the same length of dictionary."""
+        out = np.full(len(self.langs), np.inf)
+        for most, tier in self.tiers.items():
+            best = int(out.argmin())
+            unit = out[best] / self.size(best, most, text) if out[best] < np.inf else 1.0
+            for k in tier:
+                out[k] = self.size(k, most, text) * unit
         return out
 
     def judge(self, text: bytes) -> tuple[str, float, bool]:

@@ -100,6 +100,19 @@ def test_language(spark):
     assert language.identify(docs.limit(0), F.lit(True)).isEmpty()
 
 
+def test_a_rare_language_leaves_the_others_alone(spark):
+    rng = random.Random(3)
+    rows = [(text(rng, lang, 120), lang) for _ in range(250) for lang in WORDS]
+    rare = [("water haus maison zzyx", "xx"), (" ".join(f"qu{rng.randrange(10**6)}zz" for _ in range(600)), "yy")]
+    before = language.sample(spark.createDataFrame(rows, "t string, l string"), "t", "l")
+    after = language.sample(spark.createDataFrame(rows + rare, "t string, l string"), "t", "l")
+    assert all(len(v) > 40_000 for v in before.values()) and {k: after[k] for k in before} == before
+    held = [text(rng, lang, n) for n in (6, 30, 200) for _ in range(10) for lang in WORDS]
+    one, two = language.Compressors(before), language.Compressors(after)
+    assert [one.judge(language.letters(t))[0] for t in held] == [two.judge(language.letters(t))[0] for t in held]
+    assert two.judge(language.letters(" ".join(f"qu{rng.randrange(10**6)}zz" for _ in range(90))))[0] == "yy"
+
+
 def test_narrow_margins_are_rejected():
     same = {"a": b"one two three four five", "b": b"one two three four five"}
     lang, score, certain = language.Compressors(same).judge(b"one two three")
