@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.staging import Staged, new_path, staged
 
-__all__ = ["Staged", "Words", "buffers", "chunks", "fold", "lean", "most_frequent", "new_path", "staged", "table", "with_outputs"]
+__all__ = ["Staged", "Words", "batches_of", "buffers", "chunks", "fold", "lean", "most_frequent", "new_path", "staged", "table", "with_outputs"]
 
 #: Bytes of text that a Python worker expands into word arrays at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +39,21 @@ def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return run
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for what is planned inside; for steps that write their result before they leave."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows if was is None or int(was) <= 0 else min(rows, int(was))))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
 def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     """Rows of the largest counts (whole numbers from 0), `most` at most: a histogram finds the cut, so no task orders or reads them all.
 

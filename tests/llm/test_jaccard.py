@@ -61,14 +61,70 @@ def test_against_brute_force(spark, seed, gram, num):
     assert result(spark, rows, gram, num, 100) == brute(rows, gram, num, 100)
 
 
-def test_hot_lists_are_cut(spark, monkeypatch):
+@pytest.mark.parametrize("lead", [True, False])
+def test_hot_lists_are_cut(spark, monkeypatch, lead):
     monkeypatch.setattr(J, "LIST_PART", 3)
-    monkeypatch.setattr(J, "GROUP_PAIRS", 4)
-    monkeypatch.setattr(J, "BINS", 2)  # leaves most links to the search
+    monkeypatch.setattr(J, "GROUP_SHINGLES", 400)
+    monkeypatch.setattr(J, "GROUP_POSTINGS", 30)
+    monkeypatch.setattr(J, "BIG", 3)
     monkeypatch.setattr(J, "LONG_LIST", 10**9)
-    monkeypatch.setattr(J, "MOST_BROADCAST", 2)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
     rows = family(3, 60)
-    assert result(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((int(r["row_key"]), r["n_shingles"], r["component_id"]) for r in J.classes(df, gram=4, num=85, den=100, lead=lead).collect()), key=str)
+    assert got == brute(rows, 4, 85, 100)
+
+
+def all_links(rows, gram, num, den):
+    """Every link between different sets, by an index of all shingles."""
+    sets = {}
+    for d, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOW))
+        if w:
+            s = frozenset(tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)) if len(w) >= gram else frozenset({tuple(w)})
+            sets.setdefault(s, []).append(d)
+    every, index, shared = list(sets), {}, {}
+    for i, s in enumerate(every):
+        for g in s:
+            for j in index.setdefault(g, []):
+                shared[j, i] = shared.get((j, i), 0) + 1
+            index[g].append(i)
+    good = [(i, j) for (i, j), o in shared.items() if den * o >= num * (len(every[i]) + len(every[j]) - o)]
+    n = {d: len(x) - 1 for x in sets.values() for d in x}
+    for i, j in good:
+        for x, y in ((i, j), (j, i)):
+            for d in sets[every[x]]:
+                n[d] += len(sets[every[y]])
+    return {frozenset((min(sets[every[i]]), min(sets[every[j]]))) for i, j in good}, n
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_search_alone_finds_all_links(spark, monkeypatch, small):
+    """Recall of the T-occurrence search by itself: 1, and no link too many; with the leaders the components are the same."""
+    if small:
+        rows = family(7, 120)
+        monkeypatch.setattr(J, "GROUP_POSTINGS", 60)
+    else:
+        rng = random.Random(9)
+        vocab, rows = [f"w{i}" for i in range(3000)], []
+        passage = " ".join(rng.choice(vocab) for _ in range(60))
+        for f in range(260):
+            base = [rng.choice(vocab) for _ in range(rng.choice([12, 60, 150, 400]))]
+            for _ in range(rng.choice([1, 1, 2, 3, 40])):
+                w = list(base)
+                for _ in range(int(len(w) * rng.choice([0, 0.005, 0.01, 0.02]))):
+                    w[rng.randrange(len(w))] = rng.choice(vocab)
+                rows.append((len(rows), " ".join(w) + (" " + passage if f % 3 == 0 else "")))
+        assert len(rows) > 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found, members = J.links(df, gram=4, num=85, den=100)
+    name = {r["node"]: int(r["row_key"]) for r in sorted(members.collect(), key=lambda r: -int(r["row_key"])) if r["node"] is not None}
+    want, n = all_links(rows, 4, 85, 100)
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and {frozenset((name[a], name[b])) for a, b in pairs} == want and len(want) > (40 if small else 2000)
+    assert {int(r["row_key"]): r["n_links"] for r in members.collect()} == {d: n.get(d, 0) for d, _ in rows}
+    both = [sorted((int(r["row_key"]), r["component_id"]) for r in J.classes(df, gram=4, num=85, den=100, lead=x).collect()) for x in (True, False)]
+    assert both[0] == both[1]
 
 
 def test_edges(spark):
@@ -79,7 +135,7 @@ def test_edges(spark):
     assert J.classes(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
-def test_bound_never_drops_a_link():
+def test_bound_and_probe():
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -94,9 +150,14 @@ def test_bound_never_drops_a_link():
             lists.append(x[: len(x) - t + min(J.MEET, t)])
         ptr = np.array([0, len(lists[0]), len(lists[0]) + len(lists[1])])
         ids = np.concatenate(lists)
+        met = J.occurring([[0, 1] if v in lists[1] else [0] for v in lists[0]], J.MEET)
         good = J.survivors(np.array([0]), np.array([1]), ids, ptr, np.array([len(a), len(b)]), np.ones(400, bool), 85, 100)
-        assert good[0] or not linked
-        assert J.reaches(a.astype(np.uint64), b.astype(np.uint64), 85, 100) == linked
+        assert (good[0] and 1 in met) or not linked
+        assert J.Lists([a.astype(np.uint64), b.astype(np.uint64)]).reach(0, 1, 85, 100) == J.Lists([b.astype(np.uint64), a.astype(np.uint64)]).reach(0, 1, 85, 100, 7) == linked
+
+
+def test_occurring():
+    assert J.occurring([[1, 2, 5], [2, 5], [5]], 2) == [2, 5] and J.occurring([[1, 2]], 1) == [1, 2] and J.occurring([[1]], 2) == []
 
 
 def test_components(spark):
