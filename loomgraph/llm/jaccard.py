@@ -418,19 +418,19 @@ class Join:
         self.often = share(ranked(long, seen))
         drafts.drop()
         self.lists = Staged(short_lists(docs, gram, num, den, seed, self.often), "lists")
-        posted = self.lists.df.select("node", "n", F.explode("tokens").alias("token")).distinct()
-        every = Staged(posted, "posted")
-        met = Staged(every.df.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "met")
-        self.postings = Staged(every.df.join(small(met.df), "token").select("token", "node", "n", "k"), "postings")
-        every.drop()
+        posted = self.lists.df.select("node", "n", F.explode("tokens").alias("token"))
+        met = Staged(posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"), "met")
+        every = Staged(posted.join(small(met.df), "token").select("token", "node", "n").distinct(), "posted")  # only lists of several nodes
         met.drop()
+        size = Staged(every.df.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BIG), "large")
+        self.postings, self.large = every, size
 
     def probe(self, pairs: DataFrame) -> DataFrame:
         return probed(pairs, self.nodes.df, self.docs, self.gram, self.num, self.den, self.seed, self.often)
 
     def led(self) -> DataFrame:
         """Links of nodes with leaders of their large lists."""
-        return self.probe(leaders(self.postings.df.where(F.col("k") > BIG)))
+        return self.probe(leaders(self.postings.df.join(small(self.large.df), "token")))
 
     def rest(self, comps: DataFrame | None = None) -> DataFrame:
         """All links, or all between nodes of different components (node, label)."""
@@ -445,7 +445,7 @@ class Join:
         return self.probe(search(held.df.select("token", "node", "n", "comp"), self.lists.df, self.num, self.den))
 
     def drop(self) -> None:
-        for x in (self.lists, self.postings):
+        for x in (self.lists, self.postings, self.large):
             x.drop()
 
 
