@@ -107,3 +107,30 @@ def test_near_duplicates_by_row(spark):
     which = sorted((str(r["doc_id"]), r["text"] and t.index(r["text"].removesuffix(" again"))) for r in got if r["text"])
     assert which == [("1", 0), ("7", 1), ("8", 2), ("9", 5), ("None", 3), ("None", 4)]
     assert len(got) == 8
+
+
+CLASHES = ("score", "predicted", "held_out", "shard", "slot", "position", "block", "__key", "__s", "__b", "__k", "__id", "name", "row", "tie", "node", "label", "n", "g", "row_key", "contaminated", "n_words", "items", "column0", "repeated", "a.b")
+
+
+def test_clashing_names(spark, tmp_path):
+    """Every stage keeps columns of its operators' names, and the same rows as without them."""
+    docs = corpus(3)[:80] + [(None, None, None, None, None)]
+    folder(spark, str(tmp_path), docs)
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    wide = plain.selectExpr("*", *[f"concat('{c} ', coalesce(doc_id, -1)) AS `{c}`" for c in CLASHES])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out, want = stage(spark, wide, str(tmp_path)), stage(spark, plain, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/wide{k}")
+        kept = [c for c in wide.columns if k < 4 or c not in ("shard", "slot")]
+        assert out.columns == kept + (["shard", "slot"] if k == 4 else [])
+        rows = out.collect()
+        assert sorted(str((r["doc_id"], r["text"])) for r in rows) == sorted(str((r["doc_id"], r["text"])) for r in want.collect()) and rows
+        assert all(r[c] == f"{c} {-1 if r['doc_id'] is None else r['doc_id']}" for r in rows for c in kept if c in CLASHES)
+
+
+def test_emptied_half_way(spark, tmp_path):
+    """All documents rejected by the first stage: the others get an empty table."""
+    folder(spark, str(tmp_path), [d for d in corpus() if "%%%" in (d[1] or "")])
+    spark.createDataFrame([(0, 0, 0)] + [(i, 0, 0) for i in range(0, 160, 6)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.isEmpty() and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
