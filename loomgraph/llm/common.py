@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.staging import Staged, new_path, staged
 
-__all__ = ["Staged", "Words", "batches_of", "buffers", "chunks", "fold", "lean", "most_frequent", "new_path", "staged", "table", "with_outputs"]
+__all__ = ["Staged", "Words", "batches_of", "buffers", "chunks", "fold", "lean", "most_frequent", "new_path", "small", "staged", "table", "with_outputs"]
 
 #: Bytes of text that a Python worker expands into word arrays at a time.
 CHUNK_BYTES = 1 << 19
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,14 @@ def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(F.lit(False)) if cut_at is None else df.where(bin_ >= cut_at)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, broadcast if its values take BROADCAST_BYTES at most (its rows are staged, so counting is cheap); beyond, Spark joins by a shuffle."""
+    text = [c for c, kind in df.dtypes if kind == "string"]
+    wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(16 * len(df.columns)).cast("long"))
+    size = df.agg(F.sum(wide)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def fold(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo mod; a null key falls in the fold of the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % mod

@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACED, Staged, Words, batches_of, chunks, lean, mix, most_frequent, table
+from loomgraph.llm.common import SPACED, Staged, Words, batches_of, chunks, lean, mix, most_frequent, small, table
 from loomgraph.llm.components import components
 
 #: Words of a shingle and least similarity (num, den), unless a caller says otherwise.
 GRAM, NUM, DEN = 5, 80, 100
-#: Frequent shingles kept for the order; bytes of a broadcast; postings of a part of a list; shingles of a group to probe; postings of a group to search.
-MOST_FREQUENT, BROADCAST_BYTES, LIST_PART, GROUP_SHINGLES, GROUP_POSTINGS = 200_000, 4 << 20, 2048, 1 << 19, 8192
+#: Frequent shingles kept for the order; postings of a part of a list; shingles of a group to probe; postings of a group to search.
+MOST_FREQUENT, LIST_PART, GROUP_SHINGLES, GROUP_POSTINGS = 200_000, 2048, 1 << 19, 8192
 #: Short lists in which a candidate must meet the query.
 MEET = 4
 #: Nodes of a list beyond which it has leaders; lists of a node that look for leaders.
@@ -143,14 +143,6 @@ def keys(g: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.sort(out)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, broadcast if its values take BROADCAST_BYTES at most (its rows are staged, so counting is cheap); beyond, Spark joins by a shuffle."""
-    text = [c for c, kind in df.dtypes if kind == "string"]
-    wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(16 * len(df.columns)).cast("long"))
-    size = df.agg(F.sum(wide)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def short_lists(docs: DataFrame, gram: int, num: int, den: int, seed: int, often) -> DataFrame:
     """node, n, tokens (ascending keys of the short lists) of each document with words."""
 

@@ -1,8 +1,9 @@
 """WARC archives with revisit records.
 
-Headers (id, digest, length) are shuffled by payload digest; the smallest page id of equal payloads keeps its response, the others become
-revisits that refer to it. Spark's text writer puts the records into files, with its commit protocol and on any file system; a record ends
-with the two line ends that the format asks for. Reading parses by Content-Length and joins revisits to the originals again.
+Headers (row, id, digest) are shuffled by payload digest; the smallest page id of equal payloads keeps its response, the others become revisits
+that refer to it. Payloads stay where they are while the table of revisits is small; beyond, they are joined with it by row, never by digest, so a hot
+payload fills no task. Spark's text writer puts the records into files, with its commit protocol and on any file system; a record ends with the
+two line ends that the format asks for. Reading parses by Content-Length and joins revisits to the originals again.
 """
 
 from __future__ import annotations
@@ -10,37 +11,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import new_path, staged, table
+from loomgraph.llm.common import Staged, new_path, small, staged, table
 
-#: Payloads of fewer bytes are always stored; bytes of an archive file, about; most digests of repeated payloads that are broadcast.
-LEAST_BYTES, FILE_BYTES, MOST_BROADCAST = 100, 16 << 20, 1_000_000
+#: Payloads of fewer bytes are always stored; bytes of an archive file, about.
+LEAST_BYTES, FILE_BYTES = 100, 16 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "file string, record_id string, page_id long, url string, record_type string, refers_to_id string, payload_digest string, payload_bytes long, payload binary"
 
 
 def resolve(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """pages with payload, digest, bytes and original (the page whose response stands for this payload, or null for a response).
+    """pages with payload, digest, bytes, u (a number of the row) and original: page_id and u of the response for this payload, or null for a response.
 
-    Null html is an empty payload. Payloads below `least` bytes are responses. Repeated rows that hold the smallest id are all responses.
-    Rows without a page_id are never originals; if all rows of a payload are without, all are responses.
+    Null html is an empty payload. Payloads below `least` bytes are responses. Repeated rows that hold the smallest id are all responses, and
+    revisits refer to one of them. Rows without a page_id are never originals; if all rows of a payload are without, all are responses. One page_id may
+    come with several payloads. No rows give no rows; other columns are ignored. pages is read twice and must then have the same rows in the same order, as
+    tables in files have.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    heads = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
-    first = heads.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = staged(first.select(F.col("digest").alias("d"), "first_id"), "digests")
-    if first.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # else payloads are shuffled with their headers
-        first = F.broadcast(first)
-    joined = heads.join(first, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
-    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "digest", "bytes", F.when(other, F.col("first_id")).alias("original"))
-
-
-def record_id(page_id) -> F.Column:
-    h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
+    heads = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("u"))
+    heads = heads.select("*", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
+    keys = Staged(heads.where(F.col("bytes") >= least).select("page_id", "u", F.unhex("digest").alias("d")), "heads")
+    one = F.min(F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id").alias("page"), "u"))).alias("original")
+    first = Staged(keys.df.groupBy("d").agg(F.count(F.lit(1)).alias("n"), one).where("n > 1 AND original IS NOT NULL").select("d", "original"), "digests")
+    others = keys.df.join(small(first.df), "d").where(~F.col("page_id").eqNullSafe(F.col("original.page"))).select("u", "original")
+    return heads.join(small(staged(others, "revisits")), "u", "left")
+
+
+def record_id(page_id: Column, digest: Column, u: Column) -> Column:
+    h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(" "), digest, F.lit(" "), u.cast("string")).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -52,9 +54,9 @@ def records(resolved: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFram
     url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "%0A")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(own, F.lit("response")).otherwise(F.lit("revisit")),
-        F.lit("\r\nWARC-Record-ID: "), record_id(F.col("page_id")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nWARC-Record-ID: "), record_id(F.col("page_id"), F.col("digest"), F.col("u")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url,
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nX-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.when(own, F.lit("")).otherwise(F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("original")))),
+        F.when(own, F.lit("")).otherwise(F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(F.col("original.page"), F.col("digest"), F.col("original.u")))),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
     return resolved.select(F.concat(head, block).alias("value"))
@@ -118,12 +120,12 @@ def resolved_back(records_read: DataFrame) -> DataFrame:
     own = records_read.where("record_type = 'response'").select("record_id", F.col("page_id").alias("o_page"), "o_digest", "o_bytes")
     responses = own.select(F.col("o_page").alias("page_id"), F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     referred = records_read.where("record_type = 'revisit'").select("page_id", "refers_to_id")
-    one = own.groupBy("record_id").agg(F.min("o_page").alias("o_page"), F.min("o_digest").alias("o_digest"), F.min("o_bytes").alias("o_bytes"))
-    revisits = referred.join(one, F.col("refers_to_id") == F.col("record_id"), "left").select("page_id", F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("o_page").alias("refers_to"))
+    revisits = referred.join(own, F.col("refers_to_id") == F.col("record_id"), "left").select("page_id", F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("o_page").alias("refers_to"))
     return responses.unionByName(revisits)
 
 
 def op8_warc_revisit(spark, sf_dir: str) -> DataFrame:
+    """Writes all of pages and reads the archives back; for null and repeated ids, empty pages and repeated rows see resolve()."""
     path = new_path(spark, "warc")
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return resolved_back(read(spark, path))

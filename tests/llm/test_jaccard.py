@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from loomgraph.llm import common
 from loomgraph.llm import jaccard as J
 from loomgraph.llm.components import components
 
@@ -68,7 +69,7 @@ def test_hot_lists_are_cut(spark, monkeypatch, lead):
     monkeypatch.setattr(J, "GROUP_POSTINGS", 30)
     monkeypatch.setattr(J, "BIG", 3)
     monkeypatch.setattr(J, "LONG_LIST", 10**9)
-    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     rows = family(3, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((int(r["row_key"]), r["n_shingles"], r["component_id"]) for r in J.classes(df, gram=4, num=85, den=100, lead=lead).collect()), key=str)

@@ -1,8 +1,9 @@
 import hashlib
 
+import duckdb
 import pytest
 
-from loomgraph.llm import warc
+from loomgraph.llm import common, warc
 
 BIG = "<p>" + "é" * 80 + "</p>"
 
@@ -44,11 +45,27 @@ def test_small_files_and_least(spark, tmp_path, monkeypatch):
 
 
 def test_shuffled_join_says_the_same(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     got = warc.resolved_back(run(spark, [(i, "u", BIG + str(i % 4)) for i in range(40)], str(tmp_path / "w")))
     assert {r["refers_to"] for r in got.where("record_type = 'revisit'").collect()} == {0, 1, 2, 3} and got.count() == 40
 
 
+def test_repeated_ids_as_the_sql(spark, tmp_path):
+    """Page ids that come with several payloads, payloads that come several times under one id: query and SQL agree, and no record id repeats."""
+    a, b, c = BIG + "a", BIG + "b" * 30, BIG + "c" * 7
+    rows = [(5, a), (5, b), (7, b), (8, a), (7, b), (5, a), (5, a), (9, c), (9, c), (None, a), (None, c), (None, BIG), (None, BIG), (1, "x"), (1, "x"), (2, None), (2, None), (3, b), (3, c)]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = warc.op8_warc_revisit(spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(found.columns)} FROM ({warc.OP8_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    warc.write(spark.read.parquet(f"{tmp_path}/pages.parquet"), f"{tmp_path}/w")
+    ids = [r["record_id"] for r in warc.read(spark, f"{tmp_path}/w").collect()]
+    refers = [r["refers_to_id"] for r in warc.read(spark, f"{tmp_path}/w").where("record_type = 'revisit'").collect()]
+    assert len(ids) == len(rows) == len(set(ids)) and set(refers) <= set(ids) and refers
+
+
 def test_damaged():
     with pytest.raises(ValueError):
         list(warc.parse(memoryview(b"HTTP/1.1 200 OK\r\n\r\n")))
