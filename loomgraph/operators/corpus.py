@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import mark_entities, strip
@@ -32,3 +32,16 @@ def decoded(df: DataFrame, labels: DataFrame, pred: str = "pred_id", unknown: st
     a, b = unknown.split("{}")
     j = df.join(F.broadcast(labels.select(F.col("id").alias("__i"), F.col("label").alias("__l"))), F.col(pred) == F.col("__i"), "left")  # one row a label
     return j.withColumn("label", F.coalesce("__l", F.concat(F.lit(a), F.col(pred).cast("string"), F.lit(b)))).drop("__i", "__l")
+
+
+def pruned(df: DataFrame, drop: tuple[str, ...] = ("text", "relation", "head", "tail", "meta")) -> DataFrame:
+    """df without the columns that training has no use for, as far as it has them."""
+    return df.drop(*[c for c in drop if c in df.columns])
+
+
+def builtin_mentions(spark: SparkSession) -> DataFrame:
+    """The mentions of a built-in sentence of our own, as pairs.text_between() takes them."""
+    s = "Acme Mills in Riverton, and Weston near Brightwater Bank."
+    names = [("Acme Mills", "ORG"), ("Riverton", "LOC"), ("Weston", "LOC"), ("Brightwater Bank", "ORG")]
+    rows = [(0, 0, k, t, kind, s.index(t), s.index(t) + len(t), s) for k, (t, kind) in enumerate(names)]
+    return spark.createDataFrame(rows, "doc_id long, sent_id int, ord int, text string, type string, start int, end int, sentence string")

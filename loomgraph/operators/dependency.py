@@ -177,87 +177,117 @@ def _first_of(df: DataFrame) -> DataFrame:
     return best.select(*SENTENCE, "x.head", "x.tail", "pattern", "x.o")
 
 
-def _named(t: DataFrame) -> DataFrame:
-    return t.withColumn("name", F.coalesce("ent.text", "text"))
+def parses(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
+    """One row a sentence with ts, its tokens in order, each with name: the text of the mention that covers it (of several the last), or its own.
 
+    One exchange of tokens and one of mentions by sentence; all that follows happens inside the row, over a sentence's tokens only.
+    """
+    ts = tokens.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos", "dep", "head_i"))).alias("ts"))
+    ms = mentions.groupBy(*SENTENCE).agg(F.reverse(F.array_sort(F.collect_list(F.struct("ord", "text", "first_i", "last_i")))).alias("ms"))
+    none = F.array().cast("array<struct<ord:int,text:string,first_i:int,last_i:int>>")
+    j = ts.join(ms, SENTENCE, "left").withColumn("ms", F.coalesce("ms", none))
+
+    def named(t):
+        cover = F.get(F.filter("ms", lambda m: (m["first_i"] <= t["i"]) & (m["last_i"] >= t["i"])), F.lit(0))["text"]
+        return F.struct(*[t[c].alias(c) for c in ("i", "lemma", "pos", "dep", "head_i")], F.coalesce(cover, t["text"]).alias("name"))
+
+    return j.select(*SENTENCE, F.transform("ts", named).alias("ts"))
+
+
+def _kids(of: Column, *deps: str) -> Column:
+    """A token's children with one of the relations, in order."""
+    return F.filter("ts", lambda c: (c["head_i"] == of["i"]) & (c["i"] != of["i"]) & c["dep"].isin(*deps))
+
+
+def _triple(subject: Column, relation: Column, obj: Column, pattern: str) -> Column:
+    return F.struct(subject.alias("subject"), relation.alias("relation"), obj.alias("object"), F.lit(pattern).alias("pattern"))
 
-def _prep_names(t: DataFrame) -> DataFrame:
-    """(head i, p_i, o_i, prep, object name) of prepositional objects."""
-    named = _named(t)
-    c = named.where(F.col("head_i") != F.col("i"))
-    prep = c.where("dep = 'prep'").select(*SENTENCE, F.col("head_i").alias("i"), F.col("i").alias("p_i"), F.lower("lemma").alias("prep"))
-    obj = c.where("dep = 'pobj'").select(*SENTENCE, F.col("head_i").alias("p_i"), F.col("i").alias("o_i"), F.col("name").alias("object"))
-    return prep.join(obj, [*SENTENCE, "p_i"])
+
+def _joined(lemma: Column, prep: Column) -> Column:
+    return F.concat_ws("_", lemma, preposition(prep))
+
+
+def _verbs(kinds: tuple[str, ...]) -> Column:
+    return F.filter("ts", lambda t: t["pos"].isin(*kinds))
+
+
+def _rows(parsed: DataFrame, triples: Column) -> DataFrame:
+    """The triples of each sentence with ord, their place in it."""
+    return parsed.select(*SENTENCE, F.posexplode(triples).alias("ord", "t")).select(*SENTENCE, "t.*", "ord")
 
 
 def simple_triples(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
-    """doc_id, sent_id, subject, relation, object, pattern: active verbs, passive verbs with prepositions and predicates with prepositions; of several
-    subjects or objects the last counts."""
-    t = covered(tokens, mentions)
-    key = [*SENTENCE, "i"]
-    named = _named(t)
+    """doc_id, sent_id, subject, relation, object, pattern, ord: active verbs, passive verbs with prepositions and predicates with prepositions; of several
+    subjects or objects the last counts. Empty names give no triple."""
 
-    def last(dep: str, name: str) -> DataFrame:
-        c = named.where((F.col("head_i") != F.col("i")) & (F.col("dep") == dep))
-        return c.groupBy(*SENTENCE, F.col("head_i").alias("i")).agg(F.max_by("name", "i").alias(name))
+    def last(of: Column, dep: str) -> Column:
+        return F.nullif(F.get(F.reverse(_kids(of, dep)), F.lit(0))["name"], F.lit(""))
 
-    verb = t.where("pos = 'VERB'").select(*key, "lemma")
-    preps = _prep_names(t)
-    rel = F.concat_ws("_", "lemma", preposition(F.col("prep")))
-    a = verb.join(last("nsubj", "subject"), key).join(last("dobj", "object"), key).select(*SENTENCE, "subject", F.col("lemma").alias("relation"), "object", F.lit("A_active_SVO").alias("pattern"))
-    b = verb.join(last("nsubjpass", "subject"), key).join(preps, key).select(*SENTENCE, "subject", rel.alias("relation"), "object", F.lit("B_passive_prep").alias("pattern"))
-    c = t.where("pos IN ('ADJ', 'VERB')").select(*key, "lemma").join(last("nsubj", "subject"), key).join(preps, key).select(*SENTENCE, "subject", rel.alias("relation"), "object", F.lit("C_predicate_prep").alias("pattern"))
-    return a.unionByName(b).unionByName(c)
+    def objects(of: Column) -> Column:
+        return F.flatten(F.transform(_kids(of, "prep"), lambda p: F.transform(_kids(p, "pobj"), lambda o: F.struct(F.lower(p["lemma"]).alias("prep"), o["name"].alias("name")))))
+
+    def with_preps(v: Column, subject: str, pattern: str) -> Column:
+        return F.transform(objects(v), lambda o: _triple(last(v, subject), _joined(v["lemma"], o["prep"]), o["name"], pattern))
+
+    def of_verb(v: Column) -> Column:
+        active = F.filter(F.array(_triple(last(v, "nsubj"), v["lemma"], last(v, "dobj"), "A_active_SVO")), lambda t: t["subject"].isNotNull() & t["object"].isNotNull())
+        return F.concat(active, F.filter(with_preps(v, "nsubjpass", "B_passive_prep"), lambda t: t["subject"].isNotNull()))
+
+    first = F.flatten(F.transform(_verbs(("VERB",)), of_verb))
+    then = F.flatten(F.transform(_verbs(("ADJ", "VERB")), lambda v: F.filter(with_preps(v, "nsubj", "C_predicate_prep"), lambda t: t["subject"].isNotNull())))
+    return _rows(parses(tokens, mentions), F.concat(first, then))
 
 
 def coordinated_triples(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     """As simple_triples, with the first subject and object and their direct coordinates, and passive agents turned to subjects. ord orders a sentence."""
-    t = covered(tokens, mentions)
+
+    def group(of: Column) -> Column:
+        return F.transform(F.concat(F.array(of), F.transform(_kids(of, "conj"), lambda c: c)), lambda c: c["name"])
+
+    def names(first: Column) -> Column:
+        return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(group(first)))
+
+    def objects(of: Column) -> Column:
+        return F.flatten(F.transform(_kids(of, "prep"), lambda p: F.flatten(F.transform(_kids(p, "pobj"), lambda o: F.transform(group(o), lambda n: F.struct(F.lower(p["lemma"]).alias("prep"), n.alias("name")))))))
+
+    def of_verb(v: Column) -> Column:
+        head = F.get(_kids(v, "nsubj", "nsubjpass"), F.lit(0))
+        parts = F.struct(v["lemma"].alias("lemma"), head["dep"].alias("dep"), names(head).alias("subjects"), names(F.get(_kids(v, "dobj"), F.lit(0))).alias("objects"), objects(v).alias("preps"))
+        return F.flatten(F.transform(F.array(parts), said))
+
+    def said(x: Column) -> Column:
+        active = F.flatten(F.transform(x["subjects"], lambda s: F.transform(x["objects"], lambda o: _triple(s, x["lemma"], o, "A_active_SVO"))))
+        agents = F.filter(x["preps"], lambda p: p["prep"] == "by")
+        passive = F.flatten(F.transform(agents, lambda a: F.transform(x["subjects"], lambda s: _triple(a["name"], x["lemma"], s, "A_passive_by"))))
+        preps = F.flatten(F.transform(x["subjects"], lambda s: F.transform(x["preps"], lambda p: _triple(s, _joined(x["lemma"], p["prep"]), p["name"], "B_predicate_prep"))))
+        return F.concat(F.filter(active, lambda t: x["dep"] == "nsubj"), F.filter(passive, lambda t: x["dep"] == "nsubjpass"), preps)
+
+    return _rows(parses(tokens, mentions), F.flatten(F.transform(_verbs(("VERB",)), of_verb)))
+
+
+def flat_graph(triples: DataFrame, by: str = "doc_id") -> DataFrame:
+    """The edges (source, relation, target) of triples without events."""
+    return triples.select(by, F.col("subject").alias("source"), "relation", F.col("object").alias("target"))
+
+
+def arcs(tokens: DataFrame) -> DataFrame:
+    """The token table with head_text and children (texts, in order): what a listing of a parse shows."""
     key = [*SENTENCE, "i"]
-    named = _named(t)
-    kids = named.where(F.col("head_i") != F.col("i"))
-    conj = kids.where("dep = 'conj'").select(*SENTENCE, F.col("head_i").alias("c"), F.col("i").alias("k"), F.col("name").alias("n"))
-
-    def group(df: DataFrame) -> DataFrame:
-        """(c, names): the name of token c and those of its coordinates, in order, each once."""
-        own = df.select(*SENTENCE, "c", F.col("c").alias("k"), "n")
-        both = own.unionByName(conj.join(df.select(*SENTENCE, "c"), [*SENTENCE, "c"]).select(*SENTENCE, "c", "k", "n"))
-        rank = F.struct((F.col("k") != F.col("c")).alias("o"), "k", "n")
-        return both.groupBy(*SENTENCE, "c").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["n"])).alias("names"))
-
-    def first(deps: tuple[str, ...]) -> DataFrame:
-        c = kids.where(F.col("dep").isin(*deps)).groupBy(*SENTENCE, F.col("head_i").alias("i")).agg(F.min(F.struct("i", "dep", "name")).alias("x"))
-        c = c.select(*key, F.col("x.i").alias("c"), F.col("x.dep").alias("d"), F.col("x.name").alias("n"))
-        return c.join(group(c.select(*SENTENCE, "c", "n").distinct()), [*SENTENCE, "c"]).select(*key, "d", "names")
-
-    verb = t.where("pos = 'VERB'").select(*key, "lemma")
-    subj = verb.join(first(("nsubj", "nsubjpass")).withColumnRenamed("names", "subjects"), key)
-    preps = _prep_names(t)
-    pobj = preps.select(*key, "p_i", "o_i", "prep", F.col("object").alias("n"), F.col("o_i").alias("k"))
-    pobj = pobj.unionByName(preps.join(conj.withColumnRenamed("n", "cn").withColumnRenamed("c", "o_i"), [*SENTENCE, "o_i"]).select(*key, "p_i", "o_i", "prep", F.col("cn").alias("n"), "k"))
-    pobj = pobj.withColumn("rank", F.struct("p_i", "o_i", (F.col("k") != F.col("o_i")).alias("x"), "k"))
-    objs = first(("dobj",)).select(*key, F.col("names").alias("objects"))
-    s = subj.where("d = 'nsubj'").join(objs, key).select(*key, "lemma", F.posexplode("subjects").alias("a", "subject"), "objects").select(*key, "lemma", "a", "subject", F.posexplode("objects").alias("b", "object"))
-    active = s.select(*SENTENCE, "subject", F.col("lemma").alias("relation"), "object", F.lit("A_active_SVO").alias("pattern"), F.struct("i", F.lit(0), F.col("a").cast("long"), F.col("b").cast("long")).alias("o"))
-    w = Window.partitionBy(*key).orderBy("rank")
-    pobj = pobj.withColumn("b", F.row_number().over(w).cast("long")).drop("rank", "k")
-    agents = subj.where("d = 'nsubjpass'").join(pobj.where("prep = 'by'"), key).select(*key, "lemma", "n", "b", F.posexplode("subjects").alias("a", "target"))
-    passive = agents.select(*SENTENCE, F.col("n").alias("subject"), F.col("lemma").alias("relation"), F.col("target").alias("object"), F.lit("A_passive_by").alias("pattern"), F.struct("i", F.lit(1), F.col("b"), F.col("a").cast("long")).alias("o"))
-    pred = subj.join(pobj, key).select(*key, "lemma", "prep", "n", "b", F.posexplode("subjects").alias("a", "subject"))
-    pred = pred.select(*SENTENCE, "subject", F.concat_ws("_", "lemma", preposition(F.col("prep"))).alias("relation"), F.col("n").alias("object"), F.lit("B_predicate_prep").alias("pattern"), F.struct("i", F.lit(2), F.col("a").cast("long"), F.col("b")).alias("o"))
-    names = "struct<i:int,k:int,a:bigint,b:bigint>"
-    every = reduce(DataFrame.unionByName, [x.withColumn("o", F.col("o").cast(names)) for x in (active, passive, pred)])
-    return every.withColumn("ord", (F.row_number().over(Window.partitionBy(*SENTENCE).orderBy("o")) - 1).cast("int")).drop("o")
+    ts = tokens.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos", "dep", "head_i"))).alias("ts"))
+    row = ts.select(*SENTENCE, "ts", F.explode("ts").alias("t"))
+    head = F.get(F.filter("ts", lambda h: h["i"] == F.col("t.head_i")), F.lit(0))["text"]
+    children = F.transform(F.filter("ts", lambda c: (c["head_i"] == F.col("t.i")) & (c["i"] != F.col("t.i"))), lambda c: c["text"])
+    return row.select(*SENTENCE, "t.i", "t.text", "t.lemma", "t.pos", "t.dep", "t.head_i", head.alias("head_text"), children.alias("children")).select(*key, "text", "lemma", "pos", "dep", "head_i", "head_text", "children")
 
 
 def event_graph(triples: DataFrame, by: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Events (event_id, type) and edges (source, relation, target) of triples (by, ord, subject, relation, object).
+    """Events (event_id, type) and edges (source, relation, target) of triples (by, ord, subject, relation, object; with sent_id ord counts in a sentence).
 
-    Each triple whose relation is an event verb is a core and gets an event by number; a triple of the same subject whose relation starts with the verb and
+    Events are numbered in the order of the text. Each triple whose relation is an event verb is a core and gets an event by number; a triple of the same subject whose relation starts with the verb and
     an underscore belongs to the first core that can take it; all others stay edges between names.
     """
     verbs = F.col("relation").isin(*rules.EVENT_VERBS)
-    core = triples.where(verbs).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("ord"))).withColumn("event_id", F.concat_ws("_event_", "relation", F.col("n").cast("string")))
+    core = triples.where(verbs).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*(["sent_id", "ord"] if "sent_id" in triples.columns else ["ord"])))).withColumn("event_id", F.concat_ws("_event_", "relation", F.col("n").cast("string")))
     events = core.select(by, "event_id", F.col("relation").alias("type"))
     base = F.substring_index("relation", "_", 1)
     other = triples.where(~verbs).withColumn("base", base)

@@ -16,7 +16,7 @@ def label_map(df: DataFrame, label: str = "relation") -> DataFrame:
 
 
 def confusion(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Counts of (true_id, pred_id)."""
+    """Counts of (true_id, pred_id), also of ids that no label has; per_label() leaves those out, and overall() counts them in its total."""
     return df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(gold).alias("true_id"), F.col(pred).alias("pred_id")).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -25,11 +25,69 @@ def per_label(conf: DataFrame, labels: DataFrame) -> DataFrame:
     by = conf.select(F.col("true_id").alias("id"), F.col("count").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("true_id") == F.col("pred_id"), F.col("count")).otherwise(0).alias("tp"))
     by = by.unionByName(conf.select(F.col("pred_id").alias("id"), F.lit(0).cast("long").alias("t"), F.col("count").alias("p"), F.lit(0).cast("long").alias("tp")))
     by = by.groupBy("id").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("tp").alias("tp"))
-    j = labels.join(by, "id", "left").na.fill(0, ["t", "p", "tp"])
+    j = labels.join(F.broadcast(by), "id", "left").na.fill(0, ["t", "p", "tp"])  # one row a label
     p, r = ratio(F.col("tp"), F.col("p")), ratio(F.col("tp"), F.col("t"))
     return j.select("id", "label", F.col("t").alias("support"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), F.col("tp"), F.col("p").alias("predicted"))
 
 
+def inside(conf: DataFrame, labels: DataFrame) -> DataFrame:
+    """The counts of conf whose ids are both labels."""
+    ids = F.broadcast(labels.select("id"))  # one row a label
+    return conf.join(ids.withColumnRenamed("id", "true_id"), "true_id", "left_semi").join(ids.withColumnRenamed("id", "pred_id"), "pred_id", "left_semi").select("true_id", "pred_id", "count")
+
+
+def out_of_range(conf: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: total (all pairs), counted (both ids are labels), correct, accuracy (correct by total) and micro_f1 (of the counted ones)."""
+    marked = inside(conf, labels).groupBy().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("counted"), F.coalesce(F.sum(F.when(F.col("true_id") == F.col("pred_id"), F.col("count"))), F.lit(0)).alias("correct"))
+    j = conf.groupBy().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total")).join(marked, F.lit(True))  # one row each
+    return j.select("total", "counted", "correct", ratio(F.col("correct"), F.col("total")).alias("accuracy"), ratio(F.col("correct"), F.col("counted")).alias("micro_f1"))
+
+
+def averages(table: DataFrame) -> DataFrame:
+    """Rows 'accuracy', 'macro avg' and 'weighted avg' of a report over per_label()'s table: precision, recall, f1, support. A micro average isn't one of them."""
+    w = lambda c: ratio(F.sum(F.col(c) * F.col("support")), F.sum("support"))
+    one = table.agg(F.sum("support").alias("n"), ratio(F.sum("tp"), F.sum("support")).alias("acc"), *[F.avg(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")], *[w(c).alias(f"w_{c}") for c in ("precision", "recall", "f1")])
+    row = lambda name, p, r, f: F.struct(F.lit(name).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"), F.col(f).alias("f1"), F.col("n").alias("support"))
+    rows = F.array(row("accuracy", "acc", "acc", "acc"), row("macro avg", "m_precision", "m_recall", "m_f1"), row("weighted avg", "w_precision", "w_recall", "w_f1"))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def label_order(table: DataFrame) -> DataFrame:
+    """per_label()'s table as it is listed: by support, id and label, all descending."""
+    return table.orderBy(F.desc("support"), F.desc("id"), F.desc("label"))
+
+
+def training_metrics(table: DataFrame, no_relation: str = "no_relation") -> DataFrame:
+    """One row: metrics, a map of accuracy, micro_f1 and macro_f1, and of macro_f1_no_relation_excluded where a label of that name is there."""
+    o = overall(table, no_relation)
+    names = ("accuracy", "micro_f1", "macro_f1", "macro_f1_no_relation_excluded")
+    return o.select(F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names)), lambda k, v: v.isNotNull()).alias("metrics"))
+
+
+def label_universe(conf: DataFrame) -> DataFrame:
+    """Every id that is a gold or a predicted one."""
+    return conf.select(F.explode(F.array("true_id", "pred_id")).alias("id")).distinct()
+
+
+def dense_matrix(conf: DataFrame, labels: DataFrame) -> DataFrame:
+    """true_id, pred_id, count of every pair of labels, 0 included: a matrix as a long table."""
+    ids = labels.select("id")
+    every = ids.withColumnRenamed("id", "true_id").join(F.broadcast(ids.withColumnRenamed("id", "pred_id")), F.lit(True))  # labels by labels
+    return every.join(F.broadcast(conf), ["true_id", "pred_id"], "left").select("true_id", "pred_id", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def conf_stats(df: DataFrame, conf: str = "conf") -> DataFrame:
+    """One row: conf_min, conf_mean and conf_max."""
+    return df.agg(F.min(conf).alias("conf_min"), F.avg(conf).alias("conf_mean"), F.max(conf).alias("conf_max"))
+
+
+def extreme_conf(df: DataFrame, n: int, order: str, highest: bool = False) -> DataFrame:
+    """The n rows of the lowest confidence, or of the highest, with place, their place by ascending confidence; of equal ones the earlier counts as lower."""
+    cols = [F.desc("conf"), F.desc(order)] if highest else [F.asc("conf"), F.asc(order)]
+    top = df.orderBy(*cols).limit(n)
+    return top.withColumn("place", (F.row_number().over(Window.orderBy("conf", order)) - 1).cast("int"))  # n rows
+
+
 def overall(table: DataFrame, no_relation: str = "no_relation") -> DataFrame:
     """One row of samples, accuracy, micro_f1, macro_f1 (all labels), macro_f1_no_relation_excluded (null without such a label) and weighted_f1."""
     has = F.max(F.lower("label") == no_relation)
@@ -172,6 +230,11 @@ def fit_observed(df: DataFrame, min_margin: float = 0.0, metric: str = "f1", tar
     return out.select(F.col("pred").alias("relation"), F.coalesce(F.round("x.threshold", 6), F.lit(1.0)).alias("threshold"), "x.tp", "x.fp", "x.fn", *[F.round(f"x.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def label_keys(df: DataFrame, json: str, most: int = 2000, order: str = "ord") -> DataFrame:
+    """Of key_frequency()'s keys those that look like a label's: they name a label, a relation or a predicate."""
+    return key_frequency(df, json, most, order).where(F.lower("key").rlike("label|rel|predicate"))
+
+
 def key_frequency(df: DataFrame, json: str, most: int = 2000, order: str = "ord") -> DataFrame:
     """How often each top-level key comes in the first `most` records."""
     head = df.orderBy(order).limit(most)

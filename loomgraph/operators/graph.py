@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import import_type, node_id, strip
 from loomgraph.plans import rules
+from loomgraph.plans.staging import staged
 
 KINDS_UNKNOWN = ("", "UNK")
 
 
 def edge_rows(df: DataFrame) -> DataFrame:
-    """Rows with head, tail (source and target first, head and tail where those are empty) and relation; rows that lack one are dropped."""
+    """Rows with head, tail (source and target first, head and tail where those are empty) and relation; rows that lack one are dropped.
+
+    conf without a value is 0; evidence is stripped, and empty without a value.
+    """
     head = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.col("head")) if "source" in df.columns else F.col("head")
     tail = F.coalesce(F.nullif(F.col("target"), F.lit("")), F.col("tail")) if "target" in df.columns else F.col("tail")
     out = df.withColumns({"head": strip(head), "tail": strip(tail), "relation": strip(F.col("relation"))}).drop("source", "target")
+    if "conf" in out.columns:
+        out = out.withColumn("conf", F.coalesce("conf", F.lit(0.0)))
+    if "evidence" in out.columns:
+        out = out.withColumn("evidence", strip(F.coalesce("evidence", F.lit(""))))
     return out.where((F.length("head") > 0) & (F.length("tail") > 0) & (F.length("relation") > 0))
 
 
@@ -42,10 +50,14 @@ def with_ids(df: DataFrame) -> DataFrame:
 def aggregate_edges(df: DataFrame, evidence_cap: int = 0, min_support: int = 1) -> DataFrame:
     """One row an edge: support_count, conf_max, conf_mean, rel_raw (first by ord) and the first evidence_cap texts that aren't empty.
 
-    Counts and means combine on the map side. Evidence is ranked first, so that no more than evidence_cap texts of an edge are gathered.
+    Counts and means combine on the map side, in buffers of fixed width by (edge, relation); the few relations of an edge are then put together. Evidence
+    is ranked first, so that no more than evidence_cap texts of an edge are gathered; df is then written once and read twice.
     """
     keys = ["src_id", "rel_type", "dst_id"]
-    edges = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("support_count"), F.max("conf").alias("conf_max"), F.avg("conf").alias("conf_mean"), F.min_by("relation", "ord").alias("rel_raw"))
+    if evidence_cap:
+        df = staged(df.select(*keys, "relation", "conf", "ord", "evidence"), "edges")
+    each = df.groupBy(*keys, "relation").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("conf_max"), F.sum("conf").alias("total"), F.min("ord").alias("ord"))
+    edges = each.groupBy(*keys).agg(F.sum("n").alias("support_count"), F.max("conf_max").alias("conf_max"), (F.sum("total") / F.sum("n")).alias("conf_mean"), F.min_by("relation", "ord").alias("rel_raw"))
     edges = edges.where(F.col("support_count") >= min_support)
     if not evidence_cap:
         return edges.withColumn("evidence", F.lit(""))

@@ -58,6 +58,11 @@ def distinct_mentions(mentions: DataFrame, by: str = "text") -> DataFrame:
     return out.withColumn("ord", F.row_number().over(Window.partitionBy(*SENTENCE).orderBy("ord")) - 1).select(mentions.columns)
 
 
+def of_types(mentions: DataFrame, types: tuple[str, ...] = tuple(rules.ENTITY_TYPES)) -> DataFrame:
+    """Mentions of these types only."""
+    return mentions.where(F.col("type").isin(*types))
+
+
 def capped_pairs(mentions: DataFrame, cap: int = 30) -> DataFrame:
     """The first `cap` ordered pairs of different mentions of a sentence, by (head, tail) order.
 

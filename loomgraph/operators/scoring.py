@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from loomgraph.functions.text import is_no_relation, strip
 from loomgraph.plans import rules
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Probabilities; a temperature of 0 or 1 changes nothing."""
     t = temperature if temperature not in (0, 1) else 1.0
-    shifted = F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / t))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = bound(F.struct(logits.alias("z"), F.array_max(logits).alias("top")), lambda s: F.transform(s["z"], lambda x: F.exp((x - s["top"]) / t)))
+    return bound(shifted, lambda e: bound(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("sum")), lambda s: F.transform(s["e"], lambda x: x / s["sum"])))
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def top_k(probs: Column, k: int) -> Column:
@@ -105,11 +110,12 @@ def trigger_ok(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     return j.withColumn("trigger_ok", F.coalesce(F.exists("triggers", lambda x: F.contains(low, x)), F.lit(True))).withColumn("needs_trigger", F.coalesce("needs_trigger", F.lit(False))).drop("triggers", "__r")
 
 
-def gated(df: DataFrame, thresholds: DataFrame | None = None, default: float = 0.9, min_margin: float = 0.15, explicit_only: bool = False, verifier: str | None = None, least_entailment: float = 0.8) -> DataFrame:
+def gated(df: DataFrame, thresholds: DataFrame | None = None, default: float = 0.9, min_margin: float = 0.15, explicit_only: bool = False, verifier: str | None = None, least_entailment: float = 0.8, entailments: DataFrame | None = None, no_relation: str = "no_relation") -> DataFrame:
     """df (pattern, marked, relation, conf, margin, head_type, tail_type, sentence) with decision and reason.
 
     Gates in order; the first that rejects gives the reason: explicit_only, mark_failed, no_relation, schema, conf_threshold, margin, trigger,
-    verifier. verifier names a column with entailments of survivors, of which null is not asked. One pass; rules are broadcast.
+    verifier. verifier names a column with entailments of survivors, of which null is not asked; entailments (relation, threshold) has what a relation
+    asks for, others ask least_entailment. One pass; rules are broadcast. verify() asks a verifier about the rows that get here only.
     """
     thr = (rules.thresholds(df.sparkSession) if thresholds is None else thresholds).withColumnsRenamed({"relation": "__tr", "threshold": "__thr"})
     j = trigger_ok(schema_ok(df)).join(F.broadcast(thr), F.col("relation") == F.col("__tr"), "left")  # one row a relation
@@ -119,18 +125,61 @@ def gated(df: DataFrame, thresholds: DataFrame | None = None, default: float = 0
     reason = (
         F.when(F.lit(explicit_only) & (is_fb | F.contains("pattern", F.lit("+P8"))), "explicit_only")
         .when(F.coalesce(F.length("marked"), F.lit(0)) == 0, "mark_failed")
-        .when(F.lower("relation") == "no_relation", "no_relation")
+        .when(F.lower("relation") == no_relation, "no_relation")
         .when(~F.col("schema_ok"), "schema")
         .when(F.col("conf") < need, "conf_threshold")
         .when(F.col("margin").isNotNull() & (F.col("margin") < min_margin), "margin")
         .when(F.col("needs_trigger") & ~F.col("trigger_ok"), "trigger")
     )
     if verifier:
-        reason = reason.when(F.col(verifier) < least_entailment, "verifier")
+        j, least = least_entailments(j, entailments, least_entailment)
+        reason = reason.when(F.col(verifier) < least, "verifier")
     out = j.withColumn("reason", reason.otherwise("accept")).withColumn("decision", F.when(F.col("reason") == "accept", "accept").otherwise("reject"))
     return out.select(*df.columns, "decision", "reason")
 
 
+def least_entailments(df: DataFrame, entailments: DataFrame | None, default: float) -> tuple[DataFrame, Column]:
+    """df with the entailment that its relation asks for, and that column."""
+    if entailments is None:
+        return df, F.lit(default)
+    e = entailments.withColumnsRenamed({"relation": "__er", "threshold": "__least"})
+    return df.join(F.broadcast(e), F.col("relation") == F.col("__er"), "left"), F.coalesce("__least", F.lit(default))  # one row a relation
+
+
+def verify(gates: DataFrame, scorer, entailment_id: int = 2, entailments: DataFrame | None = None, least_entailment: float = 0.8, temperature: float = 1.0) -> DataFrame:
+    """gates (of gated(), with head, tail and sentence) with entailment, and decision and reason after the verifier.
+
+    Only rows that all other gates accept are asked, each pair of premise and hypothesis once; entailment is null for the rest.
+    """
+    kept = gates.columns
+    asked = hypothesis(gates.where("decision = 'accept'")).withColumn("__ask", F.struct(strip(F.col("sentence")).alias("premise"), strip(F.col("hypothesis")).alias("hypothesis")))
+    texts = asked.select(F.concat_ws("\n", "__ask.premise", "__ask.hypothesis").alias("__text")).distinct()
+    said = score(texts, "__text", scorer).select("__text", softmax(F.col("logits"), temperature)[entailment_id].alias("entailment"))
+    asked = asked.withColumn("__text", F.concat_ws("\n", "__ask.premise", "__ask.hypothesis")).join(said, "__text")
+    asked, least = least_entailments(asked, entailments, least_entailment)
+    fails = F.col("entailment") < least
+    asked = asked.withColumn("reason", F.when(fails, "verifier").otherwise("accept")).withColumn("decision", F.when(fails, "reject").otherwise("accept"))
+    rest = gates.where("decision <> 'accept'").withColumn("entailment", F.lit(None).cast("double"))
+    return asked.select(*kept, "entailment").unionByName(rest)
+
+
+def clear(conf: Column, top2: Column, min_conf: float = 0.5, margin: float = 0.15) -> Column:
+    """Whether a prediction is sure enough and clear of the runner-up; without one the runner-up has 0."""
+    return (conf >= min_conf) & (conf - F.coalesce(top2, F.lit(0.0)) >= margin)
+
+
+def shown(df: DataFrame, hide_no_relation: bool = True, min_conf: float = 0.0) -> DataFrame:
+    """Predictions (relation, conf) that are listed: none of no relation, if those are hidden, and none below min_conf."""
+    sure = df.where(F.col("conf") >= min_conf)
+    return sure.where(~is_no_relation(F.col("relation"))) if hide_no_relation else sure
+
+
+def counters(df: DataFrame) -> DataFrame:
+    """One row of export_reason()'s result: seen, kept, kept_ratio and the dropped ones by reason."""
+    n = lambda r: F.count_if(F.col("reason") == r).alias(r)
+    return df.agg(F.count(F.lit(1)).alias("seen"), n("kept"), *[n(f"dropped_{x}") for x in ("label", "no_rule", "rule_conf", "type", "conf")], F.coalesce(F.try_divide(F.count_if(F.col("reason") == "kept").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("kept_ratio"))
+
+
 def merged_thresholds(base: DataFrame, new: DataFrame) -> DataFrame:
     """New thresholds over old ones, 0 included; values that are no numbers are skipped."""
     n = new.select("relation", F.expr("try_cast(threshold as double)").alias("__t")).where("__t IS NOT NULL")

@@ -59,7 +59,7 @@ TEMPLATES = {
     "/people/person/nationality": "{h} has nationality {t}.",
     "/people/person/children": "{t} is a child of {h}.",
 }
-GENERIC_TEMPLATE = "{h} is related to {t} by {r}."  # own wording for relations without a template
+GENERIC_TEMPLATE = "{h} has relation {r} with {t}."
 EXPORT = {  # head types, tail types, least confidence; all forward
     "/business/company/place_founded": (["ORG"], ["GPE", "LOC"], 0.8),
     "/business/company/founders": (["ORG"], ["PERSON"], 0.8),
@@ -100,6 +100,7 @@ NER_LABELS = ["PERSON", "NORP", "FAC", "ORG", "GPE", "LOC", "PRODUCT", "EVENT",
 NER_NAMES = {"PER": "PERSON", "ORG": "ORG", "LOC": "LOC", "MISC": "MISC", "ORGANIZATION": "ORG", "LOCATION": "LOC"}
 PREPOSITIONS = {"at": "in", "in": "in", "on": "on", "of": "of", "for": "for", "from": "from", "to": "to", "by": "by", "with": "with"}
 EVENT_VERBS = ["acquire", "buy", "purchase", "merge", "acquisition"]
+ENTITY_TYPES = ["PERSON", "ORG", "GPE", "LOC"]
 FALLBACK, FALLBACK_EXTRA, FALLBACK_MOST, FALLBACK_DISTANCE = "P0_fallback_window", 0.03, 0.999, 18
 
 

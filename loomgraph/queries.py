@@ -286,7 +286,7 @@ def relation_share(spark, d):
 
 @query(f"WITH {TRIPLES} SELECT min(conf) AS conf_min, round(avg(conf), 6) AS conf_mean, max(conf) AS conf_max FROM t")
 def conf_stats(spark, d):
-    return triples(spark, d).agg(F.min("conf").alias("conf_min"), F.round(F.avg("conf"), 6).alias("conf_mean"), F.max("conf").alias("conf_max"))
+    return evaluation.conf_stats(triples(spark, d)).withColumn("conf_mean", F.round("conf_mean", 6))
 
 
 @query(f"WITH {_probs()}, g AS (SELECT conf - top2 AS g FROM c) SELECT round(min(g), 6) AS gap_min, round(list_sort(list(g))[count(*) // 2 + 1], 6) AS gap_p50, round(max(g), 6) AS gap_max FROM g")
@@ -297,7 +297,7 @@ def gap_median(spark, d):
 
 @query(f"WITH {_probs()} SELECT vec_id, round(conf, 6) AS conf FROM c ORDER BY conf, vec_id LIMIT 15")
 def lowest_conf(spark, d):
-    return judged(spark, d).orderBy("conf", "vec_id").limit(15).select("vec_id", F.round("conf", 6).alias("conf"))
+    return evaluation.extreme_conf(judged(spark, d), 15, "vec_id").select("vec_id", F.round("conf", 6).alias("conf"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 7 = 0 ORDER BY doc_id LIMIT 300")
@@ -318,16 +318,17 @@ def named_judged(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d).select("vec_id", name("gold").alias("gold"), name("pred").alias("pred"), F.round("conf", 9).alias("conf"), "margin")
 
 
-_J = f"{_probs()}, j AS (SELECT {_NAMED.format('gold')} AS gold, {_NAMED.format('pred_id')} AS pred, round(conf, 9) AS conf FROM c)"
+_J = f"{_probs()}, j AS (SELECT {_NAMED.format('gold')} AS gold, {_NAMED.format('pred_id')} AS pred, round(conf, 9) AS conf, vec_id % 4 = 0 OR round(conf - top2, 9) >= 0.1 AS wide FROM c)"
 
 
 @query(f"""WITH {_J}, pt AS (SELECT DISTINCT r, v FROM (SELECT pred AS r, conf AS v FROM j UNION ALL SELECT pred, unnest([0.0, 1.0]) FROM (SELECT DISTINCT pred FROM j)) WHERE r <> 'no_relation'),
-k AS (SELECT r, v, (SELECT count(*) FROM j WHERE pred = r AND conf >= v) AS kept, (SELECT count(*) FROM j WHERE pred = r AND gold = r AND conf >= v) AS tp, (SELECT count(*) FROM j WHERE gold = r) AS g FROM pt),
+k AS (SELECT r, v, (SELECT count(*) FROM j WHERE pred = r AND conf >= v AND wide) AS kept, (SELECT count(*) FROM j WHERE pred = r AND gold = r AND conf >= v AND wide) AS tp, (SELECT count(*) FROM j WHERE gold = r) AS g FROM pt),
 m AS (SELECT *, CASE WHEN kept > 0 THEN tp / kept ELSE 0 END AS p, CASE WHEN g > 0 THEN tp / g ELSE 0 END AS rc FROM k), f AS (SELECT *, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END AS f1 FROM m),
 b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY f1 DESC, v) = 1)
 SELECT n.r AS relation, CAST(coalesce(round(v, 6), 1.0) AS DOUBLE) AS threshold, tp, kept - tp AS fp, g - tp AS fn, round(p, 6) AS precision, round(rc, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT DISTINCT r FROM pt) n LEFT JOIN b ON n.r = b.r""")
 def threshold_observed(spark, d):
-    return evaluation.fit_observed(named_judged(spark, d).withColumn("margin", F.lit(None).cast("double")))
+    j = named_judged(spark, d).withColumn("margin", F.expr("CASE WHEN vec_id % 4 <> 0 THEN round(margin, 9) END"))
+    return evaluation.fit_observed(j, min_margin=0.1)
 
 
 @query(f"""WITH {_J}, n AS (SELECT pred FROM j WHERE pred <> 'no_relation' GROUP BY pred HAVING count(*) >= 50), s AS (SELECT unnest([{', '.join(map(repr, evaluation.grid()))}]) AS v),
@@ -380,9 +381,10 @@ def export_counters(spark, d):
 _TPL = values(list(rules.TEMPLATES.items()), "r, tpl")
 
 
-@query(f"WITH {TRIPLES} SELECT ord, replace(replace(tpl, '{{h}}', head), '{{t}}', tail) AS hypothesis FROM t JOIN {_TPL} x ON relation = r WHERE relation <> '/business/person/company'")
+@query(f"WITH {TRIPLES} SELECT ord, CASE WHEN tpl IS NULL THEN head || ' has relation ' || rel || ' with ' || tail || '.' ELSE replace(replace(tpl, '{{h}}', head), '{{t}}', tail) END AS hypothesis FROM (SELECT *, CASE WHEN ord % 9 = 0 THEN '/made/up' ELSE relation END AS rel FROM t) LEFT JOIN {_TPL} x ON rel = r")
 def hypothesis(spark, d):
-    return scoring.hypothesis(triples(spark, d).where("relation <> '/business/person/company'")).select("ord", "hypothesis")
+    t = triples(spark, d).withColumn("relation", F.expr("CASE WHEN ord % 9 = 0 THEN '/made/up' ELSE relation END"))
+    return scoring.hypothesis(t).select("ord", "hypothesis")
 
 
 # ---- text ----
@@ -443,11 +445,9 @@ def mark_entities(spark, d):
     return pairs.marked_pairs(pairs.capped_pairs(mentions(spark, d))).select("doc_id", "sent_id", F.col("ord").cast("long").alias("ord"), "marked")
 
 
-@query(f"WITH {MENTIONS} SELECT doc_id, sent_id, text, type, CAST(min(ord) AS INTEGER) AS first_ord, count(*) AS n FROM m GROUP BY ALL")
+@query(f"WITH {MENTIONS} SELECT doc_id, sent_id, text, type, CAST(first_ord AS INTEGER) AS first_ord, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY first_ord) - 1 AS INTEGER) AS ord FROM (SELECT doc_id, sent_id, text, type, min(ord) AS first_ord FROM m GROUP BY ALL)")
 def entity_dedup(spark, d):
-    m = mentions(spark, d)
-    n = m.groupBy("doc_id", "sent_id", "text", "type").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
-    return n.select("doc_id", "sent_id", "text", "type", "first_ord", "n")
+    return pairs.distinct_mentions(mentions(spark, d).withColumn("first_ord", F.col("ord")).withColumn("text", F.concat(F.lit(" "), "text"))).select("doc_id", "sent_id", "text", "type", "first_ord", "ord")
 
 
 @query(f"""WITH {MENTIONS} SELECT doc_id, sent_id, head_text, tail_text, pattern, count(*) AS n FROM (SELECT a.doc_id, a.sent_id, a.text AS head_text, b.text AS tail_text, 'P0_fallback_window' AS pattern FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.ord - a.ord BETWEEN 1 AND 2 AND a.text <> b.text
@@ -457,9 +457,9 @@ def fallback_pairs(spark, d):
     return p.groupBy("doc_id", "sent_id", "head_text", "tail_text", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, translate(substr(text, 1, 50), '’“”', '''\"\"') AS quoted FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, md5(translate(text || '’“”', '’“”', '''\"\"')) AS quoted FROM documents")
 def preview_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"), T.normalize_quotes(F.substring("text", 1, 50)).alias("quoted"))
+    return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"), F.md5(T.normalize_quotes(F.concat("text", F.lit("’“”"))).cast("binary")).alias("quoted"))
 
 
 @query("SELECT key, count(*) AS count FROM (SELECT unnest(json_keys(props)) AS key FROM (SELECT props FROM events ORDER BY event_id LIMIT 2000)) GROUP BY key")
@@ -487,9 +487,7 @@ def canned(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT event_id AS doc_id, 'u' || user_id AS head, 'PERSON' AS head_type, r AS relation, event_type AS tail, CASE WHEN event_id % 3 = 0 THEN 'OTHER' ELSE 'GPE' END AS tail_type,
 CAST(list_extract([0.0, 1.0, 0.0, 0.25, 0.5], CAST(event_id % 5 + 1 AS INTEGER)) AS DOUBLE) AS confidence, CASE WHEN event_id % 2 = 0 THEN 'salvaged' ELSE how END AS how FROM (SELECT *, 'salvaged' AS how, list_extract([{', '.join(repr(r) for r in rules.LLM_RELATIONS[:3])}, '/made/up'], CAST(event_id % 4 + 1 AS INTEGER)) AS r FROM events) WHERE event_id % 6 <> 0 AND r <> '/made/up'""")
 def validate_triples(spark, d):
-    p = responses.parsed(canned(spark, d))
-    v = responses.validated(p).join(p.select("doc_id", "how"), "doc_id")
-    return v.select("doc_id", "head", "head_type", "relation", "tail", "tail_type", "confidence", "how")
+    return responses.validated(responses.parsed(canned(spark, d))).select("doc_id", "head", "head_type", "relation", "tail", "tail_type", "confidence", "how")
 
 
 @query("""SELECT event_id AS doc_id, CASE WHEN event_id % 6 <> 0 THEN 'salvaged' END AS how, CAST(CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n_items FROM events""")
@@ -527,7 +525,7 @@ _SENT = f"WITH {TRIPLES}, q AS (SELECT ord AS doc_id, head, tail, evidence, CASE
 
 @query(f"""{_SENT} SELECT doc_id, head AS subject, verb AS relation, tail AS object, 'A_active_SVO' AS pattern FROM q UNION ALL SELECT doc_id, head, verb || '_in', evidence, 'C_predicate_prep' FROM q""")
 def svo_triples(spark, d):
-    return dependency.simple_triples(*token_table(spark, d)).drop("sent_id")
+    return dependency.simple_triples(*token_table(spark, d)).drop("sent_id", "ord")
 
 
 @query(f"""{_SENT} SELECT doc_id, verb || '_event_1' AS source, 'subject' AS relation, head AS target FROM q WHERE verb = 'acquire' UNION ALL SELECT doc_id, verb || '_event_1', 'object', tail FROM q WHERE verb = 'acquire'
@@ -581,9 +579,9 @@ def model_llm_agreement(spark, d):
     return scoring.side_by_side(a, b, ["vec_id"]).groupBy("agree").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {MENTIONS} SELECT doc_id, sent_id, text AS subject, n_text AS object FROM (SELECT *, lead(text) OVER w AS n_text, lead(type) OVER w AS n_type FROM m WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY ord)) WHERE type = 'ORG' AND n_type = 'LOC'""")
+@query(rf"""WITH {MENTIONS} SELECT doc_id, sent_id, text AS subject, n_text AS object FROM (SELECT *, lead(text) OVER w AS n_text, lead(type) OVER w AS n_type FROM m WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY ord)) WHERE type = 'ORG' AND n_type = 'LOC' AND regexp_matches(list_extract(regexp_split_to_array(sentence, '\p{{Lu}}\p{{L}}*(?: \p{{Lu}}\p{{L}}*)*'), ord + 2), '.* [a-z][a-z]?[a-z]? .*')""")
 def neighbour_mentions(spark, d):
-    return pairs.text_between(mentions(spark, d), "ORG", "LOC", "(?s).*").select("doc_id", "sent_id", "subject", "object")
+    return pairs.text_between(mentions(spark, d), "ORG", "LOC", r".* [a-z][a-z]?[a-z]? .*").select("doc_id", "sent_id", "subject", "object")
 
 
 @query(f"""SELECT l_shipmode_like AS answer, label, kept, count(*) AS n FROM (SELECT x AS l_shipmode_like, CASE WHEN x IN ('ship mode', 'mail', 'rail') THEN x WHEN x = 'shipmode' THEN 'ship mode' ELSE 'ship mode' END AS label, x IN ('ship mode', 'mail', 'rail', 'shipmode') AS kept

@@ -4,24 +4,50 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import strip
+from loomgraph.plans.staging import remove
+
 CORPUS = "sentText string, articleId string, sentId string, relationMentions array<struct<em1Text:string,em2Text:string,label:string>>"
 CONTAINERS = ("data", "examples", "records", "items", "sentences")
 
 
+#: Where a row stands: its file, the first byte of its split and its number there.
+PLACE = ("__file", "__split", "__row")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int = 0) -> DataFrame:
-    """Lines of JSON; blank lines are skipped and a bad one fails the read."""
+    """Lines of JSON; blank lines are skipped and a bad one fails the read. limit: only so many rows, the first by file and line."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return df.limit(limit) if limit else df
+    if not limit:
+        return df
+    return placed(df).orderBy(*PLACE).limit(limit).drop(*PLACE)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df of a file source with the columns of PLACE, by which rows sort as in their files."""
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row"))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, blank lines count) and text of each line that isn't JSON. Lines before a bad one are counted by split, so no file is read as a whole."""
+    lines = placed(spark.read.text(path))
+    splits = lines.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.withColumn("before", before).select("__file", "__split", "first", "before")  # one row a split
+    bad = lines.where((F.length(F.trim("value")) > 0) & F.try_parse_json("value").isNull())
+    j = bad.join(starts, ["__file", "__split"])
+    return j.select(F.col("__file").alias("file"), (F.col("before") + F.col("__row") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
 
 
 def read_jsonl_checked(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As read_jsonl, but a bad line fails with its text."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    bad = F.concat(F.lit("bad JSON line: "), F.substring("_corrupt_record", 1, 200))
-    return df.withColumn("__ok", F.when(F.col("_corrupt_record").isNotNull(), F.raise_error(bad)).otherwise(F.lit(True))).where("__ok").drop("_corrupt_record", "__ok")
+    """As read_jsonl, but a bad line fails at once, with ValueError, its number and the start of its text."""
+    worst = bad_lines(spark, path).orderBy("file", "line").first()
+    if worst is not None:
+        raise ValueError(f"bad JSON on line {worst['line']} of {worst['file']}: {worst['text'][:200]}")
+    return read_jsonl(spark, path, schema)
 
 
 def read_detected(spark: SparkSession, path: str) -> DataFrame:
@@ -52,8 +78,15 @@ def read_json_object(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # configuration files are small
 
 
+def no_relation_id(labels: DataFrame, name: str = "no_relation") -> int | None:
+    """The id of the label of that name, else of one that differs in case only; None without one."""
+    rows = labels.where(F.lower("label") == name.lower()).collect()  # one row a label
+    return min(((r["label"] != name, r["id"]) for r in rows), default=(True, None))[1]
+
+
 def read_label_map(spark: SparkSession, *paths: str) -> DataFrame:
-    """label, id of the first of these files that is there: label to id, or id to label."""
+    """label, id of the first of these files that is there: label to id, id to label, or a model's configuration with label2id and id2label (of equal
+    size, else the next file counts)."""
     for path in paths:
         try:
             got = read_json_object(spark, path)
@@ -61,6 +94,12 @@ def read_label_map(spark: SparkSession, *paths: str) -> DataFrame:
             if "PATH_NOT_FOUND" in str(e):
                 continue
             raise
+        if "label2id" in got or "id2label" in got:
+            a, b = got.get("label2id"), got.get("id2label")
+            ids = {k for k in b if str(k).lstrip("-").isdigit()} if isinstance(b, dict) else set()
+            if not isinstance(a, dict) or not a or len(ids) != len(a):
+                continue
+            got = a
         rows = [(v, int(k)) if isinstance(v, str) else (k, int(v)) for k, v in got.items()]
         return spark.createDataFrame(rows, "label string, id int")
     raise FileNotFoundError(f"no label map at {', '.join(paths)}")
@@ -82,6 +121,16 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: str) -> Data
     return out
 
 
+def text_source(spark: SparkSession, text: str | None = None, path: str | None = None, default: str | None = None) -> DataFrame:
+    """doc_id, text: of a given text, of the files below a path, or of a built-in paragraph; ValueError without any. Texts are stripped."""
+    if path:
+        files = read_texts(spark, path)
+        return files.select(F.xxhash64("file").alias("doc_id"), strip(F.col("text")).alias("text"))
+    if not (text or default):
+        raise ValueError("give a text or the path of one")
+    return spark.createDataFrame([(0, text or default)], "doc_id long, text string").withColumn("text", strip(F.col("text")))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """file, text of whole files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
@@ -112,6 +161,12 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.select("src_id", "dst_id", "rel_type", "rel_raw", "support_count", *conf, "evidence").write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/edges")
 
 
+def wipe(spark: SparkSession, path: str) -> None:
+    """Removes a graph that write_graph() has written: its own two folders below path and nothing else."""
+    remove(spark, f"{path}/nodes")
+    remove(spark, f"{path}/edges")
+
+
 def write_report(path: str, metrics: DataFrame, labels: DataFrame, confusions: DataFrame, thresholds: DataFrame | None = None) -> None:
     write_summary(metrics, f"{path}/metrics.json")
     write_csv(labels, f"{path}/per_label")

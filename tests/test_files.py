@@ -18,9 +18,23 @@ def test_jsonl(spark, tmp_path):
     assert sorted(r["x"] for r in files.read_jsonl(spark, good, "x int").collect()) == [1, 2]
     assert files.read_jsonl(spark, good, "x int", limit=1).count() == 1
     bad = put(tmp_path / "b.jsonl", '{"x": 1}\n{"x": \n')
-    for read in (files.read_jsonl, files.read_jsonl_checked):
-        with pytest.raises(Exception):
-            read(spark, bad, "x int").collect()
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, bad, "x int").collect()
+    with pytest.raises(ValueError, match="line 2 "):
+        files.read_jsonl_checked(spark, bad, "x int")
+    assert files.read_jsonl_checked(spark, good, "x int").count() == 2
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    lines = [f'{{"x": {i}}}' if i % 97 else "{" for i in range(1, 3000)]
+    p = put(tmp_path / "many.jsonl", "\n".join(lines) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert sorted(r["line"] for r in files.bad_lines(spark, p).collect()) == list(range(97, 3000, 97))
+        assert [r["x"] for r in files.read_jsonl(spark, put(tmp_path / "ok.jsonl", "\n".join(x for x in lines if x != "{")), "x int", limit=5).collect()] == [1, 2, 3, 4, 5]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
 
 
 def test_detected(spark, tmp_path):

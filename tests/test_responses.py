@@ -11,7 +11,8 @@ def test_scans():
     assert R.strict_array("[1") is None and R.strict_array(None) is None
     assert json.loads(R.salvaged_array('[{"a": 1}, {"b":')) == [{"a": 1}]
     assert json.loads(R.salvaged_array('[{"a": "x ] } \\" y"}, {"b": [1, {"c": 2}]}, {"d": ')) == [{"a": 'x ] } " y'}, {"b": [1, {"c": 2}]}]
-    assert R.salvaged_array("[1, 2]") is None and R.salvaged_array("none") is None
+    assert R.salvaged_array("x [1, 2] y") == "[1, 2]" and R.salvaged_array('[{"a": 1}, 3] ]') == '[{"a": 1}, 3]'
+    assert R.salvaged_array("[1, 2") is None and R.salvaged_array("none") is None
 
 
 def test_ladder_and_validation(spark):
@@ -43,3 +44,18 @@ def test_providers(spark):
     canned = R.CannedLLM(spark.createDataFrame([(1, 0, "x")], "doc_id long, attempt int, response string"))
     assert canned.ask(q).count() == 1
     assert "/sports/sports_team/location" in q.select(R.triple_prompt(F.col("prompt")).alias("t")).first()["t"]
+
+
+def test_fences(spark):
+    df = spark.createDataFrame([("```json\n[1]\n```",), ("```\n[1]```",), ("```python [1]\n```",)], "x string")
+    assert [r[0] for r in df.select(R.unfenced(F.col("x"))).collect()] == ["[1]", "[1]", "python [1]"]
+
+
+def test_giving_up_can_raise(spark):
+    import pytest
+
+    q = spark.createDataFrame([(1, "t")], "doc_id long, text string")
+    never = lambda: lambda prompts: ["no"] * len(prompts)
+    assert [tuple(r) for r in R.extracted(q, never, retries=1).select("attempt", "how").collect()] == [(1, None)]
+    with pytest.raises(Exception, match="could not be parsed"):
+        R.extracted(q, never, retries=0, strict=True).collect()

@@ -57,7 +57,7 @@ def test_export_conserves(spark):
 
 def test_hypothesis_is_not_filled_twice(spark):
     df = spark.createDataFrame([("/people/person/children", "the {t} firm", "Bo"), ("/made/up", "A", "B")], "relation string, head string, tail string")
-    assert {r["hypothesis"] for r in scoring.hypothesis(df).collect()} == {"Bo is a child of the {t} firm.", "A is related to B by /made/up."}
+    assert {r["hypothesis"] for r in scoring.hypothesis(df).collect()} == {"Bo is a child of the {t} firm.", "A has relation /made/up with B."}
 
 
 def test_scorers(spark):
