@@ -188,6 +188,7 @@ def digest(marked: DataFrame) -> DataFrame:
 
 
 def op4_winnow_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Hits of all documents against the whole benchmark; for null and empty texts, repeated rows and an empty benchmark see decontaminate()."""
     return digest(decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 

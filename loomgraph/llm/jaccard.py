@@ -498,6 +498,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int
 
 
 def op10_divideskip_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Components of all documents; for null ids and texts, short texts, repeated rows and empty tables see classes()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = classes(docs, gram=4, num=85, den=100)
     return found.select(F.when(has_key(F.col("row_key")), F.col("row_key").cast("long")).alias("doc_id"), "n_shingles", "component_id")

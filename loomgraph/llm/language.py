@@ -121,5 +121,6 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
 
 
 def op6_zstd_language(spark, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from all folds but one; for null texts, texts without letters, ties and empty tables see identify()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     return identify(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))

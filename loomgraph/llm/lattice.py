@@ -11,6 +11,9 @@ frequent words go to the executors by a broadcast of bounded size; all other wor
 
 from __future__ import annotations
 
+import math
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +26,8 @@ from loomgraph.llm.common import SPACED, Staged, Words, buffers, chunks, fold, m
 #: Words of the broadcast head, rounds of fitting, weight of the prior in each piece's count, bytes of text counted before counts are sent on.
 HEAD, ROUNDS, PRIOR, FLUSH_BYTES = 1 << 19, 2, 0.1, 16 << 20
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of a word from which on it is read in blocks of STRETCH bytes, by itself; shorter ones go together with those of equal length.
+LONG, STRETCH = 512, 1 << 16
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -88,10 +93,50 @@ class Lattice:
             a[e, rows] = np.logaddexp(a[e, rows], a[s, rows] + self.log_p[k])
         return a
 
+    def stretches(self, raw: np.ndarray, backward: bool = False):
+        """Of one word (led by a space): starts, ends and piece numbers of its matches, by start (backward: the last start first), a stretch of starts at a time."""
+        w = np.concatenate([[32], raw]).astype(np.uint64)
+        for a in range(0, len(w), STRETCH) if not backward else reversed(range(0, len(w), STRETCH)):
+            b = min(len(w), a + STRETCH)
+            h, found = np.zeros(b - a, np.uint64), []
+            for n in range(1, self.longest + 1):
+                m = min(b, len(w) - n + 1) - a  # starts with so many bytes left
+                if m <= 0:
+                    break
+                h = (h[:m] + w[a + n - 1 : a + n - 1 + m] + np.uint64(1)) * _B
+                at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+                k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+                ok = self.keys[k] == h[at]
+                found.append((at[ok] + a, at[ok] + a + n, k[ok]))
+            s, e, k = (np.concatenate([x[i] for x in found]) for i in range(3))
+            order = np.argsort(s, kind="stable")
+            yield s[order], e[order], k[order]
+
+    def climb(self, raw: np.ndarray, backward: bool = False) -> array:
+        """Natural logarithms of the probability of each prefix of a word (backward: each suffix), by one pass over its matches."""
+        a = array("d", [-math.inf]) * (len(raw) + 2)
+        a[-1 if backward else 0] = 0.0
+        for s, e, k in self.stretches(raw, backward):
+            p = self.log_p[k]
+            rows = zip(e[::-1].tolist(), s[::-1].tolist(), p[::-1].tolist(), strict=True) if backward else zip(s.tolist(), e.tolist(), p.tolist(), strict=True)
+            for i, j, x in rows:
+                v, u = a[i] + x, a[j]
+                if u == -math.inf:
+                    a[j] = v
+                elif v != -math.inf:
+                    a[j] = max(u, v) + math.log1p(math.exp(-abs(u - v)))
+        return a
+
+    def long(self, raw: np.ndarray, offsets: np.ndarray):
+        """Numbers and bytes of the long words."""
+        for i in np.flatnonzero(np.diff(offsets) >= LONG).tolist():
+            yield i, raw[offsets[i] : offsets[i + 1]]
+
     def groups(self, raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 18):
-        """Words (led by a space) as byte matrices of one length: numbers, matrix."""
+        """Words (led by a space) that aren't long, as byte matrices of one length: numbers, matrix."""
         size = np.diff(offsets)
         order = np.argsort(size, kind="stable")
+        order = order[: int(np.searchsorted(size[order], LONG))]
         at = 0
         while at < len(order):
             n = int(size[order[at]])
@@ -108,6 +153,8 @@ class Lattice:
         out = np.zeros(len(offsets) - 1)
         for rows, w in self.groups(raw, offsets):
             out[rows] = self.forward(*w.shape, self.matches(w))[-1] / np.log(10)
+        for i, word in self.long(raw, offsets):
+            out[i] = self.climb(word)[-1] / np.log(10)
         return out
 
     def expected(self, raw: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -124,6 +171,10 @@ class Lattice:
             z = a[-1]
             for s, e, r, k in found:
                 total += np.bincount(k, counts[rows[r]] * np.exp(a[s, r] + self.log_p[k] + b[e, r] - z[r]), len(total))
+        for i, word in self.long(raw, offsets):
+            up, down = np.frombuffer(self.climb(word)), np.frombuffer(self.climb(word, backward=True))
+            for s, e, k in self.stretches(word):
+                total += np.bincount(k, counts[i] * np.exp(up[s] + self.log_p[k] + down[e] - up[-1]), len(total))
         out = np.zeros(len(total))
         out[self.order] = total
         return out
@@ -281,6 +332,7 @@ def score(docs: DataFrame, learn, text: str = "text", keep: tuple[str, ...] = ("
 
 
 def op9_lattice_lm(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from all folds but one; for null and empty texts, repeated rows and empty tables see score()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 7) == 2
     found = score(docs.withColumn("held_out", held_out), ~F.col("held_out"), keep=("doc_id", "held_out"))

@@ -22,13 +22,13 @@ from functools import reduce
 from itertools import islice
 from math import lcm
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import staged, table, with_outputs
+from loomgraph.llm.common import staged, table
 
-#: Rows of a block, exponent of the default targets, buckets of a source, most sources.
-BLOCK_ROWS, TEMPER, BUCKETS, MOST_SOURCES = 8, 0.9, 1024, 100_000
+#: Rows of a block, exponent of the default targets, least buckets of a source and rows of a bucket (about), most sources.
+BLOCK_ROWS, TEMPER, BUCKETS, BUCKET_ROWS, MOST_SOURCES = 8, 0.9, 1024, 65_536, 100_000
 #: Blocks in a row of the schedule's table, rows of that table that the driver holds and broadcasts.
 RUN, PIECE = 256, 4096
 
@@ -117,8 +117,8 @@ def tempered(rows: dict[str, int], power: float = TEMPER) -> dict[str, float]:
     return {s: n**power for s, n in rows.items()}
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with block, release, deadline, slot, position and selected.
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, ties: tuple[Column, ...] = ()) -> DataFrame:
+    """docs with block, release, deadline, slot, position and selected. ties: what tells rows of one key apart, so that they too are spread over buckets.
 
     weights: target of each source (None: of rows without a source); by default the rows of each source to the power TEMPER. Sources
     without rows are left out and the rest scaled up. position: place in the interleaved order, which holds all rows; exhausted sources leave
@@ -128,14 +128,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     stay.
     """
     spark = docs.sparkSession
-    base = docs.withColumn("__s", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("-"))).withColumn("__b", F.pmod(F.xxhash64(f"`{key}`"), F.lit(BUCKETS)))
-    counts = base.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__s", "__b", before.alias("__before"))
-    totals = base.groupBy("__s").count().limit(MOST_SOURCES + 1).collect()
+    own = {c: f"column{i}" for i, c in enumerate(docs.columns)}  # names that none here has
+    docs, names = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], *[t.alias(f"tie{i}") for i, t in enumerate(ties)]), [f"tie{i}" for i in range(len(ties))]
+    source, key = own[source], own[key]
+    docs = docs.withColumn("__s", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-")))
+    totals = docs.groupBy("__s").count().limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; group them before mixing")
     rows = {r["__s"]: r["count"] for r in totals}
+    buckets = max(BUCKETS, max(rows.values(), default=0) // BUCKET_ROWS)
+    base = docs.withColumn("__b", F.pmod(F.xxhash64(key, *names), F.lit(buckets)))
+    counts = base.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__s", "__b", before.alias("__before"))
     target = tempered(rows) if weights is None else {("-" if s is None else f"={s}"): w for s, w in weights.items()}
     target = {s: w for s, w in target.items() if rows.get(s) and w > 0}
     plan = Schedule(target, {s: -(-rows[s] // block_rows) for s in target})
@@ -147,23 +152,20 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         if len(piece) < PIECE:
             break
     slots = reduce(DataFrame.unionByName, pieces)
-    rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy(F.xxhash64(f"`{key}`"), f"`{key}`")) - 1
+    rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy(F.xxhash64(key), key, *names)) - 1
     out = base.withColumn("__k0", rank).join(offsets, ["__s", "__b"])
     place = F.col("__before") + F.col("__k0")
     out = out.withColumn("__i", F.floor(place / block_rows).cast("long")).withColumn("__r", place % block_rows)
     out = out.withColumn("__run", F.expr(f"__i div {RUN}")).join(slots, ["__s", "__run"], "left")
     at = (F.col("__i") % RUN).cast("int")
     slot = F.get("__slots", at)
-    return with_outputs(
-        out,
-        block=F.col("__i"),
-        release=F.get("__releases", at),
-        deadline=F.get("__deadlines", at),
-        slot=slot,
-        position=slot * block_rows + F.col("__r"),
-        selected=F.coalesce(slot < plan.horizon, F.lit(False)),
-    ).drop("__s", "__b", "__k0", "__before", "__run", "__i", "__r", "__slots", "__releases", "__deadlines")
+    new = {
+        "block": F.col("__i"), "release": F.get("__releases", at), "deadline": F.get("__deadlines", at), "slot": slot, "position": slot * block_rows + F.col("__r"),
+        "selected": F.coalesce(slot < plan.horizon, F.lit(False)),
+    }
+    return out.select(*[F.col(k).alias(c) for c, k in own.items() if c.lower() not in new], *[v.alias(c) for c, v in new.items()])
 
 
 def op3_pfair_mix(spark, sf_dir: str) -> DataFrame:
+    """The schedule of all documents; for null and repeated keys, null sources and empty tables see mix_sources()."""
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))

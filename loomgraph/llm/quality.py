@@ -184,6 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
 
 
 def op1_byte_cnn_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels of all folds but one; for null, empty and long texts, ties and empty tables see score()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
     out = score(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"), keep=("doc_id", "held_out"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

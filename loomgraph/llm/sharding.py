@@ -15,7 +15,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, with_outputs
+from loomgraph.llm.common import table
 
 SHARDS, VNODES, CELL_BITS = 24, 64, 14
 BITS = 60
@@ -30,8 +30,10 @@ def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
     return sorted((position(f"shard {s} node {v}"), s) for s in range(shards) for v in range(vnodes))
 
 
-def key_position(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def key_position(key: Column, *ties: Column) -> Column:
+    """A place on the ring by the key and, where several rows share one or lack it, by what tells them apart."""
+    text = F.concat_ws(" ", F.coalesce(key.cast("string"), F.lit("")), *[t.cast("string") for t in ties])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def plan(points: list[tuple[int, int]], counts: list[int], shards: int) -> list[list[tuple[int, int, int]]]:
@@ -64,10 +66,13 @@ def plan(points: list[tuple[int, int]], counts: list[int], shards: int) -> list[
 def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str = "doc_id", ties: tuple[Column, ...] = ()) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard); counts of shards differ by one at most.
 
-    Null keys take the place of the empty text; repeated keys are rows like others, told apart by ties. No rows give no rows. Columns named
-    shard or slot are replaced; all others stay.
+    Null keys count as the empty text; rows that share a key are rows like others and are told apart, and spread over the ring, by ties. No rows
+    give no rows. Columns named shard or slot are replaced; all others stay, whatever their names.
     """
     spark = docs.sparkSession
+    own = {c: f"column{i}" for i, c in enumerate(docs.columns)}  # names that none here has
+    names = [f"tie{i}" for i in range(len(ties))]
+    docs, key = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], *[t.alias(n) for t, n in zip(ties, names, strict=True)]), own[key]
     points = ring(shards, vnodes)
     width = BITS - CELL_BITS
     starts = [p for p, _ in points]
@@ -78,11 +83,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str
     lookup = F.broadcast(spark.createDataFrame(cells, "__c int, __lo int, __points array<bigint>"))
 
     def placed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("__p", key_position(F.col(f"`{key}`"))).withColumn("__c", F.shiftright("__p", width).cast("int")).join(lookup, "__c")
+        df = df.withColumn("__p", key_position(F.col(key), *map(F.col, names))).withColumn("__c", F.shiftright("__p", width).cast("int")).join(lookup, "__c")
         arc = F.col("__lo") + F.size(F.filter("__points", lambda x: x < F.col("__p")))
         return df.withColumn("__a", arc % len(points)).drop("__lo", "__points")
 
-    counted = placed(docs.select(f"`{key}`")).groupBy("__a", "__c").count().collect()  # bounded by the ring, not by the rows
+    counted = placed(docs.select(key, *names)).groupBy("__a", "__c").count().collect()  # bounded by the ring, not by the rows
     per_cell = sorted((r["__a"], r["__c"], r["count"]) for r in counted)
     counts = [0] * len(points)
     for a, _, n in per_cell:
@@ -96,13 +101,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str
         rows.append((a, c, [(max(f, lo) - lo, s, base + max(f, lo) - f) for (f, s, base), to in zip(of_arc, ends, strict=True) if f < hi and to > lo]))
         before[a] = hi
     pieces = F.broadcast(spark.createDataFrame(rows, "__a int, __c int, __r array<struct<first: bigint, shard: int, slot: bigint>>"))
-    rank = F.row_number().over(Window.partitionBy("__a", "__c").orderBy("__p", f"`{key}`", *ties)).cast("long") - 1
+    rank = F.row_number().over(Window.partitionBy("__a", "__c").orderBy("__p", key, *names)).cast("long") - 1
     out = placed(docs).withColumn("__k", rank).join(pieces, ["__a", "__c"])
     out = out.withColumn("__x", F.element_at(F.filter("__r", lambda x: x["first"] <= F.col("__k")), -1))
-    return with_outputs(out, shard=F.col("__x.shard"), slot=F.col("__x.slot") + F.col("__k") - F.col("__x.first")).drop("__a", "__c", "__p", "__k", "__r", "__x")
+    kept = [F.col(k).alias(c) for c, k in own.items() if c.lower() not in ("shard", "slot")]
+    return out.select(*kept, F.col("__x.shard").alias("shard"), (F.col("__x.slot") + F.col("__k") - F.col("__x.first")).alias("slot"))
 
 
 def op5_shard_ring(spark, sf_dir: str) -> DataFrame:
+    """Shards of all documents under the law `rows`; null texts count as empty, null and repeated ids are told apart by their texts, empty tables give none."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"))

@@ -92,7 +92,11 @@ def scan(spark: SparkSession, path: str, eod: int = EOD, width: str = "<u2", blo
 
 
 def op7_separator_scan(spark, sf_dir: str) -> DataFrame:
-    """Token count of every document: documents are encoded into flat files, the files scanned, and documents named by their place."""
+    """Token count of every document: documents are encoded into flat files, the files scanned, and documents named by their place.
+
+    Null and empty texts have no tokens, long ones are encoded whole, repeated rows and ids each have their own place, and an empty table gives no
+    rows. Columns besides doc_id and text are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     path = new_path(spark, "tokens")
     mean = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 1

@@ -277,6 +277,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
 
 
 def op2_dual_tree_topk(spark, sf_dir: str) -> DataFrame:
+    """The five best of every query row against all rows; for unsound vectors, repeated rows, ties and empty tables see top_k()."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 

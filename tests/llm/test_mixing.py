@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from loomgraph.llm import mixing
 
 
@@ -102,3 +104,51 @@ def test_schedule_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RUN", 5)
     monkeypatch.setattr(mixing, "PIECE", 4)
     assert sorted(map(str, mixing.mix_sources(df).collect())) == whole
+
+
+def simulated(rows, power):
+    """(source, block, slot) of every block, slot by slot, from a fluid schedule that is run step by step in fractions."""
+    from fractions import Fraction
+
+    blocks = {s: -(-n // 8) for s, n in rows.items()}
+    weight = {s: Fraction(n**power) for s, n in rows.items()}
+    times, have, now = {s: [Fraction(0)] for s in rows}, {s: Fraction(0) for s in rows}, Fraction(0)
+    while any(have[s] < blocks[s] for s in rows):  # to the next moment at which some source's fluid share is a whole number of blocks
+        on = [s for s in rows if have[s] < blocks[s]]
+        total = sum(weight[s] for s in on)
+        step = min((int(have[s]) + 1 - have[s]) * total / weight[s] for s in on)
+        now += step
+        for s in on:
+            have[s] += step * weight[s] / total
+            if have[s].denominator == 1 and len(times[s]) <= have[s]:
+                times[s].append(now)
+    windows = {(s, i): (times[s][i].__floor__(), times[s][i + 1].__ceil__()) for s in rows for i in range(blocks[s])}
+    done, out = {s: 0 for s in rows}, []
+    for t in range(sum(blocks.values())):
+        s = min((s for s in rows if done[s] < blocks[s] and windows[s, done[s]][0] <= t), key=lambda s: (windows[s, done[s]][1], s))
+        out.append((s, done[s], t))
+        done[s] += 1
+    return out
+
+
+def test_schedule_row_by_row(spark):
+    rows = {"a": 211, "b": 97, "c": 40, "d": 3}
+    docs = [(k * 1000 + i, s) for k, (s, n) in enumerate(rows.items()) for i in range(n)]
+    got = mixing.mix_sources(spark.createDataFrame(docs, "doc_id long, source string")).collect()
+    want = simulated({f"={s}": n for s, n in rows.items()}, mixing.TEMPER)
+    place = sorted({(r["slot"], r["source"], r["block"]) for r in got})
+    assert [(f"={s}", i) for _, s, i in place] == [(s, i) for s, i, _ in want]
+    inside = [(t, s) for t, s, _ in place]
+    horizon = next((t for t in range(len(inside)) if inside[t][0] != t), len(inside))
+    assert all(t == w[2] + (t > horizon) for (t, _), w in zip(inside, want, strict=True))
+    size = {}
+    for r in got:
+        size.setdefault((r["source"], r["block"]), set()).add(r["position"] - 8 * r["slot"])
+    assert all(x == set(range(len(x))) for x in size.values()) and sum(map(len, size.values())) == len(docs)
+
+
+def test_clashing_names_and_ties(spark):
+    df = spark.createDataFrame([(None, "a", f"t{i}", i) for i in range(400)], "doc_id long, source string, __s string, __b int")
+    got = mixing.mix_sources(df, ties=(F.col("__s"),)).collect()
+    assert sorted(r["__s"] for r in got) == sorted(f"t{i}" for i in range(400)) and {r["__b"] for r in got} == set(range(400))
+    assert sorted(r["position"] for r in got) == list(range(400))

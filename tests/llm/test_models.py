@@ -216,3 +216,124 @@ def test_token_counts_of_documents(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.op7_separator_scan(spark, str(tmp_path)).collect()}
     assert got == {i * 3: len(tool.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
+# ---- brute force ----
+
+
+def test_network_by_plain_loops():
+    """score() against a forward pass written out byte by byte."""
+    rng = np.random.default_rng(3)
+    net = quality.Network(rng)
+    texts = [b"", b"a", rng.integers(1, 250, 700).astype(np.uint8).tobytes(), b"word " * 90]
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    for t in texts:
+        feats, n = [], max(1, -(-(len(t) - (quality.CHUNK - quality.HOP)) // quality.HOP))
+        for c in range(n):
+            chunk = [t[i] if i < len(t) else 0 for i in range(c * quality.HOP, c * quality.HOP + quality.CHUNK)]
+            pooled = []
+            for f in range(quality.FILTERS):
+                best = -math.inf
+                for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                    best = max(best, sum(float(p["emb"][chunk[at + j]] @ p["conv"][j * quality.DIM : (j + 1) * quality.DIM, f]) for j in range(quality.WIDTH)))
+                pooled.append(max(0.0, best + p["cb"][f]))
+            row = [*pooled, sum(x != 0 for x in chunk) / quality.CHUNK]
+            feats.append([max(0.0, sum(r * p["w"][i, h] for i, r in enumerate(row)) + p["wb"][h]) for h in range(quality.HIDDEN)])
+        z = sum(max(x[h] for x in feats) * p["v"][h] + sum(x[h] for x in feats) / n * p["v"][quality.HIDDEN + h] for h in range(quality.HIDDEN)) + p["vb"][0]
+        got = net.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+def test_languages_by_a_plain_loop(spark):
+    """identify() against a loop over texts, pieces and dictionaries with a compressor made anew each time."""
+    import zstandard
+
+    rng = random.Random(8)
+    rows = [(i, text(rng, lang, rng.choice([3, 30, 500])), lang) for i, lang in enumerate(rng.choices(list(WORDS), k=150))] + [(900, None, "en"), (901, "12 34", "de"), (902, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = fold(F.col("doc_id"), 5) != 0
+    dicts = language.sample(docs.where(learn), "text", "lang")
+    sizes = {len(x) for x in dicts.values()}
+    assert len(dicts) == 3 and min(sizes) >= language.LEAST_BYTES
+
+    def compressed(lang, most, t):
+        d = zstandard.ZstdCompressionDict(dicts[lang][-most:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=language.LEVEL)
+        return sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t[a : a + language.PIECE])) for a in range(0, len(t), language.PIECE))
+
+    def judged(t):
+        t = language.letters(t)
+        if len(t) < language.PIECE // 8:
+            t = (t + b" ") * max(1, min(8, language.PIECE // 8 // (len(t) + 1)))
+        out = {}
+        for lang in sorted(dicts, key=lambda k: (-len(dicts[k]), k)):  # richest first; a poorer one meets the best so far at its own length
+            size = compressed(lang, len(dicts[lang]), t)
+            richer = {k: v for k, v in out.items() if len(dicts[k]) > len(dicts[lang])}
+            best = min(sorted(richer), key=richer.get, default=None)
+            out[lang] = size * (out[best] / compressed(best, len(dicts[lang]), t) if best else 1.0)
+        return min(sorted(out), key=out.get)
+
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, learn).collect()}
+    for i, t, _ in rows:
+        assert got[i] == (judged(t) if t and re.search("[^\\W\\d_]", t) else "und")
+
+
+def test_lattice_scores_end_to_end(spark):
+    """score() and its fitted pieces against sums over all segmentations, document by document."""
+    docs = [(i, t) for i, t in enumerate(["the cat the", "a cat sat", "The CAT", "dog", "", None, "satthe cat cat"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    learn = F.col("doc_id") != 3
+    got = {r["doc_id"]: r for r in lattice.score(df, learn).collect()}
+    pieces = lattice.load_pieces()
+    words = [(t or "").translate({c: c + 32 for c in range(65, 91)}).split() for _, t in docs]
+    counts = Counter(w for i, ws in enumerate(words) if i != 3 for w in ws)
+    weight = 1.0 / (np.arange(len(pieces)) + 50.0)
+    p, end, number = weight / weight.sum() * 0.9, 0.1, {x: k for k, x in enumerate(pieces)}
+
+    def ways(w):
+        """Every segmentation as piece numbers."""
+        if not w:
+            yield []
+        for n in range(1, len(w) + 1):
+            if w[:n] in number:
+                for rest in ways(w[n:]):
+                    yield [number[w[:n]], *rest]
+
+    every = {w: list(ways(b" " + w.encode())) for w in set(sum(words, []))}
+    for _ in range(lattice.ROUNDS):
+        total = np.full(len(pieces), lattice.PRIOR)
+        for w, c in counts.items():
+            odds = [math.prod(p[k] for k in x) for x in every[w]]
+            for x, o in zip(every[w], odds, strict=True):
+                np.add.at(total, x, c * o / sum(odds))
+        ends = len(docs) - 1
+        everything = total.sum() + ends + lattice.PRIOR
+        p, end = total / everything, (ends + lattice.PRIOR) / everything
+    n, v = sum(counts.values()) + len(docs) - 1, len(counts) + 1
+    for (i, _), ws in zip(docs, words, strict=True):
+        want = math.log10(end) + sum(math.log10(sum(math.prod(p[k] for k in x) for x in every[w])) for w in ws)
+        assert abs(got[i]["score"] - want) < 1e-6
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws) + math.log10((len(docs) - 1 + 1) / (n + v + 1))
+        assert abs(got[i]["base_score"] - base) < 1e-9 and got[i]["n_tokens"] == len(ws) + 1 and got[i]["train_tokens"] == n
+
+
+def test_long_words_go_the_other_way(monkeypatch):
+    """Words read in stretches get the scores and expectations of those read together; a megabyte takes seconds."""
+    import time
+
+    pieces = lattice.load_pieces()
+    log_p = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces))))
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"theandofing\xc3\xa9xyz") for _ in range(n)) for n in (1, 3, 9, 40, 333, 2000)]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    raw, counts = np.frombuffer(b"".join(words), np.uint8), np.arange(1.0, len(words) + 1)
+    lat = lattice.Lattice(pieces, log_p)
+    monkeypatch.setattr(lattice, "LONG", 10**9)
+    a, b = lat.scores(raw, offsets), lat.expected(raw, offsets, counts)
+    monkeypatch.setattr(lattice, "LONG", 5)
+    monkeypatch.setattr(lattice, "STRETCH", 37)
+    assert np.allclose(a, lat.scores(raw, offsets), rtol=1e-9) and np.allclose(b, lat.expected(raw, offsets, counts), rtol=1e-7, atol=1e-9)
+    monkeypatch.setattr(lattice, "STRETCH", 1 << 16)
+    big = np.frombuffer(b"theandofing" * 100_000, np.uint8)
+    start = time.time()
+    assert lat.scores(big, np.array([0, len(big)]))[0] < 0 and time.time() - start < 60

@@ -62,3 +62,11 @@ def test_query(spark, tmp_path):
         assert (got[i]["size"], got[i]["text_crc32"], got[i]["law"], got[i]["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
     count = Counter(r["shard"] for r in got.values())
     assert set(count) <= set(range(24)) and max(count.values()) - min(count.values()) <= 1
+
+
+def test_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, f"t{i}", i) for i in range(600)], "doc_id long, text string, __p int")
+    got = sharding.shard(df, 6, 8, ties=(F.col("text"),)).collect()
+    assert {r["__p"] for r in got} == set(range(600)) and Counter(Counter(r["shard"] for r in got).values()) == {100: 6}
+    spots = {r["p"] % 1000 for r in df.select(sharding.key_position(F.col("doc_id"), F.col("text")).alias("p")).collect()}
+    assert len(spots) > 300
