@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.staging import Staged, new_path, staged
 
-__all__ = ["Staged", "Words", "batches_of", "buffers", "chunks", "fold", "lean", "most_frequent", "new_path", "small", "staged", "table", "with_outputs"]
+__all__ = ["Staged", "Words", "batches_of", "buffers", "chunks", "fits", "fold", "lean", "marked", "most_frequent", "new_path", "sifted", "small", "staged", "table", "with_outputs"]
 
 #: Bytes of text that a Python worker expands into word arrays at a time.
 CHUNK_BYTES = 1 << 19
 #: Bytes of a table that is broadcast at most.
-BROADCAST_BYTES = 1 << 20
+BROADCAST_BYTES = 1 << 18
+#: Bits of a sieve.
+SIEVE_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,12 +73,35 @@ def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(F.lit(False)) if cut_at is None else df.where(bin_ >= cut_at)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, broadcast if its values take BROADCAST_BYTES at most (its rows are staged, so counting is cheap); beyond, Spark joins by a shuffle."""
+def fits(df: DataFrame) -> bool:
+    """Whether the values of a staged table take BROADCAST_BYTES at most."""
     text = [c for c, kind in df.dtypes if kind == "string"]
     wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(16 * len(df.columns)).cast("long"))
-    size = df.agg(F.sum(wide)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return (df.agg(F.sum(wide)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A staged table, broadcast if it fits; beyond, Spark joins by a shuffle."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def marked(df: DataFrame, key: str, wanted: DataFrame, flag: str = "__maybe") -> DataFrame:
+    """df with flag: false where its key is surely none of wanted's (a staged table with a column of that name and type), by a bitmap of SIEVE_BITS bits.
+
+    The bitmap is an aggregate of SIEVE_BITS / 64 rows at most and broadcast; with very many keys it says less, never anything wrong. A null key is none.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    words = wanted.where(F.col(key).isNotNull()).select(spot(key).alias("h")).selectExpr("h div 64 AS __w", "shiftleft(1L, cast(h % 64 AS int)) AS b").groupBy("__w").agg(F.bit_or("b").alias("__bits"))
+    df = df.withColumn("__spot", spot(key))
+    j = df.withColumn("__w", F.expr("__spot div 64")).join(F.broadcast(staged(words, "sieve")), "__w", "left")
+    hit = F.expr("(__bits & shiftleft(1L, cast(__spot % 64 AS int))) <> 0") & F.col(key).isNotNull()
+    return j.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__w", "__spot", "__bits")
+
+
+def sifted(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df that a join with wanted by the key may need: all where wanted is broadcast anyway, else those that marked() lets through, so that few
+    others are shuffled."""
+    return df if fits(wanted) else marked(df, key, wanted).where("__maybe").drop("__maybe")
 
 
 def fold(key: Column, mod: int) -> Column:

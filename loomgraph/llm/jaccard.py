@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACED, Staged, Words, batches_of, chunks, lean, mix, most_frequent, small, table
+from loomgraph.llm.common import SPACED, Staged, Words, batches_of, chunks, lean, mix, most_frequent, sifted, small, table
 from loomgraph.llm.components import components
 
 #: Words of a shingle and least similarity (num, den), unless a caller says otherwise.
@@ -221,7 +221,7 @@ def probed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, num:
     dealt = Staged(held.df.join(small(large.df), "label", "left").select("a", "b", g.alias("g")), "dealt")
     needs = dealt.df.select(F.col("b").alias("node"), "g").unionByName(dealt.df.select(F.col("a").alias("node"), "g")).distinct()
     needs = Staged(needs.join(nodes.select("node", "row_key"), "node"), "needs")
-    rows = full_sets(docs.join(small(needs.df), "row_key"), gram, seed, often).select("g", "node", "set", F.lit(None).cast("long").alias("b"))
+    rows = full_sets(sifted(docs, "row_key", needs.df).join(small(needs.df), "row_key"), gram, seed, often).select("g", "node", "set", F.lit(None).cast("long").alias("b"))
     rows = rows.unionByName(dealt.df.select("g", F.col("a").alias("node"), F.lit(None).cast("binary").alias("set"), "b"))
 
     def judged(group: pa.Table) -> pa.Table:
@@ -311,7 +311,8 @@ def search(postings: DataFrame, lists: DataFrame, num: int, den: int) -> DataFra
     split = F.when(lo != hi, F.col("own"))  # of lists searched part against part, the part that the node is of
     rows = Staged(rows.select(g.alias("g"), "node", "token", "n", "comp", split.alias("part")), "searched")
     needs = Staged(rows.df.groupBy("node", "g").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("part").alias("part")), "needs")
-    pre = lists.join(small(needs.df.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    asked = Staged(needs.df.select("node").distinct(), "asked")
+    pre = sifted(lists, "node", asked.df).join(small(asked.df), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
     have = needs.df.join(pre, "node").select("g", "node", "n", "comp", "part", "tokens", F.lit(None).cast("long").alias("token"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("comp", "long"), ("part", "int"), ("tokens", "array<long>"))]
     given = have.unionByName(rows.df.select("g", "token").distinct().select("g", F.lit(0).cast("long").alias("node"), *none, "token"))
@@ -360,7 +361,7 @@ def search(postings: DataFrame, lists: DataFrame, num: int, den: int) -> DataFra
     found = Staged(given.groupBy("g").applyInArrow(merged, "a long, b long").distinct(), "candidates")
     low = Staged(found.df.groupBy("b").agg(F.min("a").alias("low")).select(F.col("b").alias("a"), "low"), "low")
     out = Staged(found.df.join(small(low.df), "a", "left").select("a", "b", F.coalesce("low", "a").alias("label")), "candidates")
-    for x in (sized, leads, plan, rows, needs, found, low):
+    for x in (sized, leads, plan, rows, needs, asked, found, low):
         x.drop()
     return out.df
 
@@ -412,7 +413,7 @@ class Join:
         self.lists = Staged(short_lists(docs, gram, num, den, seed, self.often), "lists")
         posted = self.lists.df.select("node", "n", F.explode("tokens").alias("token"))
         met = Staged(posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token"), "met")
-        every = Staged(posted.join(small(met.df), "token").select("token", "node", "n").distinct(), "posted")  # only lists of several nodes
+        every = Staged(sifted(posted, "token", met.df).join(small(met.df), "token").select("token", "node", "n").distinct(), "posted")  # only lists of several nodes
         met.drop()
         size = Staged(every.df.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BIG), "large")
         self.postings, self.large = every, size

@@ -178,3 +178,16 @@ def test_components(spark):
                 change = True
     assert got == top
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_sieve(spark, monkeypatch):
+    df = spark.range(0, 3000).selectExpr("CASE WHEN id % 10 = 9 THEN NULL ELSE concat('k', id) END AS key", "id")
+    want = spark.createDataFrame([(f"k{i}",) for i in range(0, 600, 7)] + [("absent",), (None,)], "key string")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    for bits in (64, 1 << 10, 1 << 23):
+        monkeypatch.setattr(common, "SIEVE_BITS", bits)
+        rows = common.marked(df, "key", want).collect()
+        assert len(rows) == 3000 and all(r["__maybe"] for r in rows if r["id"] < 600 and r["id"] % 7 == 0 and r["key"]) and not any(r["__maybe"] for r in rows if r["key"] is None)
+        kept = common.sifted(df, "key", want).join(want, "key")
+        assert {r["id"] for r in kept.collect()} == {i for i in range(0, 600, 7) if i % 10 != 9}
+    assert sum(r["__maybe"] for r in rows) < 100

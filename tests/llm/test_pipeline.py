@@ -4,6 +4,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from loomgraph.llm import common  # noqa: E402
 from tests.llm.test_decontamination import brute as leaks  # noqa: E402
 from tests.llm.test_jaccard import brute as links  # noqa: E402
 
@@ -92,7 +93,9 @@ def test_mixing_keeps_all_rows_in_order(spark):
     assert abs(seen - 1000 * weights["b"] / sum(weights.values())) <= 16
 
 
-def test_near_duplicates_by_row(spark):
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_near_duplicates_by_row(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)  # 0: all joins by shuffles
     rng = random.Random(4)
     t = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
     docs = [
