@@ -18,10 +18,10 @@ __all__ = ["Staged", "Words", "batches_of", "buffers", "chunks", "fits", "fold",
 
 #: Bytes of text that a Python worker expands into word arrays at a time.
 CHUNK_BYTES = 1 << 19
-#: Bytes of a table that is broadcast at most.
-BROADCAST_BYTES = 1 << 18
+#: Bytes of a table that is broadcast by a hint; beyond, Spark decides by its own threshold.
+BROADCAST_BYTES = 1 << 16
 #: Bits of a sieve.
-SIEVE_BITS = 1 << 23
+SIEVE_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,7 @@ def fits(df: DataFrame) -> bool:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A staged table, broadcast if it fits; beyond, Spark joins by a shuffle."""
+    """A staged table, broadcast if it fits; beyond, Spark joins by a shuffle, or as its own threshold says."""
     return F.broadcast(df) if fits(df) else df
 
 

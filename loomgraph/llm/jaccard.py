@@ -204,19 +204,19 @@ class Lists:
 
 
 def probed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, num: int, den: int, seed: int, often) -> DataFrame:
-    """The pairs (a < b of nodes, label: what a group has in common) that are similar enough.
+    """The pairs (a < b of nodes; label: what a group has in common; member: a or b) that are similar enough.
 
-    Pairs of one label are judged together, so that a family's sets travel once; a label of more than GROUP_SHINGLES is cut by a. Sets are built
+    Pairs of one label are judged together, so that a family's sets travel once; a label of more than GROUP_SHINGLES is cut by member. Sets are built
     next to the texts and travel once to each group, whole.
     """
     size = nodes.select("node", "n")
     weighed = pairs.join(size.withColumnRenamed("node", "a").withColumnRenamed("n", "x"), "a").join(size.withColumnRenamed("node", "b").withColumnRenamed("n", "y"), "b")
-    held = Staged(weighed.select("a", "b", "label", (F.col("x") + F.col("y")).alias("w")), "pairs")
+    held = Staged(weighed.select("a", "b", "label", "member", (F.col("x") + F.col("y")).alias("w")), "pairs")
     by_label = held.df.groupBy("label").agg(F.sum("w").alias("total")).where(F.col("total") > GROUP_SHINGLES)
     large = Staged(by_label.select("label", F.ceil(F.col("total") / GROUP_SHINGLES).alias("parts")), "large")
     total = held.df.agg(F.sum("w")).first()[0] or 0
     groups = max(1, -(-2 * total // GROUP_SHINGLES))
-    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1)))
     g = F.pmod(F.xxhash64("label", part), F.lit(groups))
     dealt = Staged(held.df.join(small(large.df), "label", "left").select("a", "b", g.alias("g")), "dealt")
     needs = dealt.df.select(F.col("b").alias("node"), "g").unionByName(dealt.df.select(F.col("a").alias("node"), "g")).distinct()
@@ -291,7 +291,7 @@ def occurring(streams: list[list[int]], least: int) -> list[int]:
 
 
 def search(postings: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a < b) of nodes of different components that come up in T - L short lists, with label. postings: token, node, n, comp of all lists to search;
+    """Candidate pairs (a < b) of nodes of different components that come up in T - L short lists, with label and member. postings: token, node, n, comp of all lists to search;
     lists: node, tokens.
 
     Lists go to groups by their smallest node, so those of one family mostly meet in one; a family of more than GROUP_POSTINGS is cut by list, and a list
@@ -360,20 +360,22 @@ def search(postings: DataFrame, lists: DataFrame, num: int, den: int) -> DataFra
 
     found = Staged(given.groupBy("g").applyInArrow(merged, "a long, b long").distinct(), "candidates")
     low = Staged(found.df.groupBy("b").agg(F.min("a").alias("low")).select(F.col("b").alias("a"), "low"), "low")
-    out = Staged(found.df.join(small(low.df), "a", "left").select("a", "b", F.coalesce("low", "a").alias("label")), "candidates")
+    out = Staged(found.df.join(small(low.df), "a", "left").select("a", "b", F.coalesce("low", "a").alias("label"), F.col("b").alias("member")), "candidates")
     for x in (sized, leads, plan, rows, needs, asked, found, low):
         x.drop()
     return out.df
 
 
 def leaders(postings: DataFrame) -> DataFrame:
-    """Pairs (a < b) of a node and a leader of one of its large lists, with the leader as label. postings: token, node, and k, the nodes of the list."""
+    """Pairs (a < b) of a node and a leader of one of its large lists; label: the first leader of that list, member: the node. postings: token, node, and k, the nodes of the list."""
     of_node = postings.groupBy("node").agg(F.sum("k").alias("rank"), F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("h"), "token"))), 1, HEADS_FROM).alias("t"))
     rows = Staged(of_node.select("node", "rank", F.explode("t.token").alias("token")), "asked")
     best = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == q, F.struct("rank", "node")))["node"] for q in range(4)]
     heads = Staged(rows.df.groupBy("token").agg(F.array_distinct(F.array_compact(F.array(*best))).alias("heads")), "heads")
-    met = rows.df.join(small(heads.df), "token").select("node", F.explode("heads").alias("head")).where("node <> head").distinct()
-    out = Staged(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), F.col("head").alias("label")).groupBy("a", "b").agg(F.min("label").alias("label")), "near")
+    met = rows.df.join(small(heads.df), "token").select("node", F.array_min("heads").alias("label"), F.explode("heads").alias("head")).where("node <> head")
+    met = met.groupBy("node", "head").agg(F.min("label").alias("label"))
+    pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), F.struct("label", F.col("node").alias("member")).alias("x"))
+    out = Staged(pairs.groupBy("a", "b").agg(F.min("x").alias("x")).select("a", "b", "x.label", "x.member"), "near")
     rows.drop()
     heads.drop()
     return out.df
