@@ -294,10 +294,10 @@ def search(postings: DataFrame, lists: DataFrame, num: int, den: int) -> DataFra
     """Candidate pairs (a < b) of nodes of different components that come up in T - L short lists, with label and member. postings: token, node, n, comp of all lists to search;
     lists: node, tokens.
 
-    Lists go to groups by their smallest node, so those of one family mostly meet in one; a family of more than GROUP_POSTINGS is cut by list, and a list
+    Lists go to groups by their smallest component, so those of one family mostly meet in one; a family of more than GROUP_POSTINGS is cut by list, and a list
     of more than LIST_PART is searched part against part. A node's short lists travel once to each group that it is in.
     """
-    sized = Staged(postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")), "sized")
+    sized = Staged(postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lead")), "sized")
     leads = Staged(sized.df.groupBy("lead").agg(F.sum("size").alias("total")).where(F.col("total") > GROUP_POSTINGS), "leads")
     groups = max(1, -(-(sized.df.agg(F.sum("size")).first()[0] or 0) // GROUP_POSTINGS))
     cut = F.ceil(F.col("size") / LIST_PART).cast("int")
