@@ -16,6 +16,49 @@ RELATIVE = ("who", "which", "that")
 ENT = "struct<text:string,type:string,start:int,end:int>"
 
 
+TOKENS = "struct<i:int,text:string,lemma:string,pos:string,dep:string,head_i:int>"
+
+
+def annotated(sents: DataFrame, annotator, text: str = "sentence") -> DataFrame:
+    """The token table of sentences (doc_id, sent_id, text) by any tagger or parser.
+
+    annotator makes it once a worker; it maps a list of texts to a list of tokens (text, lemma, pos, dep, head_i) for each, head_i being the token itself
+    where there is no head. Null texts have no tokens.
+    """
+    import pyarrow as pa
+
+    row = pa.struct([("i", pa.int32()), ("text", pa.string()), ("lemma", pa.string()), ("pos", pa.string()), ("dep", pa.string()), ("head_i", pa.int32())])
+
+    def run(batches):
+        parse = annotator()
+        for batch in batches:
+            found = parse([t or "" for t in batch.column(text).to_pylist()])
+            rows = [[dict(zip(row.names, (i, *t), strict=True)) for i, t in enumerate(tokens)] for tokens in found]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in SENTENCE] + [pa.array(rows, pa.list_(row))], names=[*SENTENCE, "ts"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in sents.schema.fields}
+    out = sents.select(*SENTENCE, text).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in SENTENCE) + f", ts array<{TOKENS}>")
+    return out.select(*SENTENCE, F.explode("ts").alias("t")).select(*SENTENCE, "t.*")
+
+
+class ShapeTagger:
+    """An offline stand-in for a trained tagger: parts of speech by the shape of a word, every token a root of its own."""
+
+    WORDS = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+
+    def __init__(self):
+        import regex
+
+        self.words = regex.compile(self.WORDS)
+        self.shapes = [(pos, regex.compile(p)) for pos, p in (("PROPN", r"\p{Lu}"), ("NUM", r"\p{N}"), ("X", r"\p{L}"))]
+
+    def __call__(self, texts: list[str]) -> list[list[tuple]]:
+        def tag(i: int, t: str) -> tuple:
+            return t, t.lower(), next((pos for pos, p in self.shapes if p.match(t)), "PUNCT"), "ROOT", i
+
+        return [[tag(i, t) for i, t in enumerate(self.words.findall(x))] for x in texts]
+
+
 def covered(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     """tokens with ent, the mention that covers them (mentions: first_i, last_i tokens), or null. A later mention wins."""
     inside = mentions.select(*SENTENCE, F.explode(F.sequence("first_i", "last_i")).alias("i"), F.struct("ord", F.struct("text", "type", "start", "end").alias("ent")).alias("x"))

@@ -510,7 +510,7 @@ def text_to_graph(spark, d):
 
 def token_table(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Line items as parsed sentences: 'customer verb supplier prep priority', with the two names as mentions."""
-    t = triples(spark, d).where("relation = '/business/person/company'").select(F.col("ord").alias("doc_id"), F.lit(0).alias("sent_id"), "head", "tail", "evidence")
+    t = triples(spark, d).where("relation = '/business/person/company'").select(F.col("ord").alias("doc_id"), F.lit(0).alias("sent_id"), "head", "tail", "evidence").distinct()  # a line item may come twice
     verb = F.when(F.col("doc_id") % 2 == 0, "acquire").otherwise("sell")
     word = lambda i, text, lemma, pos, dep, head: F.struct(F.lit(i).alias("i"), text.alias("text"), lemma.alias("lemma"), F.lit(pos).alias("pos"), F.lit(dep).alias("dep"), F.lit(head).alias("head_i"))
     rows = F.array(word(0, F.col("head"), F.col("head"), "PROPN", "nsubj", 1), word(1, verb, verb, "VERB", "ROOT", 1), word(2, F.col("tail"), F.col("tail"), "PROPN", "dobj", 1), word(3, F.lit("at"), F.lit("at"), "ADP", "prep", 1), word(4, F.col("evidence"), F.col("evidence"), "NOUN", "pobj", 3))
@@ -520,7 +520,7 @@ def token_table(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tokens, ments
 
 
-_SENT = f"WITH {TRIPLES}, q AS (SELECT ord AS doc_id, head, tail, evidence, CASE WHEN ord % 2 = 0 THEN 'acquire' ELSE 'sell' END AS verb FROM t WHERE relation = '/business/person/company')"
+_SENT = f"WITH {TRIPLES}, q AS (SELECT DISTINCT ord AS doc_id, head, tail, evidence, CASE WHEN ord % 2 = 0 THEN 'acquire' ELSE 'sell' END AS verb FROM t WHERE relation = '/business/person/company')"
 
 
 @query(f"""{_SENT} SELECT doc_id, head AS subject, verb AS relation, tail AS object, 'A_active_SVO' AS pattern FROM q UNION ALL SELECT doc_id, head, verb || '_in', evidence, 'C_predicate_prep' FROM q""")
