@@ -6,8 +6,10 @@ extended to whole windows: their hash, and then their words, must equal those of
 window of their own, looked up by every run of that many words. A window of the document is looked up once however many items share it, so
 frequent passages cost no more than others.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text; each block's index goes to the executors by a broadcast and documents stream
-past it, so documents are never shuffled and a benchmark of any size only adds passes.
+Fingerprints of a benchmark of at most BLOCK_BYTES of text are joined by a broadcast of its index, past which documents stream without a shuffle. A
+larger benchmark stays distributed: fingerprints of both sides are joined by a shuffle, documents leaving at home those that a bitmap of at most
+SIEVE_MOST bits shows to be none of the benchmark's; then the windows of the texts that matched are joined by their words. Texts are told by a
+digest there, so copies are compared once, and nothing is gathered that grows with the benchmark or the documents.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import ALNUM, Words, chunks, lean, table
+from loomgraph.llm.common import ALNUM, Staged, Words, _C, chunks, fits, lean, marked, mix, sifted, table
 
 WINDOW, GRAM, BLOCK_BYTES = 10, 5, 16 << 20
+#: Bits of the bitmap of a larger benchmark's fingerprints: at most, and for each fingerprint.
+SIEVE_MOST, SIEVE_EACH = 1 << 27, 32
 ADDED = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType()),
@@ -109,77 +113,179 @@ class Index:
 
 def words_at(words: Words, at: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words at the given places only."""
-    from loomgraph.llm.common import _C, mix
-
     out = np.full(len(at), n, np.uint64)
     for k in range(n):
         out = out * _C + words.hash[at + k]
     return mix(out)
 
 
-def blocks(bench: DataFrame, item: str, text: str) -> list[list[tuple[str | None, str]]]:
-    """Benchmark items in blocks of about BLOCK_BYTES at most, gathered one block at a time."""
-    rows = bench.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r["i"], r["t"]) for r in (rows if n == 1 else rows.where(part == k)).collect()] for k in range(n)]
-
-
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", bench_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs (the columns of keep, or all) with n_words, hit_spans (words [start, end)), n_items, items (sorted as strings) and contaminated.
 
     Null and empty texts have no words and no hits; so has everything against an empty benchmark. Repeated rows are judged alike. Columns of
-    the new names are replaced.
+    the new names are replaced. Items that repeat an id count as one; all items without an id count as one that has no name.
     """
-    spark = docs.sparkSession
     added = {f.name for f in ADDED}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
-    named = text if text in kept else "__text"
-    out = docs.select(*[f"`{c}`" for c in kept], *([] if named == text else [F.col(f"`{text}`").alias(named)]))
-    every = blocks(bench, item, bench_text)
-    for k, block in enumerate(every):
-        shared = spark.sparkContext.broadcast(Index(block, window, gram))
-        last = k == len(every) - 1
-        fields = [f for f in out.schema.fields if f.name in kept or (f.name == named and not last)] + ADDED.fields
-
-        def marked(batches, shared=shared, first=k == 0, last=last):
-            index = shared.value
-            for batch in batches:
-                had = None if first else {n: batch.column(n).to_pylist() for n in ("hit_spans", "items", "n_items")}
-                for a, b, data, offsets in chunks(batch.column(named)):
-                    words = Words(data, offsets, ALNUM)
-                    hit, found = index.scan(words)
-                    rows = [(int(c), [], 0, [], False) for c in np.diff(words.first)]
-                    for d, items in found:
-                        lo, hi = words.first[d], words.first[d + 1]
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[lo:hi].astype(np.int8), [0]])))
-                        names = [index.names[i] for i in items]
-                        rows[d] = (rows[d][0], edge.reshape(-1, 2).tolist(), len(names), sorted(x for x in names if x is not None), True)
-                    if had:
-                        rows = [union(r, had["hit_spans"][a + i], had["n_items"][a + i], had["items"][a + i]) for i, r in enumerate(rows)]
-                    cols = list(zip(*rows, strict=True))
-                    arrays = [batch.column(n).slice(a, b - a) for n in batch.schema.names if n in kept or (n == named and not last)]
-                    spans = pa.array([[{"start": s, "end": e} for s, e in x] for x in cols[1]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                    arrays += [pa.array(cols[0], pa.int64()), spans, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.bool_())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n in kept or (n == named and not last)] + [f.name for f in ADDED])
-
-        out = out.mapInArrow(lean(marked), T.StructType(fields))
+    items = bench.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{bench_text}`").alias("t")).where("t IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 16)).first()[0] or 0
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.col(f"`{text}`").alias("t"))
+    judged = (by_broadcast if size <= BLOCK_BYTES else by_join)(rows, items, window, gram)
+    return judged.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], *[f.name for f in ADDED])
+
+
+def by_broadcast(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """rows, but for their text t, with the added columns; for items (i, t) of at most BLOCK_BYTES."""
+    shared = rows.sparkSession.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in items.collect()], window, gram))
+    others = [c for c in rows.columns if c != "t"]
+
+    def judged(batches):
+        index = shared.value
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column("t")):
+                words = Words(data, offsets, ALNUM)
+                hit, found = index.scan(words)
+                out = [(int(c), [], 0, [], False) for c in np.diff(words.first)]
+                for d, who in found:
+                    lo, hi = words.first[d], words.first[d + 1]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[lo:hi].astype(np.int8), [0]])))
+                    names = [index.names[i] for i in who]
+                    out[d] = (out[d][0], edge.reshape(-1, 2).tolist(), len(names), sorted(x for x in names if x is not None), True)
+                cols = list(zip(*out, strict=True))
+                spans = pa.array([[{"start": s, "end": e} for s, e in x] for x in cols[1]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                arrays = [batch.column(n).slice(a, b - a) for n in others]
+                arrays += [pa.array(cols[0], pa.int64()), spans, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(arrays, names=others + [f.name for f in ADDED])
+
+    return rows.mapInArrow(lean(judged), T.StructType([f for f in rows.schema.fields if f.name != "t"] + ADDED.fields))
+
+
+def runs_of(words: Words, n: int, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the runs of n words inside one document, their documents and keys: a whole window's fingerprint, or a shorter run's own hash."""
+    doc = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    m = max(len(words.hash) - n + 1, 0)
+    at = np.flatnonzero(doc[:m] == doc[n - 1 :]) if m else np.zeros(0, np.int64)
+    keys = minima(words.grams(gram), window - gram + 1) if n == window else words.grams(n)
+    return at, doc[at], keys[at]
+
+
+def windows_of(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """n, key, said, i: the windows of items, with their words as said; an item of fewer words is one window of its own."""
+
+    def cut(batches):
+        for batch in batches:
+            for a, _, data, offsets in chunks(batch.column("t")):
+                words = Words(data, offsets, ALNUM)
+                count = np.diff(words.first)
+                names = batch.column("i")
+                for n in sorted({min(int(c), window) for c in count if c}):
+                    at, doc, keys = runs_of(words, n, gram, window)
+                    ours = count[doc] >= window if n == window else count[doc] == n
+                    for lo in range(0, int(ours.sum()), 1 << 16):
+                        j, d, k = (x[ours][lo : lo + (1 << 16)] for x in (at, doc, keys))
+                        said = [b" ".join(words.word(x) for x in range(s, s + n)) for s in j.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), n, np.int32)), pa.array(k.view(np.int64)), pa.array(said, pa.binary()), names.take(pa.array(a + d))], names=["n", "key", "said", "i"])
+
+    return items.select("i", "t").mapInArrow(cut, "n int, key long, said binary, i string").distinct()
+
+
+def bitmap(keys: DataFrame, count: int) -> np.ndarray:
+    """A power of two of bits, of them set those of the keys; SIEVE_MOST bits (16 MiB) at most, so bounded whatever the keys."""
+    bits = 1 << 16
+    while bits < min(count * SIEVE_EACH, SIEVE_MOST):
+        bits *= 2
+    words = keys.selectExpr(f"key & {bits - 1}L AS spot").selectExpr("cast(spot div 8 AS int) AS w", "shiftleft(1, cast(spot % 8 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(bits >> 3, np.uint8)
+    found = words.toArrow()
+    out[found["w"].to_numpy()] = found["b"].to_numpy().astype(np.uint8)
     return out
 
 
-def union(row: tuple, spans: list[dict], n_items: int, items: list[str]) -> tuple:
-    """A document's hits with those of earlier blocks; an item's rows may lie in several blocks and count once, except items without an id."""
-    marks = sorted([(s["start"], s["end"]) for s in spans] + [tuple(x) for x in row[1]])
-    merged: list[list[int]] = []
-    for s, e in marks:
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    both = sorted({*items, *row[3]})
-    nameless = max(n_items - len(items), row[2] - len(row[3]))
-    return (row[0], merged, len(both) + nameless, both, bool(merged))
+def by_join(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """rows, but for their text t, with the added columns; for items (i, t) of any size. Texts are told by a digest."""
+    windows = Staged(windows_of(items, window, gram), "windows").df
+    keys = Staged(windows.select("n", "key").distinct(), "fingerprints").df
+    lengths = sorted(r["n"] for r in keys.select("n").distinct().collect())  # window of them at most
+    sieve = rows.sparkSession.sparkContext.broadcast(bitmap(keys, keys.count()))
+    others = [c for c in rows.columns if c != "t"]
+    rows = rows.withColumn("d", F.unhex(F.md5(F.coalesce("t", F.lit("")).cast("binary"))))
+
+    def printed(batches):
+        """n_words of each row and its fingerprints that pass the sieve."""
+        bits = sieve.value
+        mask = np.uint64(len(bits) * 8 - 1)
+        for batch in batches:
+            digests = batch.column("d")
+            for a, _, data, offsets in chunks(batch.column("t")):
+                words = Words(data, offsets, ALNUM)
+                for n in lengths:
+                    _, doc, key = runs_of(words, n, gram, window)
+                    at = key & mask
+                    seen = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    pairs = np.unique(np.stack([doc[seen].astype(np.uint64), key[seen]]), axis=1)
+                    if pairs.shape[1]:
+                        of = digests.take(pa.array(a + pairs[0].astype(np.int64)))
+                        yield pa.RecordBatch.from_arrays([of, pa.array(np.full(len(of), n, np.int32)), pa.array(pairs[1].view(np.int64))], names=["d", "n", "key"])
+
+    found = rows.select("d", "t").mapInArrow(lean(printed), "d binary, n int, key long").distinct().join(keys, ["n", "key"], "left_semi")
+    wanted = Staged(found.groupBy("d").agg(F.collect_list(F.struct("n", "key")).alias("wanted")), "matches").df
+    texts = sifted(rows.select("d", "t"), "d", wanted.select("d")).join(wanted.select("d"), "d", "left_semi").groupBy("d").agg(F.any_value("t").alias("t"))
+
+    def extended(batches):
+        """The windows of a text whose fingerprints matched, with their words."""
+        for batch in batches:
+            for i in range(batch.num_rows):  # one text at a time
+                row = {c: batch.column(c)[i].as_py() for c in ("d", "t", "wanted")}
+                raw = np.frombuffer(row["t"].encode(), np.uint8)
+                words = Words(raw, np.array([0, len(raw)]), ALNUM)
+                for n in lengths:
+                    at, _, key = runs_of(words, n, gram, window)
+                    want = np.array([w["key"] for w in row["wanted"] if w["n"] == n], np.int64)
+                    at = at[np.isin(key.view(np.int64), want)]
+                    for lo in range(0, len(at), 1 << 16):
+                        part = at[lo : lo + (1 << 16)].tolist()
+                        said = [b" ".join(words.word(x) for x in range(j, j + n)) for j in part]
+                        yield pa.RecordBatch.from_arrays([pa.array([row["d"]] * len(part), pa.binary()), pa.array(part, pa.int64()), pa.array([n] * len(part), pa.int32()), pa.array(said, pa.binary())], names=["d", "j", "n", "said"])
+
+    runs = Staged(texts.join(wanted, "d").mapInArrow(lean(extended), "d binary, j long, n int, said binary"), "runs").df
+    hits = runs.join(windows.select("n", "said").distinct(), ["n", "said"], "left_semi").groupBy("d").agg(F.collect_list(F.struct("j", (F.col("j") + F.col("n")).alias("to"))).alias("at"))
+    who = runs.select("d", "n", "said").distinct().join(windows.select("n", "said", "i").distinct(), ["n", "said"]).groupBy("d").agg(F.array_sort(F.collect_set("i")).alias("items"), F.max(F.col("i").isNull().cast("long")).alias("nameless"))
+
+    def merged(batches):
+        """Spans of hit words from the windows of a text; of these, copies of a place count once."""
+        for batch in batches:
+            spans = []
+            for at in batch.column("at"):
+                pairs = sorted((x["j"], x["to"]) for x in at.as_py())
+                out: list[dict] = []
+                for s, e in pairs:
+                    if out and s <= out[-1]["end"]:
+                        out[-1]["end"] = max(out[-1]["end"], e)
+                    else:
+                        out.append({"start": s, "end": e})
+                spans.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["d", "hit_spans"])
+
+    hits = hits.mapInArrow(merged, T.StructType([T.StructField("d", T.BinaryType()), ADDED["hit_spans"]]))
+    judged = Staged(hits.join(who, "d").select("d", "hit_spans", (F.size("items") + F.col("nameless")).cast("long").alias("n_items"), "items"), "judged").df
+
+    def counted(batches):
+        for batch in batches:
+            for a, b, data, offsets in chunks(batch.column("t")):
+                n = np.diff(Words(data, offsets, ALNUM).first)
+                names = [*others, "d"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], pa.array(n.astype(np.int64))], names=[*names, "n_words"])
+
+    all_rows = rows.mapInArrow(lean(counted), T.StructType([f for f in rows.schema.fields if f.name != "t"] + [ADDED["n_words"]]))
+    if fits(judged.select("d")):
+        out = all_rows.join(F.broadcast(judged), "d", "left")
+    else:  # only rows that may be hit are shuffled
+        all_rows = marked(all_rows, "d", judged.select("d"), "maybe")
+        out = all_rows.where("maybe").join(judged, "d", "left").unionByName(all_rows.where("NOT maybe"), allowMissingColumns=True)
+    return out.select(
+        *others, "n_words", F.coalesce("hit_spans", F.array().cast(ADDED["hit_spans"].dataType)).alias("hit_spans"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_items").isNotNull().alias("contaminated"),
+    )
 
 
 def digest(marked: DataFrame) -> DataFrame:

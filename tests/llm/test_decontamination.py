@@ -62,13 +62,23 @@ def test_against_brute_force(spark):
         assert result(D.decontaminate(*frames(spark, docs, items), keep=["doc_id"])) == brute(docs, items)
 
 
-def test_blocks_say_the_same(spark, monkeypatch):
-    docs, items = cases(4, 20)
-    items = [x for x in items if x[0] is not None]
-    monkeypatch.setattr(D, "BLOCK_BYTES", 300)
-    df, bench = frames(spark, docs, items)
-    assert len(D.blocks(bench, "item_id", "text")) > 2
-    assert result(D.decontaminate(df, bench, keep=["doc_id"])) == brute(docs, items)
+def test_joined_fingerprints_say_the_same(spark, monkeypatch):
+    small = frames(spark, *cases(4))
+    want = D.decontaminate(*small).drop("text").collect()
+    monkeypatch.setattr(D, "BLOCK_BYTES", 30)
+    for seed, most in ((4, 1 << 27), (5, 1 << 16)):
+        monkeypatch.setattr(D, "SIEVE_MOST", most)
+        docs, items = cases(seed, 40)
+        assert result(D.decontaminate(*frames(spark, docs, items), keep=["doc_id"])) == brute(docs, items)
+    assert sorted(map(str, D.decontaminate(*small).drop("text").collect())) == sorted(map(str, want))
+    df, bench = small
+    assert D.decontaminate(df.limit(0), bench).isEmpty()
+    clashing = D.decontaminate(df.selectExpr("*", "'x' AS Items", "1 AS d", "2 AS t", "3 AS maybe"), bench)
+    assert sorted(clashing.columns) == sorted(["doc_id", "text", "d", "t", "maybe", "n_words", "hit_spans", "n_items", "items", "contaminated"])
+    assert clashing.where("d = 1 AND t = 2 AND maybe = 3").count() == df.count()
+    monkeypatch.setattr(D, "fits", lambda df: False)
+    docs, items = cases(6, 40)
+    assert result(D.decontaminate(*frames(spark, docs, items), keep=["doc_id"])) == brute(docs, items)
 
 
 def test_empty_and_clashing(spark):
