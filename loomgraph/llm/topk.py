@@ -1,11 +1,13 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt to the nearest of a bounded number of pivots, and each pivot's vectors (in parts of at most PART rows) form a cover tree
-of the data; queries form trees of their own. For a query node with center q and covering radius Rq, and a data node with center c and
-radius Rc, no inner product exceeds q.c + |q| Rc + |c| Rq + Rq Rc, so a pair of nodes is left out when that is below the worst k-th score of the
-query group. First every query group searches the parts that promise most, which gives it a k-th score; then the pairs of query group and part
-whose root bound reaches that score are searched, and the rest never meet. All values are integers and all bounds are rounded up, so the
-result is exact.
+Vectors are dealt to the nearest of at most PIVOTS pivots; cells with more rows than a part holds are dealt again, by pivots for what is left of a
+vector when its pivots so far are taken off, until cells are small or LEVELS is reached. So cells form a cover tree over all data, each with its center
+(the sum of its pivots) and radius, and the pivots are few at any size. The rows of a cell (in parts, where one can't be split further) form a cover
+tree of their own; queries form trees by groups. For a query node with center q and covering radius Rq, and a data node with center c and radius Rc,
+no inner product exceeds q.c + |q| Rc + |c| Rq + Rq Rc, so a pair of nodes is left out when that is below the worst k-th score of the query
+group. First every query group goes down to the cells that promise most, which gives it a k-th score; then groups and cells go down together, level by
+level, as long as the bound of the pair reaches that score, and the rest never meet. All values are integers and all bounds are rounded up, so
+the result is exact.
 """
 
 from __future__ import annotations
@@ -14,14 +16,14 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Staged, table
+from loomgraph.llm.common import Staged, small, table
 
-#: Pivots, least and most rows of a part of data, rows of a query group, groups that meet a part in one task, rows of a leaf, parts that a group
-#: searches first.
-PIVOTS, LEAST_PART, PART, GROUP, BLOCK, LEAF, FIRST = 64, 512, 4096, 256, 32, 48, 2
+#: Pivots of a level, levels, least and most rows of a part of data, rows of a query group, groups that meet a part in one task, rows of a leaf, cells that
+#: a group goes to first, and the rows these have at least.
+PIVOTS, LEVELS, LEAST_PART, PART, GROUP, BLOCK, LEAF, FIRST, FIRST_ROWS = 64, 8, 512, 4096, 256, 32, 48, 2, 256
 SCALE = 256
 
 
@@ -103,7 +105,8 @@ def dual(queries: Cover, q_ids: np.ndarray, data: Cover, d_ids: np.ndarray, best
     def bound(a: int, b: np.ndarray) -> np.ndarray:
         dot = (xd[data.center[b]] @ xq[queries.center[a]]).astype(np.float64)
         rq, rd = queries.radius[a], data.radius[b]
-        return np.floor((dot + q_norm[a] * rd + data.norm[b] * rq + rq * rd) * (1 + 1e-12) + 1e-6)
+        more = q_norm[a] * rd + data.norm[b] * rq + rq * rd
+        return np.floor(dot + more + (np.abs(dot) + more) * 1e-12 + 1e-6)
 
     def low(a: int) -> float:
         rows = queries.points[a]
@@ -157,6 +160,108 @@ def unpack(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.int64)
 
 
+def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, x, u) with the path of their cell, and all cells: path, parent, n, r (covering radius), c (center), cn (its norm), leaf.
+
+    A level takes at most PIVOTS pivots, from a bounded sample by hash of the rows still to be dealt; every row is placed. A cell stays whole where it
+    has no more than limit rows, after LEVELS levels, and where a level splits no row off (copies).
+    """
+    spark, done, tables, pivots, before = data.sparkSession, [], [], [], None
+    todo, fan = data.withColumn("path", F.array().cast("array<int>")), PIVOTS
+    for level in range(1, LEVELS + 1):
+        sample = todo.orderBy(F.xxhash64("id", F.lit(level))).limit(fan).select("x", "path").collect()
+        pivots.append(np.array([np.array(r["x"]) - sum(p[c] for p, c in zip(pivots, r["path"], strict=True)) for r in sample], np.int64))
+        shared = spark.sparkContext.broadcast(list(pivots))  # LEVELS * PIVOTS vectors at most
+
+        def dealt(batches, shared=shared):
+            *upper, p = shared.value
+            half = (p.astype(np.float64) ** 2).sum(axis=1) / 2
+            for batch in batches:
+                if batch.num_rows:
+                    rest = unpack(batch.column("x"))
+                    path = unpack(batch.column("path")) if upper else np.zeros((len(rest), 0), np.int64)
+                    for k, q in enumerate(upper):
+                        rest = rest - q[path[:, k]]
+                    near = np.concatenate([(rest[i : i + 8192].astype(np.float64) @ p.T.astype(np.float64) - half).argmax(axis=1) for i in range(0, len(rest), 8192)])
+                    dist = np.sqrt(((rest - p[near]).astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-9)
+                    full = np.hstack([path, near[:, None]]).astype(np.int32)
+                    new = pa.ListArray.from_arrays(pa.array(np.arange(0, full.size + 1, full.shape[1], dtype=np.int32)), pa.array(full.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), batch.column("u"), new, pa.array(dist)], names=["id", "x", "u", "path", "dist"])
+
+        now = Staged(todo.mapInArrow(dealt, "id long, x array<long>, u long, path array<int>, dist double"), "placed").df
+        found = Staged(now.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")), "cells").df
+        over = found.where(F.col("n") > limit)
+        rows, most = over.agg(F.sum("n"), F.max("n")).first()
+        last = rows is None or level == LEVELS or (rows, most) == before
+        tables.append(found.withColumn("leaf", F.lit(True) if last else F.col("n") <= limit))
+        if last:
+            done.append(now.drop("dist"))
+            break
+        before, fan = (rows, most), min(PIVOTS, max(2, -(-3 * most // (2 * limit))))
+        wide = small(Staged(over.select("path"), "wide").df)
+        done.append(now.drop("dist").join(wide, "path", "left_anti").select("id", "x", "u", "path"))
+        todo = now.drop("dist").join(wide, "path", "left_semi").select("id", "x", "u", "path")
+
+    shared_all = spark.sparkContext.broadcast(pivots)
+
+    def centered(batches):
+        for batch in batches:
+            c = [sum(p[k] for p, k in zip(shared_all.value, path, strict=False)) for path in batch.column("path").to_pylist()]
+            norm = [float(np.sqrt((x.astype(np.float64) ** 2).sum())) for x in c]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tolist() for x in c], pa.list_(pa.int64())), pa.array(norm, pa.float64())], names=[*batch.schema.names, "c", "cn"])
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for df in frames[1:]:
+            out = out.unionByName(df)
+        return out
+
+    nodes = union(tables).withColumn("parent", F.expr("slice(path, 1, size(path) - 1)"))
+    nodes = nodes.mapInArrow(centered, "path array<int>, n long, r double, leaf boolean, parent array<int>, c array<long>, cn double")
+    return union(done), Staged(nodes, "nodes").df
+
+
+def grouped(queries: DataFrame) -> DataFrame:
+    """g, id and x of query rows: a group is the largest cell with at most GROUP of them; a last cell with more is cut by a hash of the row."""
+    queries = Staged(queries, "queries").df
+    prefixes = queries.select("u", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("l")).withColumn("p", F.expr("slice(path, 1, l)"))
+    counts = prefixes.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    chosen = prefixes.join(counts, "p").groupBy("u").agg(F.min(F.when(F.col("n") <= GROUP, F.col("l"))).alias("l"), F.min("n").alias("n"))
+    whole = F.coalesce("l", F.size("path"))
+    cut = F.when(F.col("l").isNull(), F.pmod(F.xxhash64("u"), F.ceil(F.col("n") * 1.25 / GROUP))).otherwise(0)
+    g = F.concat(F.concat_ws(".", F.slice("path", F.lit(1), whole)), F.lit(":"), cut.cast("string"))
+    return queries.join(chosen, "u").select(g.alias("g"), "id", "x")
+
+
+def promising(pairs: DataFrame) -> DataFrame:
+    """Of each group's pairs those of the largest bounds: FIRST, or as many as have FIRST_ROWS rows."""
+    w = Window.partitionBy("g").orderBy(F.desc("bound"), "child")
+    had = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return pairs.withColumn("place", F.row_number().over(w)).withColumn("had", had).where((F.col("place") <= FIRST) | (F.col("had") < FIRST_ROWS)).drop("place", "had")
+
+
+def down(groups: DataFrame, nodes: DataFrame, kept) -> DataFrame:
+    """g and path of the leaf cells that query groups (g, qc, qr, qn) reach, when of each level's pairs with their bound only the kept ones go on."""
+    dot = F.aggregate(F.zip_with("qc", "c", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b).cast("double")
+    front, out = groups.withColumn("parent", F.array().cast("array<int>")), []
+    for level in range(1, (nodes.agg(F.max(F.size("path"))).first()[0] or 0) + 1):
+        kids = nodes.where(F.size("path") == level).withColumnRenamed("path", "child")
+        kids = F.broadcast(kids) if level == 1 else kids  # PIVOTS rows at most
+        pairs = front.join(kids, "parent").withColumn("dot", dot)
+        pairs = Staged(kept(pairs.withColumn("bound", raised(F.col("dot"), F.col("qn") * F.col("r") + F.col("cn") * F.col("qr") + F.col("qr") * F.col("r")))), "pairs").df
+        out.append(pairs.where("leaf").select("g", F.col("child").alias("path")))
+        front = pairs.where("NOT leaf").select(*groups.columns, F.col("child").alias("parent"))
+    leaves = out[0]
+    for df in out[1:]:
+        leaves = leaves.unionByName(df)
+    return leaves
+
+
+def raised(dot: Column, more: Column) -> Column:
+    """A whole number that no inner product exceeds, rounding errors of the sum included."""
+    return F.floor(dot + more + (F.abs(dot) + more) * 1e-12 + 1e-6)
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding", key: str = "vec_id", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose key is divisible by `every`, its k largest integer inner products.
 
@@ -175,59 +280,30 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         raise ValueError(f"vectors of {shape[0]} and {shape[1]} components")
     if shape[2] > 1 << 28:
         raise ValueError("components beyond 2**28 would not sum exactly")
-    sample = data.orderBy(F.xxhash64("id", F.lit(1))).limit(PIVOTS).collect()  # a bounded sample places the pivots; every row is indexed
-    pivots = spark.sparkContext.broadcast(np.array([r["x"] for r in sample], np.float64))
-
-    def dealt(batches):
-        p = pivots.value
-        half = (p**2).sum(axis=1) / 2
-        for batch in batches:
-            if batch.num_rows:
-                x = unpack(batch.column("x"))
-                near = np.concatenate([(x[i : i + 8192].astype(np.float64) @ p.T - half).argmax(axis=1) for i in range(0, len(x), 8192)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["id", "x", "u", "pivot"])
-
-    placed = Staged(data.mapInArrow(dealt, "id long, x array<long>, u long, pivot int"), "placed").df
-    is_query = F.col("id") % every == 0
-
-    def parted(df: DataFrame, size: int) -> DataFrame:
-        """Pivots cut into parts of about `size` rows at most, by a hash of the row."""
-        counts = df.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) * 1.25 / size).cast("int").alias("cuts"))
-        return df.join(F.broadcast(counts), "pivot").select(F.col("pivot").cast("long").alias("pivot"), F.pmod(F.xxhash64("u"), F.col("cuts")).alias("cut"), "id", "x").withColumn("part", F.col("pivot") * (1 << 32) + F.col("cut")).drop("pivot", "cut")  # one row a pivot
-
-    rows = parted(placed, min(PART, max(LEAST_PART, placed.count() // (2 * PIVOTS))))
-    queries = parted(placed.where(is_query), GROUP)
+    limit = min(PART, max(LEAST_PART, data.count() // (2 * PIVOTS)))
+    placed, nodes = cells(data, limit)
+    cuts = Staged(nodes.where("leaf").where(F.col("n") > limit).select("path", F.ceil(F.col("n") * 1.25 / limit).cast("int").alias("cuts")), "cuts").df
+    name = lambda path: F.concat_ws(".", path)
+    rows = placed.join(small(cuts), "path", "left").withColumn("cut", F.pmod(F.xxhash64("u"), F.coalesce("cuts", F.lit(1))))
+    rows = rows.select(F.concat(name(F.col("path")), F.lit(":"), F.col("cut").cast("string")).alias("part"), "id", "x")
+    queries = grouped(placed.where(F.col("id") % every == 0))
 
     def ball(group: pa.Table) -> pa.Table:
         x = unpack(group["x"])
         c = np.floor(x.mean(axis=0)).astype(np.int64)
         r = float(np.sqrt(((x - c).astype(np.float64) ** 2).sum(axis=1).max())) * (1 + 1e-9)
-        return pa.table({"part": group["part"][:1], "c": pa.array([c.tolist()], pa.list_(pa.int64())), "r": [r]})
-
-    def balls(df: DataFrame, name: str) -> DataFrame:
-        return Staged(df.groupBy("part").applyInArrow(ball, "part long, c array<long>, r double"), name).df
-
-    d_balls, q_balls = balls(rows, "balls"), balls(queries, "balls")
-    many = spark.sparkContext.broadcast
-    parts = d_balls.collect()  # one ball a part of PART rows
-    d_part, d_c, d_r = many(np.array([b["part"] for b in parts])), many(np.array([b["c"] for b in parts], np.int64)), many(np.array([b["r"] for b in parts]))
+        return pa.table({"g": group["g"][:1], "qc": pa.array([c.tolist()], pa.list_(pa.int64())), "qr": [r], "qn": [float(np.sqrt((c.astype(np.float64) ** 2).sum()))]})
 
-    def bounds(c: np.ndarray, r: float) -> np.ndarray:
-        dc, dr = d_c.value, d_r.value
-        norm = np.sqrt((dc.astype(np.float64) ** 2).sum(axis=1))
-        return np.floor(((dc @ c) + np.sqrt((c.astype(np.float64) ** 2).sum()) * dr + norm * r + r * dr) * (1 + 1e-12) + 1e-6)
-
-    def promising(batches):
-        for batch in batches:
-            for g, c, r in zip(batch.column("part").to_pylist(), batch.column("c").to_pylist(), batch.column("r").to_pylist(), strict=True):
-                b = bounds(np.array(c, np.int64), r)
-                at = np.argsort(-b)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(at)), pa.array(d_part.value[at]), pa.array(b[at]), pa.array(np.arange(len(at), dtype=np.int32))], names=["g", "part", "bound", "place"])
-
-    meets = Staged(q_balls.mapInArrow(promising, "g long, part long, bound double, place int"), "meets").df
-    q_rows = queries.select(F.col("part").alias("g"), F.col("id").alias("q"), F.col("x").alias("qx"))
+    q_balls = Staged(queries.groupBy("g").applyInArrow(ball, "g string, qc array<long>, qr double, qn double"), "balls").df
+    q_rows = queries.select("g", F.col("id").alias("q"), F.col("x").alias("qx"))
     block = F.pmod(F.xxhash64("g"), F.lit(max(1, -(-q_balls.count() // BLOCK)))).alias("block")
 
+    def parts_of(leaves: DataFrame, first_only: bool) -> DataFrame:
+        """g and part, for g and path."""
+        cut = F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)) if not first_only else F.lit(0)
+        each = leaves.join(small(cuts), "path", "left").select("g", "path", cut.alias("cut"))
+        return each.select("g", F.concat(name(F.col("path")), F.lit(":"), F.col("cut").cast("string")).alias("part"))
+
     def searched(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
         """Each part meets its query groups in blocks of about BLOCK groups; the tree of a part is built for each of them."""
         pairs = pairs.select("g", "part", block)
@@ -268,10 +344,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "v"))), 1, k)
         return Staged(df.groupBy("q").agg(top.alias("t")).select("q", F.posexplode("t").alias("r", "t")).select("q", F.col("t.v").alias("v"), (-F.col("t.s")).alias("score"), (F.col("r") + 1).cast("int").alias("rank")), name).df
 
-    first = best_of(searched(meets.where(F.col("place") < FIRST).select("g", "part"), None), "first")
+    begun = Staged(parts_of(down(q_balls, nodes, promising), True).distinct(), "begun").df
+    first = best_of(searched(begun, None), "first")
     low = first.groupBy("q").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
-    of_group = q_rows.join(low, "q", "left").groupBy("g").agg(F.min(F.when(F.col("n") >= k, F.col("low")).otherwise(-(1 << 62))).alias("low"))
-    open_pairs = meets.where(F.col("place") >= FIRST).join(of_group, "g").where("bound >= low").select("g", "part")
+    of_group = Staged(q_rows.join(low, "q", "left").groupBy("g").agg(F.min(F.when(F.col("n") >= k, F.col("low")).otherwise(-(1 << 62))).alias("low")), "lows").df
+    reached = down(q_balls.join(of_group, "g"), nodes, lambda pairs: pairs.where("bound >= low"))
+    open_pairs = Staged(parts_of(reached, False).join(begun, ["g", "part"], "left_anti"), "meets").df
     last = best_of(searched(open_pairs, first.select("q", "v", "score")), "last")
     return last.select(F.col("q").alias("query_id"), "rank", F.col("v").alias("vec_id"), "score")
 

@@ -93,3 +93,23 @@ def test_repeated_rows(spark, monkeypatch):
         found = sorted((-sum(a * b for a, b in zip(x, y)), i) for p, x in ints if p == q for i, y in ints if i != q)[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     assert run(spark, rows) == sorted(want)
+
+
+def test_levels_and_negative_scores(spark, monkeypatch):
+    for name, value in (("LEAST_PART", 8), ("PART", 8), ("PIVOTS", 3), ("GROUP", 4), ("BLOCK", 3), ("FIRST_ROWS", 6)):
+        monkeypatch.setattr(K, name, value)
+    rows = vectors(260, 6, 7, copies=60)
+    placed, nodes = K.cells(K.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "embedding", "vec_id", 256).withColumn("u", K.F.col("id")), 8)
+    paths = {r["id"]: tuple(r["path"]) for r in placed.collect()}
+    assert sorted(paths) == list(range(260)) and max(map(len, paths.values())) > 2
+    for n in nodes.collect():
+        inside = [i for i, p in paths.items() if p[: len(n["path"])] == tuple(n["path"])]
+        x = np.array([[math.floor(v * 256) for v in rows[i][1]] for i in inside])
+        assert len(inside) == n["n"] and np.sqrt(((x - np.array(n["c"])) ** 2).sum(axis=1)).max() <= n["r"] + 1e-9
+        assert n["leaf"] == (tuple(n["path"]) in set(paths.values()))
+    assert run(spark, rows, 7, 5) == brute(rows, 7, 5)
+    monkeypatch.setattr(K, "LEVELS", 2)
+    assert run(spark, rows, 7, 5) == brute(rows, 7, 5)
+    # all scores negative and large, with ties
+    away = [(0, [-4000.0, -4000.0])] + [(i, [4000.0 + (i % 3), 4000.0]) for i in range(1, 60)]
+    assert run(spark, away, 100, 5) == brute(away, 100, 5)
