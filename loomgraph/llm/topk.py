@@ -1,9 +1,9 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors are dealt to the nearest of at most PIVOTS pivots; cells with more rows than a part holds are dealt again, by pivots for what is left of a
+Vectors are dealt to the nearest of at most PIVOTS pivots; cells of more than WHOLE parts are dealt again, by pivots for what is left of a
 vector when its pivots so far are taken off, until cells are small or LEVELS is reached. So cells form a cover tree over all data, each with its center
-(the sum of its pivots) and radius, and the pivots are few at any size. The rows of a cell (in parts, where one can't be split further) form a cover
-tree of their own; queries form trees by groups. For a query node with center q and covering radius Rq, and a data node with center c and radius Rc,
+(the sum of its pivots) and radius, and the pivots are few at any size. The rows of a cell, in parts by hash, form cover
+trees of their own; queries form trees by groups. For a query node with center q and covering radius Rq, and a data node with center c and radius Rc,
 no inner product exceeds q.c + |q| Rc + |c| Rq + Rq Rc, so a pair of nodes is left out when that is below the worst k-th score of the query
 group. First every query group goes down to the cells that promise most, which gives it a k-th score; then groups and cells go down together, level by
 level, as long as the bound of the pair reaches that score, and the rest never meet. All values are integers and all bounds are rounded up, so
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Staged, small, table
 
 #: Pivots of a level, levels, least and most rows of a part of data, rows of a query group, groups that meet a part in one task, rows of a leaf, cells that
-#: a group goes to first, and the rows these have at least.
-PIVOTS, LEVELS, LEAST_PART, PART, GROUP, BLOCK, LEAF, FIRST, FIRST_ROWS = 64, 8, 512, 4096, 256, 32, 48, 2, 256
+#: a group goes to first, and the rows these have at least, parts' rows of a cell that isn't split by further pivots.
+PIVOTS, LEVELS, LEAST_PART, PART, GROUP, BLOCK, LEAF, FIRST, FIRST_ROWS, WHOLE = 64, 8, 512, 4096, 256, 32, 48, 2, 256, 4
 SCALE = 256
 
 
@@ -160,8 +160,9 @@ def unpack(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.int64)
 
 
-def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, x, u) with the path of their cell, and all cells: path, parent, n, r (covering radius), c (center), cn (its norm), leaf.
+def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, x, u) with the path of their cell, and all cells: path, parent, n, r (covering radius), c (center), cn (its norm), leaf; and the
+    number of levels.
 
     A level takes at most PIVOTS pivots, from a bounded sample by hash of the rows still to be dealt; every row is placed. A cell stays whole where it
     has no more than limit rows, after LEVELS levels, and where a level splits no row off (copies).
@@ -197,7 +198,7 @@ def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
         if last:
             done.append(now.drop("dist"))
             break
-        before, fan = (rows, most), min(PIVOTS, max(2, -(-3 * most // (2 * limit))))
+        before, fan = (rows, most), min(PIVOTS, max(8, -(-4 * most // limit)))
         wide = small(Staged(over.select("path"), "wide").df)
         done.append(now.drop("dist").join(wide, "path", "left_anti").select("id", "x", "u", "path"))
         todo = now.drop("dist").join(wide, "path", "left_semi").select("id", "x", "u", "path")
@@ -218,7 +219,7 @@ def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
     nodes = union(tables).withColumn("parent", F.expr("slice(path, 1, size(path) - 1)"))
     nodes = nodes.mapInArrow(centered, "path array<int>, n long, r double, leaf boolean, parent array<int>, c array<long>, cn double")
-    return union(done), Staged(nodes, "nodes").df
+    return union(done), Staged(nodes, "nodes").df, level
 
 
 def grouped(queries: DataFrame) -> DataFrame:
@@ -240,15 +241,16 @@ def promising(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(w)).withColumn("had", had).where((F.col("place") <= FIRST) | (F.col("had") < FIRST_ROWS)).drop("place", "had")
 
 
-def down(groups: DataFrame, nodes: DataFrame, kept) -> DataFrame:
+def down(groups: DataFrame, nodes: DataFrame, depth: int, kept) -> DataFrame:
     """g and path of the leaf cells that query groups (g, qc, qr, qn) reach, when of each level's pairs with their bound only the kept ones go on."""
     dot = F.aggregate(F.zip_with("qc", "c", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b).cast("double")
     front, out = groups.withColumn("parent", F.array().cast("array<int>")), []
-    for level in range(1, (nodes.agg(F.max(F.size("path"))).first()[0] or 0) + 1):
+    for level in range(1, depth + 1):
         kids = nodes.where(F.size("path") == level).withColumnRenamed("path", "child")
         kids = F.broadcast(kids) if level == 1 else kids  # PIVOTS rows at most
         pairs = front.join(kids, "parent").withColumn("dot", dot)
-        pairs = Staged(kept(pairs.withColumn("bound", raised(F.col("dot"), F.col("qn") * F.col("r") + F.col("cn") * F.col("qr") + F.col("qr") * F.col("r")))), "pairs").df
+        pairs = kept(pairs.withColumn("bound", raised(F.col("dot"), F.col("qn") * F.col("r") + F.col("cn") * F.col("qr") + F.col("qr") * F.col("r"))))
+        pairs = Staged(pairs, "pairs").df if level < depth else pairs
         out.append(pairs.where("leaf").select("g", F.col("child").alias("path")))
         front = pairs.where("NOT leaf").select(*groups.columns, F.col("child").alias("parent"))
     leaves = out[0]
@@ -272,7 +274,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
     """
     spark = vectors.sparkSession
     data = Staged(integers(vectors, vector, key, scale).withColumn("u", F.monotonically_increasing_id()), "vectors").df
-    shape = data.agg(F.min(F.size("x")), F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs)))).first()
+    shape = data.agg(F.min(F.size("x")), F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs))), F.count(F.lit(1))).first()
     out = "query_id long, rank int, vec_id long, score long"
     if shape[0] is None:
         return spark.createDataFrame([], out)
@@ -280,11 +282,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         raise ValueError(f"vectors of {shape[0]} and {shape[1]} components")
     if shape[2] > 1 << 28:
         raise ValueError("components beyond 2**28 would not sum exactly")
-    limit = min(PART, max(LEAST_PART, data.count() // (2 * PIVOTS)))
-    placed, nodes = cells(data, limit)
-    cuts = Staged(nodes.where("leaf").where(F.col("n") > limit).select("path", F.ceil(F.col("n") * 1.25 / limit).cast("int").alias("cuts")), "cuts").df
+    limit = min(PART, max(LEAST_PART, shape[3] // (2 * PIVOTS)))
+    placed, nodes, depth = cells(data, limit * WHOLE)
+    cut_cells = small(Staged(nodes.where("leaf").where(F.col("n") > limit).select("path", F.ceil(F.col("n") * 1.25 / limit).cast("int").alias("cuts")), "cuts").df)
+    with_cuts = lambda df: df.join(cut_cells, "path", "left").na.fill(1, ["cuts"])
     name = lambda path: F.concat_ws(".", path)
-    rows = placed.join(small(cuts), "path", "left").withColumn("cut", F.pmod(F.xxhash64("u"), F.coalesce("cuts", F.lit(1))))
+    rows = with_cuts(placed).withColumn("cut", F.pmod(F.xxhash64("u"), F.col("cuts")))
     rows = rows.select(F.concat(name(F.col("path")), F.lit(":"), F.col("cut").cast("string")).alias("part"), "id", "x")
     queries = grouped(placed.where(F.col("id") % every == 0))
 
@@ -300,8 +303,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
 
     def parts_of(leaves: DataFrame, first_only: bool) -> DataFrame:
         """g and part, for g and path."""
-        cut = F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)) if not first_only else F.lit(0)
-        each = leaves.join(small(cuts), "path", "left").select("g", "path", cut.alias("cut"))
+        each = leaves.withColumn("cut", F.lit(0)) if first_only else with_cuts(leaves).select("g", "path", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
         return each.select("g", F.concat(name(F.col("path")), F.lit(":"), F.col("cut").cast("string")).alias("part"))
 
     def searched(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -344,11 +346,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "v"))), 1, k)
         return Staged(df.groupBy("q").agg(top.alias("t")).select("q", F.posexplode("t").alias("r", "t")).select("q", F.col("t.v").alias("v"), (-F.col("t.s")).alias("score"), (F.col("r") + 1).cast("int").alias("rank")), name).df
 
-    begun = Staged(parts_of(down(q_balls, nodes, promising), True).distinct(), "begun").df
+    begun = Staged(parts_of(down(q_balls, nodes, depth, promising), True).distinct(), "begun").df
     first = best_of(searched(begun, None), "first")
     low = first.groupBy("q").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
-    of_group = Staged(q_rows.join(low, "q", "left").groupBy("g").agg(F.min(F.when(F.col("n") >= k, F.col("low")).otherwise(-(1 << 62))).alias("low")), "lows").df
-    reached = down(q_balls.join(of_group, "g"), nodes, lambda pairs: pairs.where("bound >= low"))
+    of_group = q_rows.join(low, "q", "left").groupBy("g").agg(F.min(F.when(F.col("n") >= k, F.col("low")).otherwise(-(1 << 62))).alias("low"))
+    reached = down(q_balls.join(of_group, "g"), nodes, depth, lambda pairs: pairs.where("bound >= low"))
     open_pairs = Staged(parts_of(reached, False).join(begun, ["g", "part"], "left_anti"), "meets").df
     last = best_of(searched(open_pairs, first.select("q", "v", "score")), "last")
     return last.select(F.col("q").alias("query_id"), "rank", F.col("v").alias("vec_id"), "score")

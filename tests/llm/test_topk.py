@@ -96,12 +96,12 @@ def test_repeated_rows(spark, monkeypatch):
 
 
 def test_levels_and_negative_scores(spark, monkeypatch):
-    for name, value in (("LEAST_PART", 8), ("PART", 8), ("PIVOTS", 3), ("GROUP", 4), ("BLOCK", 3), ("FIRST_ROWS", 6)):
+    for name, value in (("LEAST_PART", 8), ("PART", 8), ("PIVOTS", 3), ("GROUP", 4), ("BLOCK", 3), ("FIRST_ROWS", 6), ("WHOLE", 2)):
         monkeypatch.setattr(K, name, value)
     rows = vectors(260, 6, 7, copies=60)
-    placed, nodes = K.cells(K.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "embedding", "vec_id", 256).withColumn("u", K.F.col("id")), 8)
+    placed, nodes, depth = K.cells(K.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "embedding", "vec_id", 256).withColumn("u", K.F.col("id")), 8)
     paths = {r["id"]: tuple(r["path"]) for r in placed.collect()}
-    assert sorted(paths) == list(range(260)) and max(map(len, paths.values())) > 2
+    assert sorted(paths) == list(range(260)) and max(map(len, paths.values())) == depth > 1
     for n in nodes.collect():
         inside = [i for i, p in paths.items() if p[: len(n["path"])] == tuple(n["path"])]
         x = np.array([[math.floor(v * 256) for v in rows[i][1]] for i in inside])
