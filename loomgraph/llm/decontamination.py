@@ -129,20 +129,21 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     items = bench.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{bench_text}`").alias("t")).where("t IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 16)).first()[0] or 0
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], F.col(f"`{text}`").alias("t"))
-    judged = (by_broadcast if size <= BLOCK_BYTES else by_join)(rows, items, window, gram)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)], *([] if text in kept else [F.col(f"`{text}`").alias("t")]))
+    t = f"c{kept.index(text)}" if text in kept else "t"  # a text that is kept goes to Python once
+    judged = (by_broadcast if size <= BLOCK_BYTES else by_join)(rows, t, items, window, gram)
     return judged.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], *[f.name for f in ADDED])
 
 
-def by_broadcast(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """rows, but for their text t, with the added columns; for items (i, t) of at most BLOCK_BYTES."""
+def by_broadcast(rows: DataFrame, t: str, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """rows (their texts in column t, which goes if it is named so) with the added columns; for items (i, t) of at most BLOCK_BYTES."""
     shared = rows.sparkSession.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in items.collect()], window, gram))
     others = [c for c in rows.columns if c != "t"]
 
     def judged(batches):
         index = shared.value
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column("t")):
+            for a, b, data, offsets in chunks(batch.column(t)):
                 words = Words(data, offsets, ALNUM)
                 hit, found = index.scan(words)
                 out = [(int(c), [], 0, [], False) for c in np.diff(words.first)]
@@ -201,14 +202,15 @@ def bitmap(keys: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def by_join(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """rows, but for their text t, with the added columns; for items (i, t) of any size. Texts are told by a digest."""
+def by_join(rows: DataFrame, t: str, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """As by_broadcast(), for items of any size. Texts are told by a digest."""
     windows = Staged(windows_of(items, window, gram), "windows").df
     keys = Staged(windows.select("n", "key").distinct(), "fingerprints").df
     lengths = sorted(r["n"] for r in keys.select("n").distinct().collect())  # window of them at most
     sieve = rows.sparkSession.sparkContext.broadcast(bitmap(keys, keys.count()))
     others = [c for c in rows.columns if c != "t"]
-    rows = rows.withColumn("d", F.unhex(F.md5(F.coalesce("t", F.lit("")).cast("binary"))))
+    rows = rows.withColumn("d", F.unhex(F.md5(F.coalesce(t, F.lit("")).cast("binary"))))
+    texts = rows.select("d", F.col(t).alias("t"))
 
     def printed(batches):
         """n_words of each row and its fingerprints that pass the sieve."""
@@ -227,9 +229,9 @@ def by_join(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFr
                         of = digests.take(pa.array(a + pairs[0].astype(np.int64)))
                         yield pa.RecordBatch.from_arrays([of, pa.array(np.full(len(of), n, np.int32)), pa.array(pairs[1].view(np.int64))], names=["d", "n", "key"])
 
-    found = rows.select("d", "t").mapInArrow(lean(printed), "d binary, n int, key long").distinct().join(keys, ["n", "key"], "left_semi")
+    found = texts.mapInArrow(lean(printed), "d binary, n int, key long").distinct().join(keys, ["n", "key"], "left_semi")
     wanted = Staged(found.groupBy("d").agg(F.collect_list(F.struct("n", "key")).alias("wanted")), "matches").df
-    texts = sifted(rows.select("d", "t"), "d", wanted.select("d")).join(wanted.select("d"), "d", "left_semi").groupBy("d").agg(F.any_value("t").alias("t"))
+    texts = sifted(texts, "d", wanted.select("d")).join(wanted.select("d"), "d", "left_semi").groupBy("d").agg(F.any_value("t").alias("t"))
 
     def extended(batches):
         """The windows of a text whose fingerprints matched, with their words."""
@@ -271,7 +273,7 @@ def by_join(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFr
 
     def counted(batches):
         for batch in batches:
-            for a, b, data, offsets in chunks(batch.column("t")):
+            for a, b, data, offsets in chunks(batch.column(t)):
                 n = np.diff(Words(data, offsets, ALNUM).first)
                 names = [*others, "d"]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], pa.array(n.astype(np.int64))], names=[*names, "n_words"])
