@@ -6,8 +6,8 @@ vector when its pivots so far are taken off, until cells are small or LEVELS is
 trees of their own; queries form trees by groups. For a query node with center q and covering radius Rq, and a data node with center c and radius Rc,
 no inner product exceeds q.c + |q| Rc + |c| Rq + Rq Rc, so a pair of nodes is left out when that is below the worst k-th score of the query
 group. First every query group goes down to the cells that promise most, which gives it a k-th score; then groups and cells go down together, level by
-level, as long as the bound of the pair reaches that score, and the rest never meet. All values are integers and all bounds are rounded up, so
-the result is exact.
+level, as long as the bound of the pair reaches that score, and the rest never meet. What meets is scored by matrix products in the fastest type that is exact for
+integers of that size. All values are integers and all bounds are rounded up, so the result is exact.
 """
 
 from __future__ import annotations
@@ -22,51 +22,78 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Staged, small, table
 
 #: Pivots of a level, levels, least and most rows of a part of data, rows of a query group, groups that meet a part in one task, rows of a leaf, cells that
-#: a group goes to first, and the rows these have at least, parts' rows of a cell that isn't split by further pivots.
-PIVOTS, LEVELS, LEAST_PART, PART, GROUP, BLOCK, LEAF, FIRST, FIRST_ROWS, WHOLE = 64, 8, 512, 4096, 256, 32, 48, 2, 256, 4
-SCALE = 256
+#: a group goes to first, and the rows these have at least, parts' rows of a cell that isn't split by further pivots, data rows of one matrix product.
+PIVOTS, LEVELS, LEAST_PART, PART, GROUP, BLOCK, LEAF, FIRST, FIRST_ROWS, WHOLE, CHUNK = 64, 8, 512, 1 << 18, 256, 2048, 128, 4, 256, 4, 2048
+SCALE, DEPTH = 256, 64
+
+
+def exact(norms: float) -> type:
+    """The fastest type that holds inner products of integer vectors exactly, given the product of their norms: no partial sum is larger (Cauchy-Schwarz)."""
+    return np.float32 if norms < (1 << 24) - 1 else np.float64 if norms < (1 << 53) * (1 - 1e-9) else np.int64
 
 
 class Cover:
     """A cover tree: the points of a node lie within its radius of its center, which is one of them; radii shrink by half from level to level."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        self.x = x
+        self.x, self.typed = x, {}
         self.center, self.radius, self.child, self.points = [], [], [], []
+        self.square = np.concatenate([(x[i : i + 8192].astype(np.float64) ** 2).sum(axis=1) for i in range(0, max(len(x), 1), 8192)])
+        self.norms = np.sqrt(self.square)
+        self.most = float(self.norms.max()) if len(x) else 0.0
+        self.by_products = exact(4 * self.most**2) is not np.int64  # else squares don't sum exactly
         if len(x):
-            self._build(np.arange(len(x)), 0, None, leaf)
+            self._build(np.arange(len(x)), 0, None, leaf, 0)
         self.center = np.array(self.center, np.int64)
         self.radius = np.array(self.radius, np.float64)
-        self.norm = np.sqrt((x[self.center].astype(np.float64) ** 2).sum(axis=1)) if len(x) else np.zeros(0)
-
-    def _build(self, rows: np.ndarray, root: int, dist: np.ndarray | None, leaf: int) -> int:
+        self.norm = self.norms[self.center] if len(x) else np.zeros(0)
+        self.ends = np.array([p is not None for p in self.points], bool)
+        self.size = np.array([0 if p is None else len(p) for p in self.points], np.int64)
+
+    def of_type(self, kind: type) -> np.ndarray:
+        if kind not in self.typed:
+            self.typed[kind] = self.x.astype(kind)
+        return self.typed[kind]
+
+    def _distances(self, rows: np.ndarray):
+        """The distances of rows to a row, as a function of that row."""
+        if not self.by_products:
+            x = self.x[rows]
+            return lambda c: np.sqrt(((x - self.x[c]).astype(np.float64) ** 2).sum(axis=1))
+        f, square = self.of_type(exact(self.most**2)), self.square[rows]
+        mine = f[rows]
+        return lambda c: np.sqrt(square + self.square[c] - 2 * (mine @ f[c]).astype(np.float64))
+
+    def _build(self, rows: np.ndarray, root: int, dist: np.ndarray | None, leaf: int, depth: int) -> int:
         c = int(rows[root])
         if dist is None:
-            dist = np.sqrt(((self.x[rows] - self.x[c]).astype(np.float64) ** 2).sum(axis=1))
+            dist = self._distances(rows)(c)
         k, r = len(self.center), float(dist.max())
         self.center.append(c)
         self.radius.append(r * (1 + 1e-9))
         self.child.append([])
         self.points.append(None)
-        if len(rows) <= leaf or r == 0:
+        if len(rows) <= leaf or r == 0 or depth == DEPTH:
             self.points[k] = rows
             return k
         # children: centers further than half the radius from each other, each with the points it is nearest to
         near, owner = dist.copy(), np.zeros(len(rows), np.int64)
-        centers = [root]
-        while near.max() > r / 2 and len(centers) < 64:
+        centers, to = [root], self._distances(rows)
+        most = min(64, -(-2 * len(rows) // leaf))
+        while near.max() > r / 2 and len(centers) < most:
             j = int(near.argmax())
-            d = np.sqrt(((self.x[rows] - self.x[rows[j]]).astype(np.float64) ** 2).sum(axis=1))
+            d = to(rows[j])
             closer = d < near
             owner[closer] = len(centers)
             near[closer] = d[closer]
             centers.append(j)
+        del to
         for i, j in enumerate(centers):
             mine = np.flatnonzero(owner == i)
             if len(mine) == len(rows):
                 self.points[k] = rows
                 return k
-            self.child[k].append(self._build(rows[mine], int(np.flatnonzero(mine == j)[0]), near[mine], leaf))
+            self.child[k].append(self._build(rows[mine], int(np.flatnonzero(mine == j)[0]), near[mine], leaf, depth + 1))
         return k
 
 
@@ -82,14 +109,9 @@ class Best:
 
     def offer(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
         h = self.heaps[q]
-        if len(ids) > self.k:
-            if (low := self.worst(q)) > -np.inf:
-                keep = scores >= low
-                scores, ids = scores[keep], ids[keep]
-            if len(ids) > self.k:
-                least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                keep = scores >= least
-                scores, ids = scores[keep], ids[keep]
+        if len(ids) > self.k:  # no others than its k best can get in, ties included
+            first = np.lexsort((ids, -scores))[: self.k]
+            scores, ids = scores[first], ids[first]
         for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
             if len(h) < self.k:
                 heapq.heappush(h, (s, -i))
@@ -98,50 +120,97 @@ class Best:
 
 
 def dual(queries: Cover, q_ids: np.ndarray, data: Cover, d_ids: np.ndarray, best: Best) -> int:
-    """Offers every candidate that can matter; returns the node pairs visited. A query is no candidate of its own."""
-    q_norm, visited = queries.norm, 0
-    xq, xd = queries.x, data.x
+    """Offers every candidate that can matter; returns the node pairs visited. A query is no candidate of its own.
 
-    def bound(a: int, b: np.ndarray) -> np.ndarray:
-        dot = (xd[data.center[b]] @ xq[queries.center[a]]).astype(np.float64)
-        rq, rd = queries.radius[a], data.radius[b]
-        more = q_norm[a] * rd + data.norm[b] * rq + rq * rd
+    A query node meets the data nodes level by level, many at a time; the queries of a leaf then meet the data leaves left by a bound of their own,
+    and what is left is scored by matrix products of a type that is exact.
+    """
+    if not len(queries.center) or not len(data.center):
+        return 0
+    kind, visited = exact(queries.most * data.most), 0
+    xq, xd = queries.of_type(kind), data.of_type(kind)
+    none = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+    worst = lambda q: w if (w := best.worst(q)) > -np.inf else none
+    lows = np.array([worst(q) for q in range(len(xq))], kind)
+    under: dict[int, np.ndarray] = {}
+
+    def members(a: int) -> np.ndarray:
+        if a not in under:
+            under[a] = queries.points[a] if queries.points[a] is not None else np.concatenate([members(c) for c in queries.child[a]])
+        return under[a]
+
+    def raised_bounds(rows: np.ndarray, norm: np.ndarray, rq: float, b: np.ndarray) -> np.ndarray:
+        """For each of rows, as the center of a ball of radius rq, and each data node a number that no inner product exceeds."""
+        dot = (xq[rows] @ xd[data.center[b]].T).astype(np.float64)
+        more = norm[:, None] * data.radius[b] + (data.norm[b] * rq + rq * data.radius[b])
         return np.floor(dot + more + (np.abs(dot) + more) * 1e-12 + 1e-6)
 
-    def low(a: int) -> float:
-        rows = queries.points[a]
-        if rows is None:
-            return min(low(c) for c in queries.child[a])
-        return min(best.worst(int(q)) for q in rows)
-
-    lows: dict[int, float] = {}
-    stack = [(0, 0, np.inf)]
+    def bound(a: int, b: np.ndarray) -> np.ndarray:
+        return raised_bounds(queries.center[a : a + 1], queries.norm[a : a + 1], queries.radius[a], b)[0]
+
+    def reach(a: int, front: np.ndarray) -> np.ndarray:
+        """The data leaves below the nodes of front that a may need."""
+        nonlocal visited
+        out, low = [], lows[members(a)].min()
+        while len(front):
+            visited += len(front)
+            front = front[bound(a, front) >= low]
+            end = data.ends[front]
+            out.append(front[end])
+            front = np.array([c for b in front[~end].tolist() for c in data.child[b]], np.int64)
+        return np.concatenate(out) if out else front
+
+    def score(rows: np.ndarray, cols: np.ndarray) -> None:
+        for i in range(0, len(cols), CHUNK):
+            part = cols[i : i + CHUNK]
+            scores, ids = xq[rows] @ xd[part].T, d_ids[part]
+            for j in np.flatnonzero(scores.max(axis=1) >= lows[rows]).tolist():
+                q = int(rows[j])
+                at = np.flatnonzero(scores[j] >= lows[q])
+                at = at[ids[at] != q_ids[q]]
+                if len(at):
+                    best.offer(q, scores[j][at].astype(np.int64), ids[at])
+                    lows[q] = worst(q)
+
+    def seed(a: int, front: np.ndarray) -> int:
+        """Scores the most promising data leaf; returns it."""
+        nonlocal visited
+        while True:
+            visited += len(front)
+            b = int(front[bound(a, front).argmax()])
+            if data.ends[b]:
+                score(members(a), data.points[b])
+                return b
+            front = np.array(data.child[b])
+
+    stack = [(0, np.zeros(1, np.int64))]
     while stack:
-        a, b, top = stack.pop()
-        visited += 1
-        if top < lows.get(a, -np.inf):
+        a, front = stack.pop()
+        rows = members(a)
+        if queries.child[a]:
+            if lows[rows].min() > none:
+                front = reach(a, front)
+            stack += [(c, front) for c in queries.child[a] if len(front)]
             continue
-        if data.child[b]:
-            kids = np.array(data.child[b])
-            tops = bound(a, kids)
-            order = np.argsort(tops)  # the most promising is visited first
-            stack += [(a, int(kids[i]), float(tops[i])) for i in order if tops[i] >= lows.get(a, -np.inf)]
-        elif queries.child[a]:
-            for c in queries.child[a]:
-                lows[c] = max(lows.get(c, -np.inf), lows.get(a, -np.inf))
-                t = float(bound(c, np.array([b]))[0])
-                if t >= lows[c]:
-                    stack.append((c, b, t))
-        else:
-            rows, cols = queries.points[a], data.points[b]
-            scores = xq[rows] @ xd[cols].T
-            for i, q in enumerate(rows.tolist()):
-                if (s := scores[i]).max() >= best.worst(q):
-                    own = d_ids[cols] != q_ids[q]
-                    best.offer(q, s[own], d_ids[cols][own])
-            lows[a] = max(lows.get(a, -np.inf), low(a))
-        if visited % 64 == 0:
-            lows[0] = max(lows.get(0, -np.inf), low(0))
+        done = seed(a, front) if lows[rows].min() == none else -1
+        leaves = reach(a, front)
+        leaves = leaves[leaves != done]
+        if not len(leaves):
+            continue
+        tried = rows[:: -(-len(rows) // 8)]
+        if (raised_bounds(tried, queries.norms[tried], 0.0, leaves) >= lows[tried][:, None]).mean() > 0.5:  # further bounds cost more than they save
+            score(rows, np.concatenate([data.points[b] for b in leaves.tolist()]))
+            continue
+        tops = raised_bounds(rows, queries.norms[rows], 0.0, leaves)
+        order = np.argsort(-tops.max(axis=0), kind="stable")  # the most promising are scored first
+        leaves, tops = leaves[order], tops[:, order]
+        before = np.cumsum(data.size[leaves]) - data.size[leaves]
+        edges = np.unique(np.concatenate([[0, len(leaves)], np.searchsorted(before, np.arange(CHUNK // 8, before[-1] + 1, CHUNK))]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            need = tops[:, lo:hi] >= lows[rows][:, None]
+            some = need.any(axis=0)
+            if some.any():
+                score(rows[need.any(axis=1)], np.concatenate([data.points[b] for b in leaves[lo:hi][some].tolist()]))
     return visited
 
 
@@ -152,12 +221,12 @@ def integers(vectors: DataFrame, vector: str, key: str, scale: int) -> DataFrame
     return vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.transform(v, lambda e: F.floor(e.cast("double") * scale)).alias("x"), sound.alias("ok")).where("ok AND id IS NOT NULL").select("id", "x")
 
 
-def unpack(column) -> np.ndarray:
+def unpack(column, kind: type = np.int64) -> np.ndarray:
     """A list column as a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.int64)
+    return flat.reshape(len(column), -1).astype(kind)
 
 
 def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
@@ -169,6 +238,7 @@ def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
     """
     spark, done, tables, pivots, before = data.sparkSession, [], [], [], None
     todo, fan = data.withColumn("path", F.array().cast("array<int>")), PIVOTS
+    kind = data.schema["x"].dataType.simpleString()
     for level in range(1, LEVELS + 1):
         sample = todo.orderBy(F.xxhash64("id", F.lit(level))).limit(fan).select("x", "path").collect()
         pivots.append(np.array([np.array(r["x"]) - sum(p[c] for p, c in zip(pivots, r["path"], strict=True)) for r in sample], np.int64))
@@ -189,7 +259,7 @@ def cells(data: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
                     new = pa.ListArray.from_arrays(pa.array(np.arange(0, full.size + 1, full.shape[1], dtype=np.int32)), pa.array(full.ravel()))
                     yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), batch.column("u"), new, pa.array(dist)], names=["id", "x", "u", "path", "dist"])
 
-        now = Staged(todo.mapInArrow(dealt, "id long, x array<long>, u long, path array<int>, dist double"), "placed").df
+        now = Staged(todo.mapInArrow(dealt, f"id long, x {kind}, u long, path array<int>, dist double"), "placed").df
         found = Staged(now.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")), "cells").df
         over = found.where(F.col("n") > limit)
         rows, most = over.agg(F.sum("n"), F.max("n")).first()
@@ -282,7 +352,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         raise ValueError(f"vectors of {shape[0]} and {shape[1]} components")
     if shape[2] > 1 << 28:
         raise ValueError("components beyond 2**28 would not sum exactly")
-    limit = min(PART, max(LEAST_PART, shape[3] // (2 * PIVOTS)))
+    data = data.withColumn("x", F.col("x").cast("array<short>" if shape[2] < 1 << 15 else "array<int>"))  # shuffles take a quarter or half
+    limit = min(PART, max(LEAST_PART, shape[3] // PIVOTS))
     placed, nodes, depth = cells(data, limit * WHOLE)
     cut_cells = small(Staged(nodes.where("leaf").where(F.col("n") > limit).select("path", F.ceil(F.col("n") * 1.25 / limit).cast("int").alias("cuts")), "cuts").df)
     with_cuts = lambda df: df.join(cut_cells, "path", "left").na.fill(1, ["cuts"])
@@ -307,7 +378,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         return each.select("g", F.concat(name(F.col("path")), F.lit(":"), F.col("cut").cast("string")).alias("part"))
 
     def searched(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-        """Each part meets its query groups in blocks of about BLOCK groups; the tree of a part is built for each of them."""
+        """Each part meets its query groups in blocks of about BLOCK groups, mostly all in one; the tree of a part is built for each of them."""
         pairs = pairs.select("g", "part", block)
         held = rows.join(pairs.select("part", "block").distinct(), "part").select(F.col("part").alias("d_part"), F.col("block").alias("d_block"), F.col("id").alias("d_id"), F.col("x").alias("d_x"))
         blocked = pairs.join(q_rows, "g").select("g", "part", "block", "q", "qx")
@@ -320,16 +391,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         def one(left: pa.Table, right: pa.Table) -> pa.Table:
             q, s, v = [], [], []
             if left.num_rows and right.num_rows:
-                tree, ids = Cover(unpack(right["d_x"])), right["d_id"].to_numpy()
-                of = left["g"].to_numpy()
-                for g in np.unique(of):
-                    mine = left.filter(pa.array(of == g))
+                tree, ids = Cover(unpack(right["d_x"], np.int32)), right["d_id"].to_numpy()
+                of = left["g"].combine_chunks().dictionary_encode().indices.to_numpy()
+                order = np.argsort(of, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                    mine = left.take(pa.array(at))
                     names = mine["q"].to_numpy()
                     best = Best(len(names), k)
                     for i, x in enumerate(mine["low"].to_pylist()):
                         if x is not None:  # placeholders after all ids: only as good or better is of use
                             best.heaps[i] = [(x, -(1 << 62))] * k
-                    dual(Cover(unpack(mine["qx"])), names, tree, ids, best)
+                    dual(Cover(unpack(mine["qx"], np.int32), GROUP), names, tree, ids, best)
                     for i, h in enumerate(best.heaps):
                         for score, other in h:
                             if other != -(1 << 62):

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -113,3 +114,35 @@ def test_levels_and_negative_scores(spark, monkeypatch):
     # all scores negative and large, with ties
     away = [(0, [-4000.0, -4000.0])] + [(i, [4000.0 + (i % 3), 4000.0]) for i in range(1, 60)]
     assert run(spark, away, 100, 5) == brute(away, 100, 5)
+
+
+@pytest.mark.parametrize(("scale", "kind"), [(256, np.float32), (1 << 20, np.float64), (1 << 27, np.int64)])
+def test_products_are_exact_in_every_type(scale, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 48))
+    x = np.floor(scale * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    x[700:1400] = x[0]  # ties
+    q, ids = np.vstack([x[:3], -x[5:200:5]]), rng.permutation(3000)
+    data, best = K.Cover(x), K.Best(len(q), 5)
+    K.dual(K.Cover(q, K.GROUP), np.concatenate([ids[:3], np.arange(9000, 9000 + len(q) - 3)]), data, ids, best)
+    assert K.exact(np.sqrt((q**2).sum(axis=1).max()) * data.most) is kind
+    scores = q.astype(object) @ x.T.astype(object)
+    for i in range(len(q)):
+        want = sorted((-int(s), int(v)) for s, v in zip(scores[i], ids, strict=True) if i >= 3 or v != ids[i])[:5]
+        assert sorted((-s, -v) for s, v in best.heaps[i]) == want
+
+
+def test_time_without_pruning():
+    """Where no bound helps (random directions), the search takes no more than a few times a plain product of integer matrices."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20200, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    q, data, best = K.Cover(x[:200]), K.Cover(x[200:]), K.Best(200, 5)
+    start = time.process_time()
+    scores = x[:200] @ x[200:].T
+    plain = time.process_time() - start
+    start = time.process_time()
+    K.dual(q, np.arange(200), data, np.arange(200, 20200), best)
+    took = time.process_time() - start
+    assert [sorted(s for s, _ in h) for h in best.heaps] == np.sort(scores, axis=1)[:, -5:].tolist()
+    assert took < 20 * plain
