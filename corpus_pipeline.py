@@ -7,7 +7,7 @@ the stages set Arrow batches of ARROW_ROWS rows, for whole texts are wide rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import Staged, fits, fold, marked, small, staged, table
@@ -104,14 +104,33 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.orderBy("position").select("row.*")
 
 
+def in_order(docs: DataFrame, *columns: Column) -> DataFrame:
+    """columns of docs and place, from 0: the order in which the rows were written, by file and row. What is not just a table of files is written first.
+
+    The driver gets one count a file.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = staged(docs, "in-order")
+    written = docs.metadataColumn("_metadata")
+    rows = docs.select(*columns, written["file_path"].alias("__file"), written["row_index"].alias("__row"))
+    offsets, before = [], 0
+    for r in sorted(rows.groupBy("__file").count().collect()):
+        offsets.append((r["__file"], before))
+        before += r["count"]
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(offsets, "__file string, __before long"))
+    return rows.join(offsets, "__file").withColumn("place", F.col("__before") + F.col("__row")).drop("__file", "__before", "__row")
+
+
 def deal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot; columns of these names (in any case) are replaced.
+    """The documents with their shard and slot; columns of these names (in any case) are replaced. Slots keep the order of the table, so each shard is
+    mixed as the whole is.
 
     Null and repeated doc_ids are rows like others, told apart by their texts; null texts count as empty.
     """
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("shard", "slot")]
-    rows = docs.select(F.struct(*kept).alias("row"), "doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("tie"))
-    return shard(rows, ties=(F.col("tie"),)).select("row.*", "shard", "slot")
+    rows = in_order(docs, F.struct(*kept).alias("row"), F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tie"))
+    dealt = shard(rows.select("place", "doc_id", "tie"), ties=(F.col("tie"),), order="place").select("place", "shard", "slot")
+    return rows.select("row", "place").join(dealt, "place").select("row.*", "shard", "slot")
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("decontamination", drop_leaks), ("mixing", mix), ("sharding", deal)]

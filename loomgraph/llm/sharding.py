@@ -4,7 +4,8 @@ Shards own virtual nodes on a ring of 60-bit positions; a row belongs to the arc
 capacity, and rows that find their shard full continue clockwise to the next distinct shard with room. All rows of an arc meet the shards
 in the same order, so who goes where depends on the number of rows of each arc alone: the driver gets one count per cell of the ring (at
 most 2**CELL_BITS + shards * vnodes of them, whatever the input), plans ranges of ranks, and the rows take their ranks by a window inside
-their cell. Cells are equal parts of a hash, so no source and no group of copies makes one of them large.
+their cell. Cells are equal parts of a hash, so no source and no group of copies makes one of them large. Where rows have an order of their own, slots
+follow it inside each shard: a slot is the shard's rows in earlier stretches of that order, from counts, and a rank inside the stretch.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import Staged, table
 
 SHARDS, VNODES, CELL_BITS = 24, 64, 14
 BITS = 60
+#: Least rows of a stretch of an order, and about the most stretches.
+STRETCH, STRETCHES = 4096, 1024
 
 
 def position(key: str) -> int:
@@ -63,16 +66,18 @@ def plan(points: list[tuple[int, int]], counts: list[int], shards: int) -> list[
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str = "doc_id", ties: tuple[Column, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str = "doc_id", ties: tuple[Column, ...] = (), order: str | None = None) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard); counts of shards differ by one at most.
 
     Null keys count as the empty text; rows that share a key are rows like others and are told apart, and spread over the ring, by ties. No rows
-    give no rows. Columns named shard or slot are replaced; all others stay, whatever their names.
+    give no rows. Columns named shard or slot are replaced; all others stay, whatever their names. order: a column of distinct numbers from 0 to the rows
+    (about); shards are the same with and without it, but slots follow it.
     """
     spark = docs.sparkSession
     own = {c: f"column{i}" for i, c in enumerate(docs.columns)}  # names that none here has
     names = [f"tie{i}" for i in range(len(ties))]
     docs, key = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], *[t.alias(n) for t, n in zip(ties, names, strict=True)]), own[key]
+    order = [own[order]] if order else []
     points = ring(shards, vnodes)
     width = BITS - CELL_BITS
     starts = [p for p, _ in points]
@@ -101,11 +106,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, key: str
         rows.append((a, c, [(max(f, lo) - lo, s, base + max(f, lo) - f) for (f, s, base), to in zip(of_arc, ends, strict=True) if f < hi and to > lo]))
         before[a] = hi
     pieces = F.broadcast(spark.createDataFrame(rows, "__a int, __c int, __r array<struct<first: bigint, shard: int, slot: bigint>>"))
-    rank = F.row_number().over(Window.partitionBy("__a", "__c").orderBy("__p", key, *names)).cast("long") - 1
+    rank = F.row_number().over(Window.partitionBy("__a", "__c").orderBy("__p", key, *names, *order)).cast("long") - 1
     out = placed(docs).withColumn("__k", rank).join(pieces, ["__a", "__c"])
     out = out.withColumn("__x", F.element_at(F.filter("__r", lambda x: x["first"] <= F.col("__k")), -1))
     kept = [F.col(k).alias(c) for c, k in own.items() if c.lower() not in ("shard", "slot")]
-    return out.select(*kept, F.col("__x.shard").alias("shard"), (F.col("__x.slot") + F.col("__k") - F.col("__x.first")).alias("slot"))
+    if not order:
+        return out.select(*kept, F.col("__x.shard").alias("shard"), (F.col("__x.slot") + F.col("__k") - F.col("__x.first")).alias("slot"))
+    stretch = F.floor(F.col(order[0]) / max(STRETCH, -(-sum(counts) // STRETCHES)))
+    out = Staged(out.select(*own.values(), F.col("__x.shard").alias("__s"), stretch.alias("__g")), "shards").df
+    earlier = F.sum("__n").over(Window.partitionBy("__s").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1))
+    first = out.groupBy("__s", "__g").agg(F.count(F.lit(1)).alias("__n")).select("__s", "__g", F.coalesce(earlier, F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__s", "__g").orderBy(order[0])).cast("long") - 1
+    out = out.withColumn("__k", place).join(first, ["__s", "__g"])
+    return out.select(*kept, F.col("__s").alias("shard"), (F.col("__first") + F.col("__k")).alias("slot"))
 
 
 def op5_shard_ring(spark, sf_dir: str) -> DataFrame:

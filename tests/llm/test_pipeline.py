@@ -137,3 +137,28 @@ def test_emptied_half_way(spark, tmp_path):
     spark.createDataFrame([(0, 0, 0)] + [(i, 0, 0) for i in range(0, 160, 6)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.isEmpty() and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
+
+
+@pytest.mark.parametrize("files", [True, False])
+def test_slots_keep_the_mixed_order(spark, tmp_path, monkeypatch, files):
+    """What the mixing stage does is seen in the shards: their slots follow its order, and another order gives other slots."""
+    monkeypatch.setattr("loomgraph.llm.sharding.STRETCH", 100)
+    docs = [(i, f"t{i}", "en", "hot", 1) for i in range(900)] + [(9000 + i, f"u{i}", "en", "b", 1) for i in range(600)] + [(None, "t", "en", None, 1)] * 20
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+
+    def slots(mixed, name):
+        mixed = mixed.selectExpr("*", "0L AS _metadata", "monotonically_increasing_id() AS place")
+        if files:
+            mixed.write.option("maxRecordsPerFile", 130).parquet(f"{tmp_path}/{name}")
+            mixed = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = corpus_pipeline.deal(spark, mixed, "").collect()
+        assert len(rows) == len(docs)
+        for s in range(24):
+            of = sorted((r["slot"], r["place"]) for r in rows if r["shard"] == s)
+            assert [x for x, _ in of] == list(range(len(of))) and [p for _, p in of] == sorted(p for _, p in of)
+        return {r["doc_id"]: (r["shard"], r["slot"]) for r in rows if r["doc_id"] is not None}
+
+    a, b = slots(corpus_pipeline.mix(spark, df, ""), "mixed"), slots(df.orderBy("source", "doc_id").coalesce(1), "sorted")
+    assert {k: s for k, (s, _) in a.items()} == {k: s for k, (s, _) in b.items()} and a != b
+    # both sources run through a shard's slots as through the whole
+    assert sum(a[i][1] for i in range(9000, 9600)) / 600 == pytest.approx(sum(a[i][1] for i in range(900)) / 900, rel=0.25)
