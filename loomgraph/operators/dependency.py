@@ -1,22 +1,17 @@
-"""Candidate pairs and triples from token tables (doc_id, sent_id, i, text, lemma, pos, dep, head_i), as self-joins on the head index."""
+"""Candidate pairs and triples from token tables (doc_id, sent_id, i, text, lemma, pos, dep, head_i), over sentences, one a row."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import preposition
-from loomgraph.operators.pairs import SENTENCE, fallback_pairs
+from loomgraph.operators import parse_arrays
+from loomgraph.operators.pairs import SENTENCE
 from loomgraph.plans import rules
 from loomgraph.plans.staging import staged
 
-RELATIVE = ("who", "which", "that")
-ENT = "struct<text:string,type:string,start:int,end:int>"
-
-
-TOKENS = "struct<i:int,text:string,lemma:string,pos:string,dep:string,head_i:int>"
+TOKENS = parse_arrays.TOKENS.removeprefix("array<").removesuffix(">")
+MENTION = parse_arrays.MENTIONS.removeprefix("array<").removesuffix(">")
 
 
 def annotated(sents: DataFrame, annotator, text: str = "sentence") -> DataFrame:
@@ -59,13 +54,6 @@ class ShapeTagger:
         return [[tag(i, t) for i, t in enumerate(self.words.findall(x))] for x in texts]
 
 
-def covered(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
-    """tokens with ent, the mention that covers them (mentions: first_i, last_i tokens), or null. A later mention wins."""
-    inside = mentions.select(*SENTENCE, F.explode(F.sequence("first_i", "last_i")).alias("i"), F.struct("ord", F.struct("text", "type", "start", "end").alias("ent")).alias("x"))
-    inside = inside.groupBy(*SENTENCE, "i").agg(F.max("x").alias("x")).select(*SENTENCE, "i", F.col("x.ent").alias("ent"))
-    return tokens.join(inside, [*SENTENCE, "i"], "left")
-
-
 def _within(tokens: DataFrame, steps: int) -> None:
     """Raises ValueError if a path of so many steps is longer than the longest sentence: then heads form a cycle."""
     if steps >= 32 and steps > (tokens.groupBy(*SENTENCE).count().agg(F.max("count")).first()[0] or 0):
@@ -106,48 +94,6 @@ def ancestors(tokens: DataFrame, of: DataFrame) -> DataFrame:
         steps *= 2
 
 
-def resolved(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
-    """tokens with ent (their own mention), sub (that or the first of their subtree) and subj (sub, or for a relative pronoun the first mention of the three
-    heads above that is none)."""
-    t = covered(tokens, mentions)
-    t = staged(t, "tokens")
-    named = t.where("ent IS NOT NULL").select(*SENTENCE, "i", "ent")
-    below = ancestors(tokens, named).join(named, [*SENTENCE, "i"])
-    first = below.groupBy(*SENTENCE, F.col("a").alias("i")).agg(F.min(F.struct("i", "ent")).alias("x")).select(*SENTENCE, "i", F.col("x.ent").alias("below"))
-    t = t.join(first, [*SENTENCE, "i"], "left").withColumn("sub", F.coalesce("ent", "below")).drop("below")
-    t = staged(t, "tokens")
-    climb = t
-    for k in (1, 2, 3):
-        up = t.select(*SENTENCE, F.col("i").alias(f"h{k}"), F.col("sub").alias(f"s{k}"), F.col("head_i").alias(f"h{k + 1}"))
-        climb = (climb.withColumn("h1", F.col("head_i")) if k == 1 else climb).join(up, [*SENTENCE, f"h{k}"], "left")
-    clean = [F.when(~F.lower(F.col(f"s{k}.text")).isin(*RELATIVE), F.col(f"s{k}")) for k in (1, 2, 3)]
-    subj = F.when(F.lower("sub.text").isin(*RELATIVE), F.coalesce(*clean)).otherwise(F.col("sub"))
-    return climb.withColumn("subj", subj).select(*tokens.columns, "ent", "sub", "subj")
-
-
-def _children(t: DataFrame, prefix: str) -> DataFrame:
-    """Children under the name of their head: columns with a prefix, joined on head."""
-    c = t.where(F.col("head_i") != F.col("i"))
-    return c.select(*SENTENCE, F.col("head_i").alias("i"), *[F.col(x).alias(f"{prefix}_{x}") for x in ("i", "dep", "lemma", "ent", "sub", "subj", "text")])
-
-
-def _last(t: DataFrame, deps: tuple[str, ...], value: str, name: str) -> DataFrame:
-    """For each head the last child with one of the relations; its value may be null, and then stands."""
-    c = _children(t, "c").where(F.col("c_dep").isin(*deps))
-    return c.groupBy(*SENTENCE, "i").agg(F.max(F.struct("c_i", f"c_{value}")).alias("x")).select(*SENTENCE, "i", F.col(f"x.c_{value}").alias(name))
-
-
-def _with_cop(t: DataFrame) -> DataFrame:
-    return _children(t, "c").where("c_dep = 'cop'").select(*SENTENCE, "i").distinct()
-
-
-def _pobj(t: DataFrame, deps: tuple[str, ...]) -> DataFrame:
-    """(head, preposition, object) triples of tokens: object with its own row."""
-    prep = _children(t, "p").where(F.col("p_dep").isin(*deps))
-    obj = _children(t, "o").where("o_dep = 'pobj'").withColumnRenamed("i", "p_i")
-    return prep.join(obj, [*SENTENCE, "p_i"])
-
-
 def conjuncts(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent_id, i, j): the other tokens of i's coordination."""
     root = jump(tokens, F.col("dep") == "conj")
@@ -155,157 +101,52 @@ def conjuncts(tokens: DataFrame) -> DataFrame:
     return a.join(root.select(*SENTENCE, "top", F.col("i").alias("j")), [*SENTENCE, "top"]).where("i <> j").drop("top")
 
 
-def _pairs(df: DataFrame, head: str, tail: str, pattern: str, rank: int, order: list[str]) -> DataFrame:
-    """Rows of pairs with different, non-empty texts; order: what sorts the pairs of one pattern."""
-    d = df.where(F.col(f"{head}.text").isNotNull() & F.col(f"{tail}.text").isNotNull() & (F.col(f"{head}.text") != F.col(f"{tail}.text")) & (F.length(F.col(f"{head}.text")) > 0) & (F.length(F.col(f"{tail}.text")) > 0))
-    return d.select(*SENTENCE, F.col(head).cast(ENT).alias("head"), F.col(tail).cast(ENT).alias("tail"), F.lit(pattern).alias("pattern"), F.array(F.lit(rank), *[F.col(c).cast("int") for c in order], *[F.lit(0)] * (4 - len(order))).alias("o"))
+def parses(tokens: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
+    """One row a sentence: doc_id, sent_id, ts (its tokens) and ms (its mentions: ord, text, type, start, end, first_i, last_i, root_i; what is missing is null).
 
-
-def proposed(tokens: DataFrame, mentions: DataFrame, window: int = 2) -> DataFrame:
-    """Candidate pairs of all patterns, expanded over coordinations, once per (head span, tail span, pattern), and fallback pairs.
-
-    doc_id, sent_id, head_*, tail_* (text, type, start, end), pattern, ord (by sentence, from 0). mentions: ord, text, type, start, end, first_i, last_i,
-    root_i. Everything is joined by sentence, so a sentence's rows meet in one partition however many documents there are.
+    One exchange of tokens and mentions together. A table that has a row a sentence already needs none: all that takes tokens and mentions takes it as well.
     """
-    t = staged(resolved(tokens, mentions), "tokens")
-    key = [*SENTENCE, "i"]
-    verbs, nouns = t.where("pos = 'VERB'").select(*key), t.where("pos = 'NOUN'").select(*key)
-    out = []
-    svo = verbs.join(_last(t, ("nsubj",), "subj", "s"), key).join(_last(t, ("dobj",), "sub", "o"), key)
-    out.append(_pairs(svo, "s", "o", "P1_SVO", 1, ["i"]))
-    pobj = _pobj(t, ("prep", "agent"))
-    pred = t.where("pos IN ('VERB', 'ADJ')").select(*key).join(_last(t, ("nsubj", "nsubjpass"), "subj", "s"), key).where("s IS NOT NULL").join(pobj, key)
-    out.append(_pairs(pred, "s", "o_sub", "P2_pred_prep", 2, ["i", "p_i", "o_i"]))
-    conj = staged(conjuncts(tokens), "conjuncts")
-    more = pred.join(conj.select(*SENTENCE, F.col("i").alias("o_i"), "j"), [*SENTENCE, "o_i"]).join(t.select(*SENTENCE, F.col("i").alias("j"), F.col("sub").alias("j_sub")), [*SENTENCE, "j"])
-    more = more.withColumn("at", F.col("o_i") * 1000 + F.col("j"))
-    out.append(_pairs(more, "s", "j_sub", "P2_pred_prep+conj", 2, ["i", "p_i", "at"]))
-    cop = _with_cop(t)
-    cop_subj = cop.join(_last(t, ("nsubj",), "sub", "s"), key)
-    out.append(_pairs(cop_subj.where("s IS NOT NULL").join(_pobj(t, ("prep",)), key), "s", "o_sub", "P3_copular_prep", 3, ["i", "p_i", "o_i"]))
-    of = _pobj(t, ("prep",)).where("lower(p_lemma) = 'of'").groupBy(*key).agg(F.max(F.struct("p_i", "o_i", "o_sub")).alias("x")).select(*key, F.col("x.o_sub").alias("of"))
-    poss = _last(t, ("poss",), "sub", "poss")
-    attr = cop.join(_last(t, ("attr",), "sub", "attr"), key)
-    out.append(_pairs(attr.join(poss, key), "poss", "attr", "P4_poss_cop_attr", 4, ["i"]))
-    out.append(_pairs(attr.join(of, key), "of", "attr", "P4_of_cop_attr", 4, ["i"]))
-    appos = t.where("dep = 'appos'").select(*SENTENCE, F.col("i").alias("at"), F.col("head_i").alias("i"), F.col("sub").alias("a")).join(t.select(*key, F.col("sub").alias("h")), key)
-    out.append(_pairs(appos, "h", "a", "P5_appos", 5, ["at"]))
-    out.append(_pairs(appos, "a", "h", "P5_appos_rev", 5, ["at"]))
-    noun = nouns.join(of, key)
-    out.append(_pairs(noun.join(poss, key), "poss", "of", "P6_noun_of_poss", 6, ["i"]))
-    out.append(_pairs(noun.join(cop_subj, key), "s", "of", "P6_noun_of_cop_subj", 6, ["i"]))
-    named = reduce(DataFrame.unionByName, out)
-    first = staged(_first_of(named), "pairs")
-
-    spans = t.where("ent IS NOT NULL").select(*SENTENCE, F.col("ent.start").alias("s"), F.col("ent.end").alias("e"), "i")
-    others = spans.join(conj, key).join(t.select(*SENTENCE, F.col("i").alias("j"), F.col("sub").alias("other")), [*SENTENCE, "j"]).where("other IS NOT NULL")
-    others = others.groupBy(*SENTENCE, "s", "e", "other.start", "other.end").agg(F.min(F.struct("i", "j", "other")).alias("x")).select(*SENTENCE, "s", "e", F.col("x.other").alias("other"), F.col("x.i").alias("ci"), F.col("x.j").alias("cj"))
-
-    def expanded(side: str, rank: int) -> DataFrame:
-        j = first.join(others, [first[c] == others[c] for c in SENTENCE] + [F.col(f"{side}.start") == F.col("s"), F.col(f"{side}.end") == F.col("e")])
-        j = j.select(*[first[c] for c in SENTENCE], "head", "tail", "pattern", "o", "other", "ci", "cj")
-        ends = (F.col("other").alias("head"), F.col("tail")) if side == "head" else (F.col("head"), F.col("other").alias("tail"))
-        return j.select(*SENTENCE, *ends, F.concat("pattern", F.lit(f"+P8_{side}_conj")).alias("pattern"), F.concat(F.array(F.lit(8)), F.col("o"), F.array(F.lit(rank), F.col("ci"), F.col("cj"))).alias("o"))
-
-    every = _first_of(first.unionByName(expanded("head", 0)).unionByName(expanded("tail", 1)))
-    flat = every.select(*SENTENCE, *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("head", "tail") for c in ("text", "type", "start", "end")], "pattern", "o")
-    back = fallback_pairs(mentions, flat, window).withColumn("o", F.array(F.lit(9), F.col("ord").cast("int"))).drop("ord")
-    both = flat.unionByName(back)
-    return both.withColumn("ord", F.row_number().over(Window.partitionBy(*SENTENCE).orderBy("o", "pattern")) - 1).drop("o")
-
-
-def _first_of(df: DataFrame) -> DataFrame:
-    key = [F.col("head.start").alias("hs"), F.col("head.end").alias("he"), F.col("tail.start").alias("ts"), F.col("tail.end").alias("te")]
-    best = df.groupBy(*SENTENCE, *key, "pattern").agg(F.min(F.struct("o", "head", "tail")).alias("x"))
-    return best.select(*SENTENCE, "x.head", "x.tail", "pattern", "x.o")
-
-
-def parses(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
-    """One row a sentence with ts, its tokens in order, each with name: the text of the mention that covers it (of several the last), or its own.
-
-    One exchange of tokens and one of mentions by sentence; all that follows happens inside the row, over a sentence's tokens only.
-    """
-    ts = tokens.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos", "dep", "head_i"))).alias("ts"))
-    ms = mentions.groupBy(*SENTENCE).agg(F.reverse(F.array_sort(F.collect_list(F.struct("ord", "text", "first_i", "last_i")))).alias("ms"))
-    none = F.array().cast("array<struct<ord:int,text:string,first_i:int,last_i:int>>")
-    j = ts.join(ms, SENTENCE, "left").withColumn("ms", F.coalesce("ms", none))
-
-    def named(t):
-        cover = F.get(F.filter("ms", lambda m: (m["first_i"] <= t["i"]) & (m["last_i"] >= t["i"])), F.lit(0))["text"]
-        return F.struct(*[t[c].alias(c) for c in ("i", "lemma", "pos", "dep", "head_i")], F.coalesce(cover, t["text"]).alias("name"))
-
-    return j.select(*SENTENCE, F.transform("ts", named).alias("ts"))
+    if "ts" in tokens.columns:
+        return tokens
+    t = tokens.select(*SENTENCE, F.struct("i", "text", "lemma", "pos", "dep", "head_i").cast(TOKENS).alias("t"), F.lit(None).cast(MENTION).alias("m"))
+    if mentions is not None:
+        have = [F.col(c) if c in mentions.columns else F.lit(None).alias(c) for c in ("ord", "text", "type", "start", "end", "first_i", "last_i", "root_i")]
+        t = t.unionByName(mentions.select(*SENTENCE, F.lit(None).cast(TOKENS).alias("t"), F.struct(*have).cast(MENTION).alias("m")))
+    return t.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list("t")).alias("ts"), F.array_sort(F.collect_list("m")).alias("ms"))
 
 
-def _kids(of: Column, *deps: str) -> Column:
-    """A token's children with one of the relations, in order."""
-    return F.filter("ts", lambda c: (c["head_i"] == of["i"]) & (c["i"] != of["i"]) & c["dep"].isin(*deps))
-
+def _found(sents: DataFrame, find, columns: str) -> DataFrame:
+    """What find (of parse_arrays) sees in sentences, with doc_id and sent_id."""
+    kinds = {f.name: f.dataType.simpleString() for f in sents.schema.fields}
+    s = sents.select(*SENTENCE, F.col("ts").cast(parse_arrays.TOKENS).alias("ts"), F.col("ms").cast(parse_arrays.MENTIONS).alias("ms"))
+    names = [c.split()[0] for c in columns.split(", ")]
+    return s.mapInArrow(parse_arrays.runner(find, SENTENCE, names), ", ".join(f"{c} {kinds[c]}" for c in SENTENCE) + f", {columns}")
 
-def _triple(subject: Column, relation: Column, obj: Column, pattern: str) -> Column:
-    return F.struct(subject.alias("subject"), relation.alias("relation"), obj.alias("object"), F.lit(pattern).alias("pattern"))
 
+PAIR = ", ".join(f"{s}_{c}" for s in ("head", "tail") for c in ("text string", "type string", "start int", "end int")) + ", pattern string, ord int"
 
-def _joined(lemma: Column, prep: Column) -> Column:
-    return F.concat_ws("_", lemma, preposition(prep))
 
+def proposed(tokens: DataFrame, mentions: DataFrame | None = None, window: int = 2) -> DataFrame:
+    """Candidate pairs of all patterns, expanded over coordinations, once per (head span, tail span, pattern), and fallback pairs.
 
-def _verbs(kinds: tuple[str, ...]) -> Column:
-    return F.filter("ts", lambda t: t["pos"].isin(*kinds))
+    doc_id, sent_id, head_*, tail_* (text, type, start, end), pattern, ord (by sentence, from 0). mentions: ord, text, type, start, end, first_i, last_i,
+    root_i. Patterns are found inside a sentence's row, over arrays: no row of a token or a pair is shuffled but once, by parses().
+    """
+    return _found(parses(tokens, mentions), lambda s: parse_arrays.proposed(s, window), PAIR)
 
 
-def _rows(parsed: DataFrame, triples: Column) -> DataFrame:
-    """The triples of each sentence with ord, their place in it."""
-    return parsed.select(*SENTENCE, F.posexplode(triples).alias("ord", "t")).select(*SENTENCE, "t.*", "ord")
+TRIPLE = "subject string, relation string, object string, pattern string, ord int"
 
 
-def simple_triples(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
+def simple_triples(tokens: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """doc_id, sent_id, subject, relation, object, pattern, ord: active verbs, passive verbs with prepositions and predicates with prepositions; of several
     subjects or objects the last counts. Empty names give no triple."""
+    return _found(parses(tokens, mentions), parse_arrays.simple, TRIPLE)
 
-    def last(of: Column, dep: str) -> Column:
-        return F.nullif(F.get(F.reverse(_kids(of, dep)), F.lit(0))["name"], F.lit(""))
-
-    def objects(of: Column) -> Column:
-        return F.flatten(F.transform(_kids(of, "prep"), lambda p: F.transform(_kids(p, "pobj"), lambda o: F.struct(F.lower(p["lemma"]).alias("prep"), o["name"].alias("name")))))
-
-    def with_preps(v: Column, subject: str, pattern: str) -> Column:
-        return F.transform(objects(v), lambda o: _triple(last(v, subject), _joined(v["lemma"], o["prep"]), o["name"], pattern))
 
-    def of_verb(v: Column) -> Column:
-        active = F.filter(F.array(_triple(last(v, "nsubj"), v["lemma"], last(v, "dobj"), "A_active_SVO")), lambda t: t["subject"].isNotNull() & t["object"].isNotNull())
-        return F.concat(active, F.filter(with_preps(v, "nsubjpass", "B_passive_prep"), lambda t: t["subject"].isNotNull()))
-
-    first = F.flatten(F.transform(_verbs(("VERB",)), of_verb))
-    then = F.flatten(F.transform(_verbs(("ADJ", "VERB")), lambda v: F.filter(with_preps(v, "nsubj", "C_predicate_prep"), lambda t: t["subject"].isNotNull())))
-    return _rows(parses(tokens, mentions), F.concat(first, then))
-
-
-def coordinated_triples(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
+def coordinated_triples(tokens: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """As simple_triples, with the first subject and object and their direct coordinates, and passive agents turned to subjects. ord orders a sentence."""
-
-    def group(of: Column) -> Column:
-        return F.transform(F.concat(F.array(of), F.transform(_kids(of, "conj"), lambda c: c)), lambda c: c["name"])
-
-    def names(first: Column) -> Column:
-        return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(group(first)))
-
-    def objects(of: Column) -> Column:
-        return F.flatten(F.transform(_kids(of, "prep"), lambda p: F.flatten(F.transform(_kids(p, "pobj"), lambda o: F.transform(group(o), lambda n: F.struct(F.lower(p["lemma"]).alias("prep"), n.alias("name")))))))
-
-    def of_verb(v: Column) -> Column:
-        head = F.get(_kids(v, "nsubj", "nsubjpass"), F.lit(0))
-        parts = F.struct(v["lemma"].alias("lemma"), head["dep"].alias("dep"), names(head).alias("subjects"), names(F.get(_kids(v, "dobj"), F.lit(0))).alias("objects"), objects(v).alias("preps"))
-        return F.flatten(F.transform(F.array(parts), said))
-
-    def said(x: Column) -> Column:
-        active = F.flatten(F.transform(x["subjects"], lambda s: F.transform(x["objects"], lambda o: _triple(s, x["lemma"], o, "A_active_SVO"))))
-        agents = F.filter(x["preps"], lambda p: p["prep"] == "by")
-        passive = F.flatten(F.transform(agents, lambda a: F.transform(x["subjects"], lambda s: _triple(a["name"], x["lemma"], s, "A_passive_by"))))
-        preps = F.flatten(F.transform(x["subjects"], lambda s: F.transform(x["preps"], lambda p: _triple(s, _joined(x["lemma"], p["prep"]), p["name"], "B_predicate_prep"))))
-        return F.concat(F.filter(active, lambda t: x["dep"] == "nsubj"), F.filter(passive, lambda t: x["dep"] == "nsubjpass"), preps)
-
-    return _rows(parses(tokens, mentions), F.flatten(F.transform(_verbs(("VERB",)), of_verb)))
+    return _found(parses(tokens, mentions), parse_arrays.coordinated, TRIPLE)
 
 
 def flat_graph(triples: DataFrame, by: str = "doc_id") -> DataFrame:
@@ -316,7 +157,7 @@ def flat_graph(triples: DataFrame, by: str = "doc_id") -> DataFrame:
 def arcs(tokens: DataFrame) -> DataFrame:
     """The token table with head_text and children (texts, in order): what a listing of a parse shows."""
     key = [*SENTENCE, "i"]
-    ts = tokens.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("i", "text", "lemma", "pos", "dep", "head_i"))).alias("ts"))
+    ts = parses(tokens)
     row = ts.select(*SENTENCE, "ts", F.explode("ts").alias("t"))
     head = F.get(F.filter("ts", lambda h: h["i"] == F.col("t.head_i")), F.lit(0))["text"]
     children = F.transform(F.filter("ts", lambda c: (c["head_i"] == F.col("t.i")) & (c["i"] != F.col("t.i"))), lambda c: c["text"])

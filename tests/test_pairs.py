@@ -1,5 +1,6 @@
 from itertools import permutations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,43 @@ def test_cycles_of_heads(spark, size):
         dependency.jump(df, F.col("dep") == "conj")
     with pytest.raises(ValueError):
         dependency.ancestors(df, df.select("doc_id", "sent_id", "i"))
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+SENTS = "doc_id long, sent_id int, ts array<struct<i:int,text:string,lemma:string,pos:string,dep:string,head_i:int>>, ms array<struct<ord:int,text:string,type:string,start:int,end:int,first_i:int,last_i:int,root_i:int>>"
+
+
+@pytest.mark.parametrize("find", [dependency.proposed, dependency.simple_triples, dependency.coordinated_triples])
+def test_rows_of_sentences_are_not_shuffled(spark, find):
+    t, m = parse(LIVE)
+    df = spark.createDataFrame([(1, 0, [x[2:] for x in t], [x[2:] for x in m])], SENTS)
+    one = find(df)
+    assert shuffles(one) == 0 and shuffles(find(*frames(spark, LIVE))) == 1
+    assert sorted(one.collect()) == sorted(find(*frames(spark, LIVE)).collect())
+
+
+def test_proposals_over_pieces(spark, monkeypatch):
+    """Many sentences a batch, a long coordination in blocks, and sentences without tokens or mentions."""
+    names = [("Acme", "PROPN", "nsubj", 1), ("owns", "VERB", "ROOT", 1), ("N0", "PROPN", "dobj", 1), *((f"N{k}", "PROPN", "conj", k + 1) for k in range(1, 60))]
+    t, m = parse(names)
+    rows = [(1, 0, [x[2:] for x in t], [x[2:] for x in m]), (1, 1, [], [x[2:] for x in m[:2]]), (1, 2, [x[2:] for x in t], []), (1, 3, None, None)]
+    got = dependency.proposed(spark.createDataFrame(rows, SENTS)).collect()
+    assert {(r["head_text"], r["tail_text"]) for r in got if r["pattern"] == "P1_SVO+P8_tail_conj"} == {("Acme", f"N{k}") for k in range(1, 60)}
+    assert sorted(r["ord"] for r in got if r["sent_id"] == 0) == list(range(sum(r["sent_id"] == 0 for r in got)))
+    assert {(r["head_text"], r["pattern"]) for r in got if r["sent_id"] == 1} == {("Acme", "P0_fallback_window"), ("N0", "P0_fallback_window_rev")} and {r["sent_id"] for r in got} == {0, 1}
+
+    from loomgraph.operators import parse_arrays
+
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "sent_id", "ts", "ms"), (1, k, [dict(zip(TOK_NAMES, x[2:])) for x in t], [dict(zip(MEN_NAMES, x[2:])) for x in m]))) for k in range(3)])
+    whole = list(parse_arrays.runner(lambda s: parse_arrays.proposed(s, 2), ["doc_id", "sent_id"], PAIR_NAMES)([batch]))
+    for name in ("PIECE", "BLOCK", "OUT"):
+        monkeypatch.setattr(parse_arrays, name, 7)
+    parts = list(parse_arrays.runner(lambda s: parse_arrays.proposed(s, 2), ["doc_id", "sent_id"], PAIR_NAMES)([batch]))
+    assert max(p.num_rows for p in parts) <= 7 and pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+
+
+TOK_NAMES, MEN_NAMES = ([c.split()[0] for c in x.split(", ")[2:]] for x in (TOK, MEN))
+PAIR_NAMES = [c.split()[0] for c in dependency.PAIR.split(", ")]
