@@ -168,16 +168,24 @@ def event_graph(triples: DataFrame, by: str = "doc_id") -> tuple[DataFrame, Data
     """Events (event_id, type) and edges (source, relation, target) of triples (by, ord, subject, relation, object; with sent_id ord counts in a sentence).
 
     Events are numbered in the order of the text. Each triple whose relation is an event verb is a core and gets an event by number; a triple of the same subject whose relation starts with the verb and
-    an underscore belongs to the first core that can take it; all others stay edges between names.
+    an underscore belongs to the first core that can take it; all others stay edges between names. Triples are shuffled once, by document: numbers and first
+    cores are windows over the same partitions.
     """
-    verbs = F.col("relation").isin(*rules.EVENT_VERBS)
-    core = triples.where(verbs).withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*(["sent_id", "ord"] if "sent_id" in triples.columns else ["ord"])))).withColumn("event_id", F.concat_ws("_event_", "relation", F.col("n").cast("string")))
-    events = core.select(by, "event_id", F.col("relation").alias("type"))
-    base = F.substring_index("relation", "_", 1)
-    other = triples.where(~verbs).withColumn("base", base)
-    c = core.select(by, F.col("subject").alias("s"), F.col("relation").alias("base"), "event_id", "n").groupBy(by, "s", "base").agg(F.min_by("event_id", "n").alias("event_id"))
-    j = other.join(c.withColumnRenamed("s", "subject"), [by, "subject", "base"], "left")
-    arguments = core.select(by, F.col("event_id").alias("source"), F.explode(F.array(F.struct(F.lit("subject").alias("r"), F.col("subject").alias("t")), F.struct(F.lit("object").alias("r"), F.col("object").alias("t")))).alias("x")).select(by, "source", F.col("x.r").alias("relation"), F.col("x.t").alias("target"))
-    is_mod = F.col("event_id").isNotNull() & F.col("relation").contains("_")
-    rest = j.select(by, F.when(is_mod, F.col("event_id")).otherwise(F.col("subject")).alias("source"), F.when(is_mod, F.expr("substring(relation, length(base) + 2)")).otherwise(F.col("relation")).alias("relation"), F.col("object").alias("target"))
-    return events, arguments.unionByName(rest)
+    place = ["sent_id", "ord"] if "sent_id" in triples.columns else ["ord"]
+    core = F.col("relation").isin(*rules.EVENT_VERBS)
+    base = F.when(core, F.col("relation")).otherwise(F.substring_index("relation", "_", 1))
+    t = triples.where("relation IS NOT NULL").select(by, *place, "subject", "relation", "object")
+    so_far = Window.partitionBy(by).orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("n", F.when(core, F.count(F.when(core, 1)).over(so_far)))
+    event = F.concat_ws("_event_", "relation", F.col("n").cast("string"))
+    events = t.where(core).select(by, event.alias("event_id"), F.col("relation").alias("type"))
+    t = t.withColumn("base", base).withColumn("first", F.min("n").over(Window.partitionBy(by, "subject", "base")))
+    is_mod = F.col("subject").isNotNull() & F.col("first").isNotNull() & F.contains("relation", F.lit("_"))
+
+    def edge(source: Column, relation: Column, target: Column) -> Column:
+        return F.struct(source.alias("source"), relation.alias("relation"), target.alias("target"))
+
+    of_core = F.array(edge(event, F.lit("subject"), F.col("subject")), edge(event, F.lit("object"), F.col("object")))
+    owner = F.concat_ws("_event_", "base", F.col("first").cast("string"))
+    rest = F.array(edge(F.when(is_mod, owner).otherwise(F.col("subject")), F.when(is_mod, F.expr("substring(relation, length(base) + 2)")).otherwise(F.col("relation")), F.col("object")))
+    return events, t.select(by, F.explode(F.when(core, of_core).otherwise(rest)).alias("x")).select(by, "x.*")

@@ -171,3 +171,10 @@ def test_proposals_over_pieces(spark, monkeypatch):
 
 TOK_NAMES, MEN_NAMES = ([c.split()[0] for c in x.split(", ")[2:]] for x in (TOK, MEN))
 PAIR_NAMES = [c.split()[0] for c in dependency.PAIR.split(", ")]
+
+
+def test_events_shuffle_once(spark):
+    df = spark.createDataFrame([(1, 0, "A", "acquire", "B"), (1, 1, None, "acquire", "B"), (1, 2, None, "acquire_in", "May"), (1, 3, "A", None, "B")], "doc_id long, ord int, subject string, relation string, object string")
+    ev, ed = dependency.event_graph(df)
+    assert shuffles(ev) == 1 and shuffles(ed) == 1
+    assert {(r["source"], r["relation"], r["target"]) for r in ed.collect()} == {("acquire_event_1", "subject", "A"), ("acquire_event_1", "object", "B"), ("acquire_event_2", "subject", None), ("acquire_event_2", "object", "B"), (None, "acquire_in", "May")}
