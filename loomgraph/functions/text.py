@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from loomgraph.plans.rules import NER_NAMES, PREPOSITIONS
 
 
+#: Unicode white space.
+SPACE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def find(text: Column, needle: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import mark_entities, sentences, strip
+from loomgraph.operators import parse_arrays
 from loomgraph.plans import rules
 
 SENTENCE = ["doc_id", "sent_id"]
@@ -25,8 +28,8 @@ class GazetteerAnnotator:
         """names: name, type; joined by a broadcast only while Spark finds it small enough."""
         self.names = names
 
-    def mentions(self, sents: DataFrame) -> DataFrame:
-        """doc_id, sent_id, ord (from 0), text, type, start, end: each name's first place at or after the end of the mention before."""
+    def _found(self, sents: DataFrame) -> Column:
+        """The mentions (text, start, end) of a sentence, in order."""
         found = F.regexp_extract_all("sentence", F.lit(r"(?U)(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"), 1)
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
@@ -37,17 +40,41 @@ class GazetteerAnnotator:
             item = F.struct(name.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"))
             return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-        rows = sents.select(*SENTENCE, "sentence", F.posexplode(F.aggregate(found, zero, step)["out"]).alias("ord", "m"))
+        return F.aggregate(found, zero, step)["out"]
+
+    def _guess(self, text: Column) -> Column:
         kinds = F.array(*[F.lit(x) for x in self.TYPES])
-        digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("m.text").cast("binary")), 1, 1)) - 1
-        guess = F.element_at(kinds, (digit % len(self.TYPES) + 1).cast("int"))
-        rows = rows.select(*SENTENCE, "sentence", "ord", "m.text", "m.start", "m.end", guess.alias("guess"))
+        digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(text.cast("binary")), 1, 1)) - 1
+        return F.element_at(kinds, (digit % len(self.TYPES) + 1).cast("int"))
+
+    def rows(self, sents: DataFrame) -> DataFrame:
+        """Sentences that have mentions, one a row, with ms (ord, text, type, start, end). Without names nothing is shuffled."""
+        if self.names is not None:
+            return mention_rows(self.mentions(sents))
+        ms = F.transform(self._found(sents), lambda m, i: F.struct(i.alias("ord"), m["text"].alias("text"), self._guess(m["text"]).alias("type"), m["start"].alias("start"), m["end"].alias("end")))
+        return sents.select(*SENTENCE, "sentence", F.explode(F.array(ms)).alias("ms")).where(F.size("ms") > 0)  # exploded, so that it is computed once
+
+    def mentions(self, sents: DataFrame) -> DataFrame:
+        """doc_id, sent_id, ord (from 0), text, type, start, end: each name's first place at or after the end of the mention before."""
+        rows = sents.select(*SENTENCE, "sentence", F.posexplode(self._found(sents)).alias("ord", "m"))
+        rows = rows.select(*SENTENCE, "sentence", "ord", "m.text", "m.start", "m.end", self._guess(F.col("m.text")).alias("guess"))
         if self.names is None:
             return rows.withColumnRenamed("guess", "type")
         named = rows.join(self.names.select(F.col("name").alias("__n"), F.col("type").alias("__t")), F.col("text") == F.col("__n"), "left")
         return named.withColumn("type", F.coalesce("__t", "guess")).drop("guess", "__n", "__t")
 
 
+def mention_rows(mentions: DataFrame, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row a sentence with ms, its mentions (of those with keep, if that is given), n, their number in all, and the sentence, if mentions have it."""
+    if "ms" in mentions.columns:
+        rows = mentions.withColumn("n", F.size("ms").cast("long"))
+        return rows if keep is None else rows.withColumn("ms", F.filter("ms", keep))
+    cols = F.struct(*[c for c in ("ord", "text", "type", "start", "end", "root_i") if c in mentions.columns])
+    ms = F.collect_list(cols if keep is None else F.when(keep(F.struct("ord")), cols))
+    whole = [F.first("sentence").alias("sentence")] if "sentence" in mentions.columns else []
+    return mentions.groupBy(*SENTENCE).agg(F.count(F.lit(1)).alias("n"), *whole, F.array_sort(ms).alias("ms"))
+
+
 def distinct_mentions(mentions: DataFrame, by: str = "text") -> DataFrame:
     """The first mention of each stripped (text, type), or of each span, numbered anew."""
     key = ["text", "type"] if by == "text" else ["start", "end"]
@@ -67,10 +94,11 @@ def capped_pairs(mentions: DataFrame, cap: int = 30) -> DataFrame:
     """The first `cap` ordered pairs of different mentions of a sentence, by (head, tail) order.
 
     With n mentions only heads below ceil(cap / (n - 1)) and tails up to cap can come up, so a sentence gathers at most cap + 1 mentions and makes about cap
-    pairs; n is never squared. Pairs are made inside the row: one exchange, which mentions of one partition enter as one row a sentence.
+    pairs; n is never squared. Pairs are made inside the row: mentions are gathered by one exchange, which those of one partition enter as one row a sentence;
+    a table that has a row a sentence (as of rows()) needs none.
     """
     cols = ("ord", "text", "type", "start", "end")
-    m = mentions.groupBy(*SENTENCE).agg(F.count(F.lit(1)).alias("n"), F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(F.when(F.col("ord") <= cap, F.struct(*cols)))).alias("ms")).where("n > 1")
+    m = mention_rows(mentions, lambda x: x["ord"] <= cap).where("n > 1")
     n = F.col("n")
 
     def place(h, t):
@@ -95,23 +123,21 @@ def marked_pairs(pairs: DataFrame) -> DataFrame:
 def fallback_pairs(mentions: DataFrame, existing: DataFrame | None = None, window: int = 2, distance: int = rules.FALLBACK_DISTANCE) -> DataFrame:
     """Pairs of mentions at most `window` apart whose roots (root_i) are at most `distance` apart, in both orders, unless their spans are proposed already.
 
-    The window becomes an equi-join: each mention is offered to the next `window` places. Of equal span pairs the first comes through.
+    Pairs are made inside a sentence's row, over arrays, as for capped_pairs. Of equal span pairs the first comes through.
     """
-    cols = ("text", "type", "start", "end", "root_i", "ord")
-    a = mentions.select(*SENTENCE, *[F.col(c).alias(f"a_{c}") for c in cols]).withColumn("at", F.explode(F.sequence(F.col("a_ord") + 1, F.col("a_ord") + window)))
-    b = mentions.select(*SENTENCE, *[F.col(c).alias(f"b_{c}") for c in cols], F.col("ord").alias("at"))
-    near = a.join(b, [*SENTENCE, "at"]).where((F.abs(F.col("a_root_i") - F.col("b_root_i")) <= distance) & (F.col("a_text") != F.col("b_text")))
-
-    def way(h: str, t: str, pattern: str, k: int) -> DataFrame:
-        return near.select(*SENTENCE, *[F.col(f"{s}_{c}").alias(f"{n}_{c}") for s, n in ((h, "head"), (t, "tail")) for c in ("text", "type", "start", "end")], F.lit(pattern).alias("pattern"), (F.col("a_ord") * 2 * window + (F.col("b_ord") - F.col("a_ord") - 1) * 2 + k).alias("ord"))
-
-    both = way("a", "b", rules.FALLBACK, 0).unionByName(way("b", "a", f"{rules.FALLBACK}_rev", 1))
-    span = ["head_start", "head_end", "tail_start", "tail_end"]
-    if existing is not None:
-        both = both.join(existing.select(*SENTENCE, *span).distinct(), [*SENTENCE, *span], "left_anti")
-    rest = [c for c in both.columns if c not in (*SENTENCE, *span)]
-    first = both.groupBy(*SENTENCE, *span).agg(F.min(F.struct("ord", *[c for c in rest if c != "ord"])).alias("x"))
-    return first.select(*SENTENCE, *span, *[F.col(f"x.{c}").alias(c) for c in rest])
+    m = mention_rows(mentions)
+    kinds = {f.name: f.dataType.simpleString() for f in m.schema.fields}
+    fields = m.schema["ms"].dataType.elementType.names
+    ms = F.transform("ms", lambda x: F.struct(*[(x[c] if c in fields else F.lit(None)).alias(c) for c in parse_arrays.MENTION_NAMES])).cast(parse_arrays.MENTIONS)
+    names = [*(f"{s}_{c}" for s in ("head", "tail") for c in ("start", "end")), *(f"{s}_{c}" for s in ("head", "tail") for c in ("text", "type")), "pattern", "ord"]
+    types = ["int"] * 4 + ["string"] * 5 + ["int"]
+    schema = ", ".join(f"{c} {t}" for c, t in zip([*SENTENCE, *names], [kinds[c] for c in SENTENCE] + types, strict=True))
+    none = F.array().cast(parse_arrays.TOKENS)
+    first = m.select(*SENTENCE, none.alias("ts"), ms.alias("ms")).mapInArrow(parse_arrays.runner(lambda s: parse_arrays.fallback(s, window, distance), SENTENCE, names), schema)
+    if existing is None:
+        return first
+    span = names[:4]
+    return first.join(existing.select(*SENTENCE, *span).distinct(), [*SENTENCE, *span], "left_anti")
 
 
 def text_between(mentions: DataFrame, first_type: str = "ORG", second_type: str = "LOC", pattern: str = r".*\bin\b.*") -> DataFrame:

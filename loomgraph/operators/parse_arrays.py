@@ -16,6 +16,7 @@ from loomgraph.plans import rules
 RELATIVE = ("who", "which", "that")
 TOKENS = "array<struct<i:int,text:string,lemma:string,pos:string,dep:string,head_i:int>>"
 MENTIONS = "array<struct<ord:int,text:string,type:string,start:int,end:int,first_i:int,last_i:int,root_i:int>>"
+MENTION_NAMES = ("ord", "text", "type", "start", "end", "first_i", "last_i", "root_i")
 #: Tokens and mentions of a piece of a batch, rows of a block of expansions, rows of a batch that goes out.
 PIECE, BLOCK, OUT = 1 << 17, 1 << 20, 1 << 16
 
@@ -318,16 +319,52 @@ def _blocks(n: np.ndarray) -> Iterator[slice]:
         start = end
 
 
-def proposed(s: Sentences, window: int) -> tuple[np.ndarray, list[pa.Array]]:
-    m, m_sent = s.m, s.m_sent
+def _spans(s: Sentences) -> tuple[np.ndarray, ...]:
+    """Of each mention: a number for its text (-1: null), whether it has one that isn't empty, a number for its span in its sentence, and whether that has both ends."""
+    m = s.m
     text, some = _codes(m["text"])[0], pc.fill_null(pc.greater(pc.binary_length(m["text"]), 0), False).to_numpy(zero_copy_only=False)
-    start, end = _ints(m["start"]), _ints(m["end"])
-    placed = _valid(m["start"]) & _valid(m["end"])
-    # a number for each span of a sentence; one without a place is never equal to another's, but to itself
-    ends = (end, start, _valid(m["end"]), _valid(m["start"]), m_sent)
+    ends = (_ints(m["end"]), _ints(m["start"]), _valid(m["end"]), _valid(m["start"]), s.m_sent)
     order = np.lexsort(ends)
     span = np.zeros(len(order), np.int64)
     span[order[1:]] = np.cumsum(np.any([x[order[1:]] != x[order[:-1]] for x in ends], axis=0))
+    return text, some, span, ends[2] & ends[3]
+
+
+def _near(s: Sentences, text: np.ndarray, window: int, distance: int) -> Pairs:
+    """Mentions of different texts at most `window` places and `distance` roots apart, both ways."""
+    m = s.m
+    a = np.flatnonzero((text >= 0) & _valid(m["ord"]) & _valid(m["root_i"]))
+    ord_, root = _ints(m["ord"]), _ints(m["root_i"])
+    least = ord_.min(initial=0)
+    key = s.m_sent * (ord_.max(initial=0) - least + window + 2) + ord_ - least
+    x, y = meet((key[a][:, None] + np.arange(1, window + 1)).reshape(-1), key[a])
+    x, y = a[x // max(window, 1)], a[y]
+    near = (np.abs(root[x] - root[y]) <= distance) & (text[x] != text[y])
+    x, y = x[near], y[near]
+    at = ord_[x] * 2 * window + (ord_[y] - ord_[x] - 1) * 2
+    return Pairs.all([Pairs.of(x, y, rules.FALLBACK, 9, at), Pairs.of(y, x, f"{rules.FALLBACK}_rev", 9, at + 1)])
+
+
+def _one_way(pairs: Pairs, span: np.ndarray) -> Pairs:
+    """Of equal pairs of spans the first, whatever its pattern."""
+    o = pairs.o.copy()
+    o[:, 2] = pairs.pattern
+    first = Pairs(pairs.h, pairs.t, np.zeros_like(pairs.pattern), o).first(span)
+    pattern = first.o[:, 2].copy()
+    first.o[:, 2] = 0
+    return Pairs(first.h, first.t, pattern, first.o)
+
+
+def fallback(s: Sentences, window: int, distance: int) -> tuple[np.ndarray, list[pa.Array]]:
+    text, _, span, _ = _spans(s)
+    rows = _one_way(_near(s, text, window, distance), span)
+    side = [s.m[c].take(pa.array(k)) for names in (("start", "end"), ("text", "type")) for k in (rows.h, rows.t) for c in names]
+    return s.m_sent[rows.h], [*side, pa.array(PATTERNS, pa.string()).take(pa.array(rows.pattern)), pa.array(rows.o[:, 1], pa.int32())]
+
+
+def proposed(s: Sentences, window: int) -> tuple[np.ndarray, list[pa.Array]]:
+    m, m_sent = s.m, s.m_sent
+    text, some, span, placed = _spans(s)
     spans = int(span.max(initial=-1)) + 1
     words = _codes(m["text"])[1].to_pylist()
     relative = np.array([w is not None and len(w) <= 5 and w.lower() in RELATIVE for w in words] + [False])[text]
@@ -427,26 +464,9 @@ def proposed(s: Sentences, window: int) -> tuple[np.ndarray, list[pa.Array]]:
                 every = [Pairs.all(every).first(span)]
     found = Pairs.all(every).first(span)
 
-    a = np.flatnonzero(told & _valid(m["ord"]) & _valid(m["root_i"]))
-    ord_, root = _ints(m["ord"]), _ints(m["root_i"])
-    least = ord_.min(initial=0)
-    wide = ord_.max(initial=0) - least + window + 2
-    key = m_sent * wide + ord_ - least
-    x, y = meet((key[a][:, None] + np.arange(1, window + 1)).reshape(-1), key[a])
-    x, y = a[x // max(window, 1)], a[y]
-    near = (np.abs(root[x] - root[y]) <= rules.FALLBACK_DISTANCE) & (text[x] != text[y])
-    x, y = x[near], y[near]
-    at = ord_[x] * 2 * window + (ord_[y] - ord_[x] - 1) * 2
-    back = Pairs.all([Pairs.of(x, y, rules.FALLBACK, 9, at), Pairs.of(y, x, f"{rules.FALLBACK}_rev", 9, at + 1)])
+    back = _near(s, text, window, rules.FALLBACK_DISTANCE)
     have = np.isin(span[back.h] * spans + span[back.t], span[found.h] * spans + span[found.t]) & placed[back.h] & placed[back.t]
-    back = back[~have]
-    # of one pair of spans one way only: the first
-    pattern = back.pattern
-    back.pattern = np.zeros_like(pattern)
-    back.o[:, 2] = pattern
-    back = back.first(span)
-    back.pattern, back.o[:, 2] = back.o[:, 2].copy(), 0
-
+    back = _one_way(back[~have], span)
     rows = Pairs.all([found, back])
     sent = m_sent[rows.h]
     order = np.lexsort((span[rows.t], span[rows.h], rows.pattern, *(rows.o[:, c] for c in range(WIDTH - 1, -1, -1)), sent))

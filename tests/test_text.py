@@ -67,3 +67,10 @@ def test_checked_spans(spark):
     rows = [("abcdef", 0, 2, 3, 5), ("abcdef", 3, 5, 0, 2), ("abcdef", 0, 2, 3, 9), ("abcdef", 2, 2, 3, 4), ("abcdef", 0, 4, 2, 6)]
     got = [r["m"] for r in column(spark, rows, "s string, a int, b int, c int, d int", m=T.mark_checked_spans(F.col("s"), F.col("a"), F.col("b"), F.col("c"), F.col("d")))]
     assert got[:4] == ["[E1]ab[/E1]c[E2]de[/E2]f", "[E2]ab[/E2]c[E1]de[/E1]f", "", ""] and got[4] != ""
+
+
+def test_strip_without_patterns(spark):
+    every = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(f"{c} a{c}b {c}",) for c in every] + [("",), (None,), ("　\n",)], "s string")
+    got = df.select(T.strip(F.col("s")).alias("a"), F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("b"))
+    assert got.where("NOT a <=> b").isEmpty() and "regexp" not in T.strip(F.col("s"))._jc.toString()
