@@ -11,28 +11,44 @@ from loomgraph.plans import rules
 from loomgraph.plans.staging import staged
 
 TOKENS = parse_arrays.TOKENS.removeprefix("array<").removesuffix(">")
+#: Characters that an annotator is given at once.
+ANNOTATED = 1 << 20
 MENTION = parse_arrays.MENTIONS.removeprefix("array<").removesuffix(">")
 
 
-def annotated(sents: DataFrame, annotator, text: str = "sentence") -> DataFrame:
+def annotated(sents: DataFrame, annotator, text: str = "sentence", columns: tuple[str, ...] = ("text", "lemma", "pos", "dep", "head_i")) -> DataFrame:
     """The token table of sentences (doc_id, sent_id, text) by any tagger or parser.
 
     annotator makes it once a worker; it maps a list of texts to a list of tokens (text, lemma, pos, dep, head_i) for each, head_i being the token itself
-    where there is no head. Null texts have no tokens.
+    where there is no head. Null texts have no tokens. columns: those that are asked for leave the worker, with i. Long batches are parsed in parts of about
+    ANNOTATED characters.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    row = pa.struct([("i", pa.int32()), ("text", pa.string()), ("lemma", pa.string()), ("pos", pa.string()), ("dep", pa.string()), ("head_i", pa.int32())])
+    types = {"text": pa.string(), "lemma": pa.string(), "pos": pa.string(), "dep": pa.string(), "head_i": pa.int32()}
+    places = [list(types).index(c) for c in columns]
 
     def run(batches):
         parse = annotator()
         for batch in batches:
-            found = parse([t or "" for t in batch.column(text).to_pylist()])
-            rows = [[dict(zip(row.names, (i, *t), strict=True)) for i, t in enumerate(tokens)] for tokens in found]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in SENTENCE] + [pa.array(rows, pa.list_(row))], names=[*SENTENCE, "ts"])
+            total, start = pc.cumulative_sum(pc.fill_null(pc.cast(pc.utf8_length(batch.column(text)), pa.int64()), 0)).to_numpy(), 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(total.searchsorted((total[start - 1] if start else 0) + ANNOTATED, "right")))
+                part = batch.slice(start, end - start)
+                found = parse([t or "" for t in part.column(text).to_pylist()])
+                ends, i = [0], []
+                for tokens in found:
+                    i.extend(range(len(tokens)))
+                    ends.append(len(i))
+                fields = [pa.array(i, pa.int32())] + [pa.array([t[k] for tokens in found for t in tokens], types[c]) for k, c in zip(places, columns, strict=True)]
+                ts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["i", *columns]))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in SENTENCE] + [ts], names=[*SENTENCE, "ts"])
+                start = end
 
     kinds = {f.name: f.dataType.simpleString() for f in sents.schema.fields}
-    out = sents.select(*SENTENCE, text).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in SENTENCE) + f", ts array<{TOKENS}>")
+    row = ",".join(f"{c}:{'int' if c in ('i', 'head_i') else 'string'}" for c in ("i", *columns))
+    out = sents.select(*SENTENCE, text).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in SENTENCE) + f", ts array<struct<{row}>>")
     return out.select(*SENTENCE, F.explode("ts").alias("t")).select(*SENTENCE, "t.*")
 
 
@@ -45,13 +61,19 @@ class ShapeTagger:
         import regex
 
         self.words = regex.compile(self.WORDS)
+        self.known = {}
         self.shapes = [(pos, regex.compile(p)) for pos, p in (("PROPN", r"\p{Lu}"), ("NUM", r"\p{N}"), ("X", r"\p{L}"))]
 
     def __call__(self, texts: list[str]) -> list[list[tuple]]:
-        def tag(i: int, t: str) -> tuple:
-            return t, t.lower(), next((pos for pos, p in self.shapes if p.match(t)), "PUNCT"), "ROOT", i
+        if len(self.known) > 1 << 17:  # words that come again are told once
+            self.known.clear()
+        known = self.known
 
-        return [[tag(i, t) for i, t in enumerate(self.words.findall(x))] for x in texts]
+        def tag(t: str) -> tuple[str, str]:
+            said = known[t] = t.lower(), next((pos for pos, p in self.shapes if p.match(t)), "PUNCT")
+            return said
+
+        return [[(t, *(known.get(t) or tag(t)), "ROOT", i) for i, t in enumerate(self.words.findall(x))] for x in texts]
 
 
 def _within(tokens: DataFrame, steps: int) -> None:

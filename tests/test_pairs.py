@@ -178,3 +178,24 @@ def test_events_shuffle_once(spark):
     ev, ed = dependency.event_graph(df)
     assert shuffles(ev) == 1 and shuffles(ed) == 1
     assert {(r["source"], r["relation"], r["target"]) for r in ed.collect()} == {("acquire_event_1", "subject", "A"), ("acquire_event_1", "object", "B"), ("acquire_event_2", "subject", None), ("acquire_event_2", "object", "B"), (None, "acquire_in", "May")}
+
+
+def test_rows_of_mentions_are_not_shuffled(spark):
+    s = spark.createDataFrame([(1, 0, "Ann Lee saw Ann and Bo."), (2, 0, ""), (3, 0, "none here"), (4, 0, "Bo met Cy. Di")], "doc_id long, sent_id int, sentence string")
+    g = pairs.GazetteerAnnotator()
+    rows, flat = g.rows(s), g.mentions(s)
+    assert sorted((r["doc_id"], *m) for r in rows.collect() for m in r["ms"]) == sorted((r["doc_id"], r["ord"], r["text"], r["type"], r["start"], r["end"]) for r in flat.collect())
+    named = pairs.GazetteerAnnotator(spark.createDataFrame([("Bo", "LOC")], "name string, type string")).rows(s)
+    assert {(m["text"], m["type"]) for r in named.collect() for m in r["ms"]} >= {("Bo", "LOC")}
+    root = F.transform("ms", lambda x: F.struct(*[x[c].alias(c) for c in ("ord", "text", "type", "start", "end")], x["ord"].alias("root_i")))
+    for find, a, b in ((pairs.capped_pairs, rows, flat), (pairs.fallback_pairs, rows.withColumn("ms", root), flat.withColumn("root_i", F.col("ord")))):
+        assert shuffles(find(a)) == 0 and shuffles(find(b)) == 1
+        assert sorted(find(a).collect()) == sorted(find(b).collect())
+
+
+def test_annotated_parts(spark, monkeypatch):
+    s = spark.createDataFrame([(1, 0, "Ann met Bo-Li on 3 May, twice."), (1, 1, None), (2, 0, ""), (2, 1, "Ann's 2nd")], "doc_id long, sent_id int, sentence string")
+    whole = sorted(dependency.annotated(s, dependency.ShapeTagger).collect())
+    assert [(r["i"], r["text"], r["lemma"], r["pos"], r["dep"], r["head_i"]) for r in whole if r["doc_id"] == 2] == [(0, "Ann's", "ann's", "PROPN", "ROOT", 0), (1, "2nd", "2nd", "NUM", "ROOT", 1)]
+    some = dependency.annotated(s, dependency.ShapeTagger, columns=("pos",))
+    assert some.columns == ["doc_id", "sent_id", "i", "pos"] and sorted(some.collect()) == [(r["doc_id"], r["sent_id"], r["i"], r["pos"]) for r in whole]
