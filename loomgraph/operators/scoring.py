@@ -67,11 +67,15 @@ class CentroidScorer:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), self.dim))
-        for i, t in enumerate(texts):
-            raw = np.frombuffer((t or "").lower().encode(), np.uint8).astype(np.int64)
-            if len(raw) > 2:
-                np.add.at(x[i], (raw[:-2] * 961 + raw[1:-1] * 31 + raw[2:]) % self.dim, 1.0)
+        low = [(t or "").lower().encode() for t in texts]
+        raw = np.frombuffer(b"".join(low), np.uint8).astype(np.int32)
+        row = np.repeat(np.arange(len(low)), [len(b) for b in low])
+        x = np.zeros(len(low) * self.dim)
+        if len(raw) > 2:
+            whole = row[:-2] == row[2:]  # trigrams of one text
+            hashed = (raw[:-2] * 961 + raw[1:-1] * 31 + raw[2:]) % self.dim
+            x = np.bincount(row[:-2][whole] * self.dim + hashed[whole], minlength=len(x)).astype(float)
+        x = x.reshape(len(low), self.dim)
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.where(n == 0, 1, n) @ self.w
 

@@ -83,3 +83,17 @@ def test_small_helpers(spark):
     m = spark.createDataFrame([(1, "r", 0.5), (2, "s", 0.5)], "id int, relation string, conf double")
     n = spark.createDataFrame([(1, "r"), (3, "s")], "id int, relation string")
     assert [(r["id"], r["agree"]) for r in scoring.side_by_side(m, n, ["id"]).collect()] == [(1, True)]
+
+
+def test_centroid_counts_per_text():
+    import numpy as np
+
+    texts = ["abc", "", None, "ab", "aBCabc ä", "abcd" * 50]
+    scorer = scoring.CentroidScorer(3)
+    x = np.zeros((len(texts), scorer.dim))
+    for i, t in enumerate(texts):
+        raw = (t or "").lower().encode()
+        for k in range(len(raw) - 2):
+            x[i, (raw[k] * 961 + raw[k + 1] * 31 + raw[k + 2]) % scorer.dim] += 1
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.array_equal(scorer(texts), x / np.where(n == 0, 1, n) @ scorer.w)
