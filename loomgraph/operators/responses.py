@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,11 @@ from loomgraph.plans import rules
 from loomgraph.plans.staging import staged
 
 
+BRACKET = re.compile(r"[\[\]]")
+#: A bracket or brace, or a whole string, which may lack its end.
+SIGN = re.compile(r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|[\[\]{}]')
+
+
 def greedy_array(text: Column) -> Column:
     """From the first [ to the last ], or null."""
     return F.nullif(F.regexp_extract(text, r"\[[\s\S]*\]", 0), F.lit(""))
@@ -33,10 +39,10 @@ def strict_array(text: str | None) -> str | None:
     if text is None or (start := text.find("[")) < 0:
         return None
     depth = 0
-    for k in range(start, len(text)):
-        depth += (text[k] == "[") - (text[k] == "]")
+    for x in BRACKET.finditer(text, start):
+        depth += 1 if x[0] == "[" else -1
         if depth == 0:
-            return text[start : k + 1]
+            return text[start : x.end()]
     return None
 
 
@@ -45,26 +51,17 @@ def salvaged_array(text: str | None) -> str | None:
     Null without an array, or without such an object in one that isn't closed."""
     if text is None or (start := text.find("[")) < 0:
         return None
-    arrays, objects, inside, escaped, end = 0, 0, False, False, -1
-    for k in range(start, len(text)):
-        c = text[k]
-        if inside:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                inside = False
-        elif c == '"':
-            inside = True
-        elif c in "[]":
+    arrays, objects, end = 0, 0, -1
+    for x in SIGN.finditer(text, start):
+        c = x[0]
+        if c in "[]":
             arrays += 1 if c == "[" else -1
             if not arrays:
-                return text[start : k + 1]
+                return text[start : x.end()]
         elif c in "{}":
             objects += 1 if c == "{" else -1
             if c == "}" and arrays == 1 and not objects:
-                end = k
+                end = x.start()
     return None if end < 0 else text[start : end + 1] + "]"
 
 
@@ -83,10 +80,12 @@ def recovered(df: DataFrame, text: str = "response") -> DataFrame:
 def parsed(df: DataFrame, text: str = "response") -> DataFrame:
     """df with items (array of variants) and how: strict, salvaged or null when neither scan gives valid JSON."""
     d = recovered(df.withColumn(text, unfenced(F.col(text))), text)
-    a, b = F.try_parse_json("strict"), F.try_parse_json("salvaged")
-    d = d.withColumn("how", F.when(a.isNotNull(), "strict").when(b.isNotNull(), "salvaged"))
-    items = F.try_variant_get(F.coalesce(a, b), "$", "array<variant>")
-    return d.withColumn("items", items).drop("strict", "salvaged")
+    # exploded one by one, so that each text is parsed once, however often its variant is named
+    d = d.select(*d.columns, F.explode(F.array(F.try_parse_json("strict"))).alias("__a"))
+    d = d.select(*d.columns, F.explode(F.array(F.when(F.col("__a").isNull(), F.try_parse_json("salvaged")))).alias("__b"))
+    d = d.withColumn("how", F.when(F.col("__a").isNotNull(), "strict").when(F.col("__b").isNotNull(), "salvaged"))
+    items = F.try_variant_get(F.coalesce("__a", "__b"), "$", "array<variant>")
+    return d.withColumn("items", items).drop("strict", "salvaged", "__a", "__b")
 
 
 def first_parsed(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -99,7 +98,7 @@ def validated(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Triples of df (key, items, and how, if it has that): head, head_type, relation, tail, tail_type, evidence, confidence, ord. Items that are no objects, lack a name or have
     an unknown relation go; unknown types become OTHER; a confidence that is no number is 0, and all are clamped to 0 and 1."""
     own = [key, *(["how"] if "how" in df.columns else [])]
-    x = df.select(*own, F.posexplode("items").alias("ord", "v"))
+    x = df.select(*own, F.posexplode_outer("items").alias("ord", "v"))  # outer: no filter that would need items twice; a row without an item has no names
 
     def get(path: str) -> Column:
         return strip(F.coalesce(F.try_variant_get("v", path, "string"), F.lit("")))

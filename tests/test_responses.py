@@ -59,3 +59,11 @@ def test_giving_up_can_raise(spark):
     assert [tuple(r) for r in R.extracted(q, never, retries=1).select("attempt", "how").collect()] == [(1, None)]
     with pytest.raises(Exception, match="could not be parsed"):
         R.extracted(q, never, retries=0, strict=True).collect()
+
+
+def test_answers_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, '[{"a": 1}]'), (2, '[{"a": 1}, {"b'), (3, "none"), (4, None), (5, "[]"), (6, '[{"a": "]"}, {"b": "\\\\"}, 2')], "doc_id long, response string")
+    p = R.parsed(df)
+    plan = R.validated(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") <= 2
+    assert [(r["how"], r["n"]) for r in p.selectExpr("doc_id", "how", "size(items) AS n").orderBy("doc_id").collect()] == [("strict", 1), ("salvaged", 1), (None, None), (None, None), ("strict", 0), ("salvaged", 2)]
