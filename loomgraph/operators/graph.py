@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import import_type, node_id, strip
+from loomgraph.functions.text import bare, import_type, node_id, strip
 from loomgraph.plans import rules
 from loomgraph.plans.staging import staged
 
@@ -19,11 +19,11 @@ def edge_rows(df: DataFrame) -> DataFrame:
     """
     head = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.col("head")) if "source" in df.columns else F.col("head")
     tail = F.coalesce(F.nullif(F.col("target"), F.lit("")), F.col("tail")) if "target" in df.columns else F.col("tail")
-    out = df.withColumns({"head": strip(head), "tail": strip(tail), "relation": strip(F.col("relation"))}).drop("source", "target")
+    out = df.withColumns({"head": bare(head), "tail": bare(tail), "relation": bare(F.col("relation"))}).drop("source", "target")
     if "conf" in out.columns:
         out = out.withColumn("conf", F.coalesce("conf", F.lit(0.0)))
     if "evidence" in out.columns:
-        out = out.withColumn("evidence", strip(F.coalesce("evidence", F.lit(""))))
+        out = out.withColumn("evidence", bare(F.coalesce("evidence", F.lit(""))))
     return out.where((F.length("head") > 0) & (F.length("tail") > 0) & (F.length("relation") > 0))
 
 
@@ -51,20 +51,22 @@ def aggregate_edges(df: DataFrame, evidence_cap: int = 0, min_support: int = 1)
     """One row an edge: support_count, conf_max, conf_mean, rel_raw (first by ord) and the first evidence_cap texts that aren't empty.
 
     Counts and means combine on the map side, in buffers of fixed width by (edge, relation); the few relations of an edge are then put together. Evidence
-    is ranked first, so that no more than evidence_cap texts of an edge are gathered; df is then written once and read twice.
+    is ranked first, so that no more than evidence_cap texts of an edge are gathered; df is then written once and read twice. A hash of the edge leads the
+    keys: ids begin alike, so sorts would compare whole rows, and with it they rarely do.
     """
     keys = ["src_id", "rel_type", "dst_id"]
     if evidence_cap:
         df = staged(df.select(*keys, "relation", "conf", "ord", "evidence"), "edges")
+    df, keys = df.withColumn("__h", F.xxhash64(*keys)), ["__h", *keys]
     each = df.groupBy(*keys, "relation").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("conf_max"), F.sum("conf").alias("total"), F.min("ord").alias("ord"))
     edges = each.groupBy(*keys).agg(F.sum("n").alias("support_count"), F.max("conf_max").alias("conf_max"), (F.sum("total") / F.sum("n")).alias("conf_mean"), F.min_by("relation", "ord").alias("rel_raw"))
     edges = edges.where(F.col("support_count") >= min_support)
     if not evidence_cap:
-        return edges.withColumn("evidence", F.lit(""))
+        return edges.drop("__h").withColumn("evidence", F.lit(""))
     w = Window.partitionBy(*keys).orderBy("ord")
     texts = df.where(F.length("evidence") > 0).select(*keys, "ord", "evidence").withColumn("k", F.row_number().over(w)).where(F.col("k") <= evidence_cap)
     texts = texts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "evidence"))), lambda x: x["evidence"]), " || ").alias("evidence"))
-    return edges.join(texts, keys, "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    return edges.join(texts, keys, "left").drop("__h").withColumn("evidence", F.coalesce("evidence", F.lit("")))
 
 
 def node_registry(df: DataFrame) -> DataFrame:

@@ -42,3 +42,10 @@ def test_best(spark):
     rows = [("a", "r", "b", 0.99, 1, "P0_fallback_window"), ("a", "r", "b", 0.91, 2, "P1_SVO"), ("a", "r", "b", 0.91, 3, "P2"), ("a", "r", "c", 0.5, 4, "P0_fallback_window_rev")]
     got = {r["tail"]: r["ord"] for r in graph.best_triples(spark.createDataFrame(rows, "head string, relation string, tail string, conf double, ord long, pattern string")).collect()}
     assert got == {"b": 2, "c": 4}
+
+
+def test_sorts_of_edges_are_led_by_a_hash(spark):
+    e = edges(spark)
+    plan = graph.aggregate_edges(e, evidence_cap=2)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window [row_number() windowspecdefinition(__h" in plan
+    assert "__h" not in graph.aggregate_edges(e, evidence_cap=2).columns + graph.aggregate_edges(e).columns

@@ -74,3 +74,11 @@ def test_strip_without_patterns(spark):
     df = spark.createDataFrame([(f"{c} a{c}b {c}",) for c in every] + [("",), (None,), ("　\n",)], "s string")
     got = df.select(T.strip(F.col("s")).alias("a"), F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("b"))
     assert got.where("NOT a <=> b").isEmpty() and "regexp" not in T.strip(F.col("s"))._jc.toString()
+
+
+def test_edge_types_without_patterns(spark):
+    rows = ["/a/b-c", "  /x", "//y/", "a", "", None, " ", "/", " /ä-ß ", "!z~", "~", "- /-"]
+    df = spark.createDataFrame([(r,) for r in rows], "r string")
+    old = F.upper(F.translate(F.regexp_replace(F.regexp_replace("r", r"(?U)^\s+|\s+$", ""), "^/", ""), "/-", "__"))
+    assert df.where(~T.import_type(F.col("r")).eqNullSafe(old) | ~T.bare(F.col("r")).eqNullSafe(T.strip(F.col("r")))).isEmpty()
+    assert not any(x in T.import_type(F.col("r"))._jc.toString() for x in ("regexp", "translate"))
